@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import decode_bpe, encode_bpe, id_count
 from .common import table
+from .packing import pack
 from .quality_rules import COUNTS, quality_rules
 
 
@@ -14,8 +18,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_bpe(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    decoded = decode_bpe(encoded, ranks)
+    return decoded.select("doc_id", id_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {f.__name__: f for f in (op1_packing, op4_bpe, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
