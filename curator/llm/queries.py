@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_bpe, encode_bpe, id_count
 from .common import table
+from .embedding_dedup import embedding_near_dedup
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .quality_rules import COUNTS, quality_rules
@@ -24,6 +25,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -42,7 +47,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_ngram_join, op4_bpe, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op3_ngram_join, op4_bpe, op5_embedding_dedup, op9_quality_rules, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
