@@ -15,6 +15,7 @@ care; other columns pass through, but one named like the output is replaced.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import text_chunks
 
 #: Entries that a task's cache of encoded words holds at most; beyond, it starts anew.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -87,7 +88,7 @@ class BacktrackEncoder:
         """Whether merging the joined bytes gives [left, right]: no merge across the boundary comes before those inside."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) >= 4 * CACHE:
+            if len(self._fits) >= 2 * CACHE:
                 self._fits.clear()
             known = self._fits[left, right] = self.reachable(left) and self.reachable(right) and not self._crossed(left, right)
         return known
@@ -166,8 +167,8 @@ class BacktrackEncoder:
 
 
 #: A space between two characters that aren't white space always begins a piece: texts can be cut there.
-_CUT = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
-_TWO_SPACES = regex.compile(r"[\s\x1c-\x1f]{2}")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_TWO_SPACES = re.compile(r"\s\s")
 
 
 class WordCoder:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most characters of text that a task turns into words at a time.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 
 # ------------------------------------------------------------------ scratch

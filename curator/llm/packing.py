@@ -12,6 +12,7 @@ any other; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -90,6 +91,37 @@ PIECES = T.StructType(
 )
 
 
+def _byte_of() -> dict[str, int]:
+    """Which byte each character of a byte-level vocabulary stands for: visible Latin-1 characters themselves, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def piece_coders(definition: str, pattern: str):
+    """How to encode a piece, and how to encode a whole word (None where its pieces are to be encoded one by one).
+
+    Words that hold a special token go to ``tokenizers``. Others go through the same vocabulary as ranks, which is
+    several times faster and gives the same ids, if the order of the merges is that of the ids.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    packed = lambda ids: np.array(ids, "<u4").tobytes()
+    slow = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+    model = json.loads(definition)["model"]
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    made = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in merges]
+    if any(x >= y for x, y in zip([255, *made], made)):
+        return slow, lambda word: slow(word) if any(s in word for s in special) else None
+    byte = _byte_of()
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return slow, lambda word: slow(word) if any(s in word for s in special) else packed(fast(word))
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every text with their task and number among the task's pieces of that length."""
     spark = docs.sparkSession
@@ -97,12 +129,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def make() -> WordCoder:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(raw.value.decode())
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        ids = lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return WordCoder(pattern, ids, lambda word: ids(word) if any(s in word for s in special) else None)
+        return WordCoder(pattern, *piece_coders(raw.value.decode(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _once(("pieces", tokenizer_path, pattern), make)
