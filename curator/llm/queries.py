@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from .bpe import decode_bpe, encode_bpe, id_count
 from .common import table
 from .embedding_dedup import embedding_near_dedup
+from . import line_dedup
+from .html_extract import extract_text
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
 from .packing import pack
+from .pii import pseudonymise
 from .quality_rules import COUNTS, quality_rules
 from .substring_dedup import remove_repeats
 
@@ -29,11 +33,27 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The pseudonyms' key in these queries; a real one is a secret of whoever runs them.
+PII_KEY = "curator"
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,8 +67,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_ngram_join, op4_bpe, op5_embedding_dedup, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op3_ngram_join, op4_bpe, op5_embedding_dedup, op6_pii, op7_line_dedup, op8_html_extraction, op9_quality_rules, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
