@@ -1,13 +1,24 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, PII and packing, each over all its predecessor kept."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, PII and packing, each over all its predecessor kept.
+
+Every stage takes and returns the columns of documents (the last one returns pieces). Null texts count as empty; rows
+that repeat are copies, of which one stays; an empty table gives empty results.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from curator.llm.common import scratch_root, table
+from curator.llm.line_dedup import dedup_lines
+from curator.llm.ngram_join import ngram_jaccard
+from curator.llm.packing import pack
+from curator.llm.pii import pseudonymise
 from curator.llm.quality_rules import filter_quality
+from curator.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +26,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_quality(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document of which nothing stays goes with them."""
+    out = dedup_lines(docs)
+    return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one of least id stays."""
+    found = ngram_jaccard(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return kept.withColumn("_rank", rank).where((F.col("_rank") == 1) | F.col("doc_id").isNull()).drop("_rank")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pseudonymise(docs, PII_KEY)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_join", near_duplicates), ("pii", private), ("packing", packed)]
 
 #: SQL can't express Feistel permutations or the packing of a histogram.
 ORACLE_SQL = None

@@ -19,6 +19,7 @@ from .packing import pack
 from .pii import pseudonymise
 from .quality_rules import COUNTS, quality_rules
 from .substring_dedup import remove_repeats
+from .toxicity import learn, score
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels"), sample=20_000), threshold=0.3)
+
+
 #: The pseudonyms' key in these queries; a real one is a secret of whoever runs them.
 PII_KEY = "curator"
 
@@ -67,7 +73,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_ngram_join, op4_bpe, op5_embedding_dedup, op6_pii, op7_line_dedup, op8_html_extraction, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_ngram_join, op4_bpe, op5_embedding_dedup, op6_pii, op7_line_dedup, op8_html_extraction, op9_quality_rules, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
