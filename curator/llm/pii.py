@@ -50,12 +50,18 @@ def _keyed(key: str, kind: str, step: int, *parts: Column) -> Column:
 def feistel(left: Column, right: Column, m: Column, n: Column, key: str, kind: str) -> Column:
     """A keyed permutation of pairs 0 <= left < m, 0 <= right < n; struct(l, r)."""
     state = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
+
+    def turn(step: int):
+        def left_moves(s: Column) -> Column:
+            return F.struct(F.pmod(s["l"] + F.pmod(_keyed(key, kind, step, s["r"], m, n), m), m).cast("bigint").alias("l"), s["r"].alias("r"))
+
+        def right_moves(s: Column) -> Column:
+            return F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_keyed(key, kind, step, s["l"], m, n), n), n).cast("bigint").alias("r"))
+
+        return right_moves if step % 2 else left_moves
+
     for step in range(ROUNDS):
-        if step % 2:
-            after = lambda s, step=step: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_keyed(key, kind, step, s["l"], m, n), n), n).cast("bigint").alias("r"))
-        else:
-            after = lambda s, step=step: F.struct(F.pmod(s["l"] + F.pmod(_keyed(key, kind, step, s["r"], m, n), m), m).cast("bigint").alias("l"), s["r"].alias("r"))
-        state = _let(state, after)
+        state = _let(state, turn(step))
     return state
 
 
