@@ -1,6 +1,6 @@
 """Queries by area; importing this package registers them."""
 
-from . import feed  # noqa: F401
+from . import feed, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
