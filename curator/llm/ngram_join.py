@@ -5,8 +5,8 @@ the sets' sizes keep most of it from being formed: n-grams are ordered by rising
 count array of fixed size over the whole corpus), and a pair that reaches similarity t shares one of the first
 n - ceil(t n) + 1 n-grams of each; where the common n-gram stands tells how large the overlap can still be.
 
-1. One pass counts n-grams by hash bucket; one writes for each document its set's size, hash and a 512-bit parity
-   sketch. Documents of equal sets are one class from here on, so copies are never paired.
+1. One pass counts n-grams by hash bucket and writes for each document its set's size, hash and a parity sketch of
+   about a bit for each n-gram. Documents of equal sets are one class from here on, so copies are never paired.
 2. One pass sends each class's prefix n-grams to their blocks. A block sorts its entries by n-gram. Short columns give
    all pairs that pass the bounds. Long ones give a star around the class that holds the n-gram earliest, and are kept.
 3. The pairs' overlaps are counted on the whole sets; those that reach the bound are links; components follow.
@@ -34,9 +34,12 @@ from pyspark.sql import functions as F
 from .common import mixed, ranges, shuffle_partitions, text_chunks, window_hashes, word_hashes, words_of, written
 from .graph import components
 
-SKETCH_BITS = 512
+#: Cells of the smallest sketch.
+LEAST_CELLS = 512
 #: Buckets of the document-frequency count: its size, and so the broadcast's, doesn't grow with the corpus.
 BUCKETS = 1 << 20
+#: Buckets in a part of it.
+CELLS = 4096
 #: Columns of the product up to this many classes give all their pairs at once.
 SHORT = 16
 #: Rows and columns of a square block in step 4.
@@ -64,13 +67,12 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero(short):
         own = hashes[offsets[i] : offsets[i + 1]]
         out[starts[i]] = xxhash.xxh3_64_intdigest(own.tobytes())
-    doc = np.repeat(np.arange(len(counts)), sizes)
-    order = np.lexsort((out, doc))
-    out, doc = out[order], doc[order]
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        out[lo:hi].sort()
     new = np.ones(len(out), bool)
-    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
-    out, doc = out[new], doc[new]
-    return out, np.searchsorted(doc, np.arange(len(counts) + 1))
+    new[1:] = out[1:] != out[:-1]
+    new[starts[:-1][sizes > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[starts]
 
 
 def set_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -79,12 +81,24 @@ def set_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed((sums[starts[1:]] - sums[starts[:-1]]) ^ np.diff(starts).astype(np.uint64)).view(np.int64)
 
 
-def sketches(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each set the parity of its members in each of 512 cells, as bytes."""
-    sets = len(starts) - 1
-    doc = np.repeat(np.arange(sets), np.diff(starts))
-    cells = np.bincount(doc * SKETCH_BITS + (hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=sets * SKETCH_BITS)
-    return np.packbits((cells & 1).astype(np.uint8).reshape(sets, SKETCH_BITS), axis=1)
+def sketches(hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """For each set the parity of its members in each of as many cells as it has members or more (a power of two), as bytes.
+
+    Two sketches of unlike size are compared after the larger one is folded: its halves' parities add up.
+    """
+    sizes = np.diff(starts)
+    cells = np.maximum(LEAST_CELLS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    begin = np.cumsum(cells) - cells
+    spot = np.repeat(begin, sizes) + (hashes & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits(np.bincount(spot, minlength=int(cells.sum())).astype(np.uint8) & 1)
+    return [bits[lo:hi].tobytes() for lo, hi in zip((begin // 8).tolist(), ((begin + cells) // 8).tolist())]
+
+
+def _folded(mark: np.ndarray, words: int) -> np.ndarray:
+    while mark.shape[-1] > words:
+        half = mark.shape[-1] // 2
+        mark = mark[..., :half] ^ mark[..., half:]
+    return mark
 
 
 def _needed(total: np.ndarray, t: int) -> np.ndarray:
@@ -93,18 +107,33 @@ def _needed(total: np.ndarray, t: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------- 1. statistics
-def frequency_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """For each bucket the logarithm of how far the number of n-grams there is above the usual: all documents count, the array's size is fixed."""
-    cells = 4096
+def scanned(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Rows of two kinds from one pass: a document's key, set size, set key and sketch; or, with a part number, how many n-grams of a task's documents fall into each bucket of that part."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for _, texts in text_chunks(batches, text):
-            hashes, _ = shingle_sets(texts, n)
-            total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        parts = [(i, part.astype("<i4").tobytes()) for i, part in enumerate(total.reshape(-1, cells)) if part.any()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "k", "mark", "part"]
+        total, kind = np.zeros(BUCKETS, np.int64), None
+        for batch, texts in text_chunks(batches, text):
+            hashes, starts = shingle_sets(texts, n)
+            np.add(total, np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=BUCKETS), out=total)
+            ids = batch.column(batch.schema.get_field_index(key))
+            kind, rows = ids.type, len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.diff(starts).astype(np.int64)), pa.array(set_keys(hashes, starts)), pa.array(sketches(hashes, starts), pa.binary()), pa.nulls(rows, pa.int32())], names=names
+            )
+        parts = [(i, part.astype("<i4").tobytes()) for i, part in enumerate(total.reshape(-1, CELLS)) if part.any()]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["part", "counts"])
+            m = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([p for _, p in parts], pa.binary()), pa.array([i for i, _ in parts], pa.int32())], names=names
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary, part int")
+
+
+def frequency_levels(partial: DataFrame) -> np.ndarray:
+    """For each bucket the logarithm of how far its count is above the usual: all documents count, the array's size is fixed."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -114,32 +143,15 @@ def frequency_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
-    schema = "part int, counts binary"
-    partial = docs.select(text).mapInArrow(count, schema)
-    rows = partial.repartition(shuffle_partitions(docs.sparkSession), "part").mapInArrow(add, schema).toArrow()  # BUCKETS counts
-    counts = np.zeros((BUCKETS // cells, cells), np.int64)
+    summed = partial.repartition(shuffle_partitions(partial.sparkSession), "part").mapInArrow(add, "part int, counts binary")
+    counts = np.zeros((BUCKETS // CELLS, CELLS), np.int64)
+    rows = summed.toArrow()  # BUCKETS counts
     for part, own in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
         counts[part] = np.frombuffer(own, np.int64)
     above = np.maximum(counts.reshape(-1) - 2 * counts.mean(), 0)
     return np.ceil(np.log2(above + 1)).astype(np.uint8)
 
 
-def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, size, set key and sketch of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, text):
-            hashes, starts = shingle_sets(texts, n)
-            marks = sketches(hashes, starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(key)), pa.array(np.diff(starts).astype(np.int64)), pa.array(set_keys(hashes, starts)), pa.array([m.tobytes() for m in marks], pa.binary())],
-                names=["id", "n", "k", "mark"],
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary")
-
-
 # ------------------------------------------------------------- 2. the blocks
 _ENTRY = np.dtype([("g", "<u8"), ("k", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
@@ -157,12 +169,11 @@ def _prefix_entries(hashes: np.ndarray, starts: np.ndarray, levels: np.ndarray,
     first = first[sizes[first] > 0]
     pick = ranges(starts[:-1][first], sizes[first])
     h, n = hashes[pick], sizes[first]
-    doc = np.repeat(np.arange(len(first)), n)
     level = levels[(h >> np.uint64(44)).astype(np.int64)]
-    order = np.lexsort((h, level, doc))
+    rank = (level.astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
     prefix = n + (-t * n // 100) + 1
-    begin = np.concatenate([[0], np.cumsum(n)])[:-1]
-    take = order[ranges(begin, prefix)]
+    ends = np.cumsum(n)
+    take = np.concatenate([lo + np.argsort(rank[lo:hi], kind="stable")[:p] for lo, hi, p in zip((ends - n).tolist(), ends.tolist(), prefix.tolist())] or [np.zeros(0, np.int64)])
     out = np.zeros(len(take), _ENTRY)
     out["g"], out["k"], out["n"] = h[take], np.repeat(keys[first], prefix), np.repeat(n, prefix)
     out["at"] = ranges(np.zeros(len(first), np.int64), prefix)
@@ -250,11 +261,9 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
 
 
 # ------------------------------------------------------------ 3. verification
-def _near(left, right, na, nb, t: int) -> np.ndarray:
-    """Whether sketches allow the bound: differing cells can't outnumber the n-grams that only one set has."""
-    apart = np.bitwise_count(left ^ right).sum(axis=-1)
-    total = na + nb
-    return apart <= total - 2 * _needed(total, t)
+def _near(apart: np.ndarray, na: np.ndarray, nb: np.ndarray, t: int) -> np.ndarray:
+    """Whether the bound can be reached: differing cells can't outnumber the n-grams that only one set has, nor can sizes differ much."""
+    return (apart <= na + nb - 2 * _needed(na + nb, t)) & (100 * np.minimum(na, nb) >= t * np.maximum(na, nb))
 
 
 def sketch_filter(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
@@ -264,8 +273,12 @@ def sketch_filter(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            ma, mb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (4, 5))
-            ok = _near(ma, mb, na, nb, t) & (np.minimum(na, nb) * 100 >= t * np.maximum(na, nb))
+            apart = []
+            for x, y in zip(batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                apart.append(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()))
+            ok = _near(np.array(apart, np.int64), na, nb, t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     return joined.mapInArrow(run, "a bigint, b bigint")
@@ -342,20 +355,29 @@ def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int
     squares = squares.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "k", "c", "n", "mark")
 
     def square(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        same = table["i"][0].as_py() == table["j"][0].as_py()
         k, c, n = (table[x].to_numpy() for x in ("k", "c", "n"))
-        mark = np.frombuffer(b"".join(table["mark"].to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         left = table["left"].to_numpy(zero_copy_only=False)
-        rows, cols = (np.arange(len(k)),) * 2 if i == j else (np.flatnonzero(left), np.flatnonzero(~left))
-        found = []
-        for lo in range(0, len(rows), 64):
-            r = rows[lo : lo + 64]
-            ok = _near(mark[r][:, None, :], mark[cols][None, :, :], n[r][:, None], n[cols][None, :], t) & (c[r][:, None] != c[cols][None, :])
-            if i == j:
-                ok &= r[:, None] < cols[None, :]
-            x, y = np.nonzero(ok)
-            found.append(np.stack([k[r[x]], k[cols[y]]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        marks = [np.frombuffer(m.as_buffer(), np.uint64) for m in table["mark"].combine_chunks()]
+        words = np.array([len(m) for m in marks])
+        found = [np.zeros((0, 2), np.int64)]
+        for size in np.unique(words):  # sets that can reach the bound have sketches of this size, or one of them of twice it
+            own = np.flatnonzero((words == size) | (words == 2 * size))
+            mark = np.stack([_folded(marks[i], size) for i in own])
+            rows = np.arange(len(own)) if same else np.flatnonzero(left[own])
+            cols = np.arange(len(own)) if same else np.flatnonzero(~left[own])
+            step = max(1, 4_000_000 // max(1, len(cols) * size))
+            for lo in range(0, len(rows), step):
+                r = rows[lo : lo + step]
+                apart = np.bitwise_count(mark[r][:, None, :] ^ mark[cols][None, :, :]).sum(axis=-1, dtype=np.int64)
+                x, y = own[r], own[cols]
+                ok = _near(apart, n[x][:, None], n[y][None, :], t) & (c[x][:, None] != c[y][None, :])
+                ok &= (words[x][:, None] == size) | (words[y][None, :] == size)
+                if same:
+                    ok &= x[:, None] < y[None, :]
+                i, j = np.nonzero(ok)
+                found.append(np.stack([k[x[i]], k[y[j]]], 1))
+        pairs = np.concatenate(found)
         return pa.table({"a": np.minimum(pairs[:, 0], pairs[:, 1]), "b": np.maximum(pairs[:, 0], pairs[:, 1])})
 
     return squares.groupBy("g", "i", "j").applyInArrow(square, "a bigint, b bigint")
@@ -365,8 +387,9 @@ def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links reach) of every row of docs."""
     spark, t = docs.sparkSession, percent
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, text, n))
-    table = written(set_table(docs, key, text, n))
+    scan = written(scanned(docs, key, text, n))
+    levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts"))))
+    table = scan.where("part is null").drop("part")
     full = table.where("n > 0")
     classes = written(full.groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mark").alias("mark")))
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).first()[0] or 0
