@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="curator-")).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir (a temporary folder only where that is unset)."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="curator-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """df as a Parquet table there."""
+    path = f"{root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
