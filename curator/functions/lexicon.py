@@ -31,7 +31,7 @@ def any_of(text: Column, keywords: list[str]) -> Column:
 
 def tier(text: Column, tiers: list[tuple[int, list[str]]]) -> Column:
     """The highest score among the tiers with a keyword in the text; 0 without."""
-    return F.greatest(F.lit(0), *[F.when(any_of(text, keywords), score).otherwise(0) for score, keywords in tiers])
+    return F.greatest(F.lit(0), F.lit(0), *[F.when(any_of(text, keywords), score).otherwise(0) for score, keywords in tiers])
 
 
 def relevant(title: Column, excluded: list[str], strong: list[str], weak: list[str]) -> Column:
