@@ -58,7 +58,7 @@ _FOLD = _Fold()
 def fold(text: str) -> str:
     """The folded text between two spaces."""
     if _HINT.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(DIGITS), unicodedata.normalize("NFKC", text))
+        text = _MIXED.sub(lambda m: m[0].rstrip("@$!|").translate(DIGITS) + " ", unicodedata.normalize("NFKC", text))
     return f" {' '.join(text.translate(_FOLD).split())} "
 
 
