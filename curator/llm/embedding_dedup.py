@@ -147,3 +147,22 @@ def embedding_near_dedup(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("least", "id").alias("component_id"),
         F.coalesce("least", "id").eqNullSafe(F.col("id")).alias("kept"),
     )
+
+
+#: The query as DuckDB SQL: all pairs, which the passes needn't look at.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+    SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, l.component_id = v.vec_id AS kept FROM v JOIN least l ON l.a = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
+"""

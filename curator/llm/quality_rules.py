@@ -4,7 +4,7 @@ Lines are normalised (lower case, trimmed) and hashed. For every host (``source`
 line the operator counts the documents that hold it, each document once. A line is above the limit if more than
 ``max_docs`` documents of the host hold it and if those documents differ from each other: copies of one document
 repeat all of its lines, and removing copies is the work of the deduplication operators, so a document's lines are
-counted under its signature (the least hash of its lines) and at least ``min_spread`` of the documents that hold a
+counted under its signature (the least MD5 of its lines) and at least ``min_spread`` of the documents that hold a
 line must have signatures of their own. Lines above the limit are removed. A document is rejected if it fails the
 base rules or if less than ``min_left`` of the characters in its lines stay. The text is read once: counts and line hashes go to
 a scratch table, from which the rest is computed.
@@ -110,7 +110,7 @@ def _scanned(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """The one pass over the texts: identity, key, counts, and for each line that isn't blank its hash and length."""
     lines = F.transform(
         F.filter(F.split(_normalised(F.col("_q_whole")), "\n"), lambda x: F.trim(x) != ""),
-        lambda x: F.struct(_line_hash(host, F.trim(x)).alias("line"), F.length(x).alias("chars")),
+        lambda x: F.struct(_line_hash(host, F.trim(x)).alias("line"), F.length(x).alias("chars"), F.md5(F.trim(x).cast("binary")).alias("mark")),
     )
     return with_counts(docs, text).select(
         F.col(key).alias("_q_key"), _identity(key, text, host).alias("_q_id"), *COUNTS, lines.alias("_q_lines")
@@ -119,7 +119,7 @@ def _scanned(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 def _line_rows(scanned: DataFrame) -> DataFrame:
     """A row for each line: the document's identity and signature, the line's hash and length."""
-    sign = F.array_min(F.transform("_q_lines", lambda x: F.xxhash64(x["line"], F.lit(7))))
+    sign = F.xxhash64(F.array_min(F.transform("_q_lines", lambda x: x["mark"])))
     return scanned.select("_q_id", sign.alias("_q_sign"), F.explode("_q_lines").alias("_q_l")).select(
         "_q_id", "_q_sign", F.col("_q_l.line").alias("_q_line"), F.col("_q_l.chars").alias("_q_chars")
     )
@@ -170,3 +170,37 @@ def filter_quality(
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("_q_hot").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return kept.select(*docs.columns)
+
+
+#: The digest query as DuckDB SQL (doc_id being unique there).
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, list_slice(words, i, i + 4) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+), twice AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 5) r(j) GROUP BY doc_id
+), raw AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, source, trim(x, ' ') AS line, length(x) AS chars FROM (
+        SELECT doc_id, source, unnest(string_split(trim(translate(lower(text), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), chr(10))) AS x FROM d) WHERE trim(x, ' ') <> ''
+), signs AS (
+    SELECT doc_id, min(md5(line)) AS sign FROM lines GROUP BY doc_id
+), holders AS (
+    SELECT DISTINCT l.source, l.line, l.doc_id, s.sign FROM lines l JOIN signs s USING (doc_id)
+), hot AS (
+    SELECT source, line FROM holders GROUP BY source, line HAVING count(*) > 20 AND count(DISTINCT sign) >= 0.5 * count(*)
+), lost AS (
+    SELECT l.doc_id, sum(l.chars) AS total, sum(CASE WHEN h.line IS NOT NULL THEN l.chars ELSE 0 END) AS gone
+    FROM lines l LEFT JOIN hot h ON l.source IS NOT DISTINCT FROM h.source AND l.line = h.line GROUP BY l.doc_id
+), counts AS (
+    SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        coalesce(raw.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.total, 0) AS total, coalesce(lost.gone, 0) AS gone
+    FROM d LEFT JOIN raw USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND total - gone >= 0.3 * total AS kept FROM counts
+"""

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import embedding_dedup, line_dedup, ngram_join, substring_dedup
+from . import quality_rules as quality
 from .bpe import decode_bpe, encode_bpe, id_count
 from .common import table
 from .embedding_dedup import embedding_near_dedup
-from . import line_dedup
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard
@@ -77,4 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE_SQL}
+    """The others can't be told in SQL: tokens, packing, learned weights, Feistel networks and trees are tested by brute force."""
+    return {
+        "op3_ngram_join": ngram_join.ORACLE_SQL,
+        "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op7_line_dedup": line_dedup.ORACLE_SQL,
+        "op9_quality_rules": quality.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    }

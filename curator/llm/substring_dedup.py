@@ -319,3 +319,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined.mapInArrow(run, T.StructType([*fields, *extra]))
+
+
+#: The digest query as DuckDB SQL.
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 19), ' ')) AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d WHERE len(words) >= 20)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, i + j AS i FROM later, range(0, 20) r(j)
+), words AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d
+), kept AS (
+    SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i WHERE g.i IS NULL GROUP BY w.doc_id
+), counts AS (
+    SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
