@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curator.llm.common import scratch_root, table
+from curator.llm.common import scratch_root, table, unused
 from curator.llm.line_dedup import dedup_lines
 from curator.llm.ngram_join import ngram_jaccard
 from curator.llm.packing import pack
@@ -35,10 +35,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links join, the one of least id stays."""
     found = ngram_jaccard(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn("_rank", rank).where((F.col("_rank") == 1) | F.col("doc_id").isNull()).drop("_rank")
+    first, rank = unused("_first", docs), unused("_rank", docs)
+    keys = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    return kept.withColumn(rank, copy).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ out. The hashes go to a scratch table in one pass over the texts; what is then s
 
 Edge cases: a null or empty text has no lines and stays; texts of fewer than three lines stay; a null key comes after
 all others; rows that share a key are one document's copies, none earlier than the other at equal places; an empty
-table gives an empty result; other columns pass through. Internal columns carry the prefix ``_l_``.
+table gives an empty result; other columns pass through, whatever their names, but ``n_lines`` and ``n_removed`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 SPACE = " \t\r\x0b\f"
 
@@ -57,20 +58,19 @@ def repeated_lines(docs: DataFrame, key: str, text: str, lines: int) -> DataFram
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = 3) -> DataFrame:
     """docs without their repeated lines, with n_lines (before) and n_removed; n_chars, where there is one, follows."""
-    spans = repeated_lines(docs, key, text, lines)
-    joined = docs.withColumn("_l_id", _identity(key, text)).join(spans, "_l_id", "left")
-    own = F.split(F.col(text), "\n")
-    covered = F.flatten(F.transform("_l_spans", lambda s: F.sequence(s["from"], s["to"])))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_l_own") - 1), covered)
-    hit = F.col("_l_spans").isNotNull()
+    ident, spans, own, stay = (unused(x, docs) for x in ("_l_id", "_l_spans", "_l_own", "_l_stay"))
+    found = repeated_lines(docs, key, text, lines).toDF(ident, spans)
+    joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left")
+    covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"])))
+    hit = F.col(spans).isNotNull()
     out = (
-        joined.withColumn("_l_own", own)
-        .withColumn("_l_stay", F.when(hit, stay))
+        joined.withColumn(own, F.split(F.col(text), "\n"))
+        .withColumn(stay, F.when(hit, F.array_except(F.sequence(F.lit(0), F.size(own) - 1), covered)))
         .withColumns(
             {
-                "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size("_l_own")).cast("bigint"),
-                "n_removed": F.when(hit, F.size("_l_own") - F.size("_l_stay")).otherwise(0).cast("bigint"),
-                text: F.when(hit, F.array_join(F.transform("_l_stay", lambda i: F.get("_l_own", i)), "\n")).otherwise(F.col(text)),
+                "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(own)).cast("bigint"),
+                "n_removed": F.when(hit, F.size(own) - F.size(stay)).otherwise(0).cast("bigint"),
+                text: F.when(hit, F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n")).otherwise(F.col(text)),
             }
         )
     )

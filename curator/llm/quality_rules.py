@@ -11,7 +11,7 @@ a scratch table, from which the rest is computed.
 
 Edge cases: a null text has no words and fails the base rules; a null ``source`` is a host of its own; rows that
 repeat are judged each by itself and get the same verdict; an empty table gives an empty result; other columns are
-passed through by ``filter_quality`` and ignored by ``quality_rules``. Internal columns carry the prefix ``_q_``.
+passed through by ``filter_quality``, whatever their names, and ignored by ``quality_rules``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -110,11 +110,10 @@ def _scanned(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """The one pass over the texts: identity, key, counts, and for each line that isn't blank its hash and length."""
     lines = F.transform(
         F.filter(F.split(_normalised(F.col("_q_whole")), "\n"), lambda x: F.trim(x) != ""),
-        lambda x: F.struct(_line_hash(host, F.trim(x)).alias("line"), F.length(x).alias("chars"), F.md5(F.trim(x).cast("binary")).alias("mark")),
-    )
-    return with_counts(docs, text).select(
-        F.col(key).alias("_q_key"), _identity(key, text, host).alias("_q_id"), *COUNTS, lines.alias("_q_lines")
+        lambda x: F.struct(_line_hash("_q_host", F.trim(x)).alias("line"), F.length(x).alias("chars"), F.md5(F.trim(x).cast("binary")).alias("mark")),
     )
+    own = docs.select(F.col(key).alias("_q_key"), F.col(text).alias("_q_text"), F.col(host).alias("_q_host"))
+    return with_counts(own, "_q_text").select("_q_key", _identity("_q_key", "_q_text", "_q_host").alias("_q_id"), *COUNTS, lines.alias("_q_lines"))
 
 
 def _line_rows(scanned: DataFrame) -> DataFrame:
@@ -163,12 +162,13 @@ def filter_quality(
 ) -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns, without the lines above the limit in their text (n_chars follows)."""
     judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_spread, min_left)
-    verdict = judged.where("kept").select("_q_id", "_q_hot").dropDuplicates(["_q_id"])
-    kept = docs.withColumn("_q_id", _identity(key, text, host)).join(verdict, "_q_id")
-    stay = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains("_q_hot", _line_hash(host, _normalised(x))))
-    kept = kept.withColumn(text, F.when(F.col("_q_hot").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")))
+    ident, hot = unused("_q_id", docs), unused("_q_hot", docs)
+    verdict = judged.where("kept").select(F.col("_q_id").alias(ident), F.col("_q_hot").alias(hot)).dropDuplicates([ident])
+    kept = docs.withColumn(ident, _identity(key, text, host)).join(verdict, ident)
+    stay = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(hot, _line_hash(host, _normalised(x))))
+    kept = kept.withColumn(text, F.when(F.col(hot).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_q_hot").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+        kept = kept.withColumn("n_chars", F.when(F.col(hot).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return kept.select(*docs.columns)
 
 

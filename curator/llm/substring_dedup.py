@@ -16,7 +16,8 @@ an anchor: such a run is shipped once, as a segment of at most 2 * width - 5 wor
 
 Edge cases: a null or empty text has no words and gives an empty one; order is by key, then place; a null key comes
 after all others; rows that share a key are one document's copies, neither of which is earlier than the other at equal
-places; an empty table gives an empty result; other columns pass through. Internal columns carry the prefix ``_s_``.
+places; an empty table gives an empty result; other columns pass through, whatever their names, but ``n_words``,
+``n_removed`` and ``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, ranges, shuffle_partitions, text_chunks, window_hashes, word_hashes, words_of, written
+from .common import mixed, ranges, shuffle_partitions, text_chunks, unused, window_hashes, word_hashes, words_of, written
 
 GRAM = 5
 #: Anchors, or segments, that a block holds about.
@@ -294,14 +295,15 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int) -> DataFram
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    spans = repeated_spans(docs, key, text, width)
-    joined = docs.withColumn("_s_id", _identity(key, text)).join(spans, "_s_id", "left").drop("_s_id")
+    ident, spans = unused("_s_id", docs), unused("_s_spans", docs)
+    found = repeated_spans(docs, key, text, width).toDF(ident, spans)
+    joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left").drop(ident)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, text):
             words, offsets = words_of(texts)
             cover = np.zeros(len(words) + 1, np.int64)
-            lists = batch.column(batch.schema.get_field_index("_s_spans"))
+            lists = batch.column(batch.schema.get_field_index(spans))
             doc = pc.list_parent_indices(lists).to_numpy()
             flat = lists.flatten()
             begin = offsets[doc] + flat.field(0).to_numpy(zero_copy_only=False)
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             n = np.diff(offsets)
             new = kept_before[offsets]
             kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(new), words.filter(pa.array(stay))), pa.scalar(" ", words.type))
-            names = [x for x in batch.schema.names if x not in ("_s_spans", "n_words", "n_removed", "kept")]
+            names = [x for x in batch.schema.names if x not in (spans, "n_words", "n_removed", "kept")]
             columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(n - np.diff(new)), kept.cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 

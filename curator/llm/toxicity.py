@@ -172,7 +172,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_t_key")).agg(F.max(label).alias("_t_label"))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("_t_key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.join(F.broadcast(chosen), F.col(key) == F.col("_t_key")).select("_t_label", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = docs.select(F.col(key).alias("_t_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(chosen), F.col("_t_doc") == F.col("_t_key")).select("_t_label", "text")
     known = written(texts.groupBy(F.xxhash64("text").alias("_t_hash")).agg(F.max("_t_label").alias("y"), F.first("text").alias("text")).select("y", "text"))
     totals = {r["y"] > 0: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(True, 0), totals.get(False, 0)

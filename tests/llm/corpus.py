@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _q_id string, extra int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _q_id string, _l_id int"
 
 
 def documents(seed=1, n=60):

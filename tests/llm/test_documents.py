@@ -67,7 +67,7 @@ def test_quality_rules(spark, docs):
         _, t, _, host, *_ = by_id[r.doc_id]
         assert r.line_chars <= sum(len(normal(x)) + 2 for x in (t or "").split("\n") if len(holders[host, normal(x)]) > 4)
     kept = filter_quality(docs, **limit)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r._q_id for r in kept.collect()} <= {"x", None}
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert quality_rules(empty(spark)).count() == 0 and filter_quality(empty(spark)).count() == 0
 
