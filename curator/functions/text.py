@@ -118,3 +118,11 @@ def absolute(href: Column, base: Column) -> Column:
 
 def extension_allowed(name: Column, allowed: list[str]) -> Column:
     return name.contains(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(allowed)
+
+
+def safe_html(text: Column, allowed: tuple[str, ...] = ("b", "i", "em", "strong", "p", "br", "ul", "ol", "li")) -> Column:
+    """Only allowed elements, without attributes; scripts go with their content; plain text keeps its line breaks."""
+    out = F.regexp_replace(text, r"(?is)<(script|style)\b.*?</(script|style)>", "")
+    out = F.regexp_replace(out, rf"(?i)<(/?)({'|'.join(allowed)})(?:\s[^>]*)?/?>", "\x01$1$2\x02")
+    out = F.translate(F.regexp_replace(out, r"<[^>]*>", ""), "\x01\x02", "<>")
+    return F.when(F.contains(text, F.lit("<")), out).otherwise(F.replace(text, F.lit("\n"), F.lit("<br>")))

@@ -68,3 +68,14 @@ def setting(settings: DataFrame, name: str, default: str, key: str = "setting_ke
 def retained(files: DataFrame, modified: str, as_of: str, days: int) -> DataFrame:
     """The backups that a retention policy keeps."""
     return files.where(F.col(modified) >= F.expr(f"timestamp_ntz'{as_of}'") - F.expr(f"interval {int(days)} days"))
+
+
+def replayed(log: DataFrame, key: str, event: str, order: list[str], start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
+    """(key, state): where each key's events, in order, lead by the allowed moves (state, event) -> state; others change nothing.
+
+    A key's events are one array: meant for logs of items, whose number of events is small.
+    """
+    table = F.create_map(*[F.lit(x) for (s, e), to in moves.items() for x in (f"{s}>{e}", to)])
+    events = F.sort_array(F.collect_list(F.struct(*order, F.col(event).alias("_e"))))
+    step = lambda s, x: F.coalesce(F.try_element_at(table, F.concat(s, F.lit(">"), x["_e"])), s)
+    return log.groupBy(key).agg(events.alias("_log")).select(key, F.aggregate("_log", F.lit(start), step).alias("state"))

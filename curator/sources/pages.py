@@ -56,3 +56,60 @@ def backup(df: DataFrame, path: str, stamp: str) -> str:
     target = f"{path.rstrip('/')}/{stamp}"
     df.write.mode("errorifexists").option("compression", "gzip").parquet(target)
     return target
+
+
+def article_body(html: Column, least: int = 100, most: int = 10_000) -> Column:
+    """The text of the article element, else of the paragraphs; null where it is too short, cut where it is too long."""
+    shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>", " ")
+    article = F.regexp_extract(shown, r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    paragraphs = F.array_join(F.regexp_extract_all(shown, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), " ")
+    text = F.regexp_replace(F.when(article != "", article).otherwise(paragraphs), r"<[^>]*>", " ")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(text) > least, F.substring(text, 1, most))
+
+
+def pdf_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, link) of the distinct PDF files that pages link to."""
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']?([^\"'>\s]+\.pdf)"), F.lit(1)))
+    return pages.select(key, url, F.explode(found).alias("href")).select(key, absolute(F.col("href"), F.col(url)).alias("link")).distinct()
+
+
+def rss_items(feeds: DataFrame, key: str, xml: str, most: int = 20) -> DataFrame:
+    """(key, place, title, link, published) of a feed's first items that have a title and a link."""
+    rows = feeds.select(key, F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("place", "item"))
+    part = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)^<!\[CDATA\[(.*)\]\]>$", "$1"))
+    when = F.regexp_extract(part("pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    items = rows.select(key, "place", part("title").alias("title"), part("link").alias("link"), F.try_to_timestamp(when, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz").alias("published"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))
+    return items.where((F.col("title") != "") & (F.col("link") != "")).withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
+
+
+def review_list(files: DataFrame, most: int) -> DataFrame:
+    """The newest review files: by day, then by file name as text; with a title and a preview."""
+    first = F.regexp_extract("text", r"^#? ?([^\n]*)", 1)
+    named = files.withColumn("name", F.concat(F.lit("news_"), F.col("news_id").cast("string"), F.lit(".md")))
+    return named.orderBy(F.desc("day"), F.desc("name")).limit(most).select("day", "news_id", first.alias("title"), F.substring("text", 1, 200).alias("preview"))
+
+
+def latest_reviews(files: DataFrame) -> DataFrame:
+    """The text of each item's review in the newest folder that has one."""
+    return files.groupBy("news_id").agg(F.max_by("text", "day").alias("text"), F.max("day").alias("day"))
+
+
+def write_reviews(documents: DataFrame, path: str) -> None:
+    """(day, text) as text files under a folder for each day."""
+    documents.select("day", F.col("text").alias("value")).write.mode("append").option("lineSep", "\n\n").partitionBy("day").text(path)
+
+
+def backups(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size_mb, modified) of the snapshot files under a folder, newest first."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "file")
+
+
+def enabled_sources(registry: DataFrame, week: int | None = None) -> DataFrame:
+    """Sources that are enabled, up to a week of the roll-out."""
+    on = registry.where("enabled")
+    return on if week is None else on.where(F.col("week") <= week)
