@@ -50,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand Python tasks at most so many rows at a time: texts may be long, and a batch is held whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """name, with as many underscores behind it as it takes not to be a column of df."""
     taken = {c.lower() for c in df.columns}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, ranges, shuffle_partitions, text_chunks, window_hashes, word_hashes, words_of, written
+from .common import bounded_batches, mixed, ranges, shuffle_partitions, text_chunks, window_hashes, word_hashes, words_of, written
 from .graph import components
 
 #: Cells of the smallest sketch.
@@ -387,6 +387,7 @@ def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links reach) of every row of docs."""
     spark, t = docs.sparkSession, percent
+    bounded_batches(spark)
     scan = written(scanned(docs, key, text, n))
     levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts"))))
     table = scan.where("part is null").drop("part")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, ranges, shuffle_partitions, text_chunks, unused, window_hashes, word_hashes, words_of, written
+from .common import bounded_batches, mixed, ranges, shuffle_partitions, text_chunks, unused, window_hashes, word_hashes, words_of, written
 
 GRAM = 5
 #: Anchors, or segments, that a block holds about.
@@ -295,6 +295,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int) -> DataFram
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
+    bounded_batches(docs.sparkSession)
     ident, spans = unused("_s_id", docs), unused("_s_spans", docs)
     found = repeated_spans(docs, key, text, width).toDF(ident, spans)
     joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left").drop(ident)
