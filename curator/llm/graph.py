@@ -40,35 +40,46 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m, the value that least (a, m) has for their a.
+
+    least is a table of its own first, so that the join is planned with its size: a small one is broadcast, and for a
+    large one both sides are dealt by a, of which Spark splits what a node with many edges makes too large.
+    """
+    return edges.join(written(least), "a")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")))
     across = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return across.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges, which all lead to lesser nodes, are stars: every node has one edge down or is a centre."""
+    leaves = edges.select("a", F.lit(1).alias("n"), F.lit(0).alias("top"))
+    tops = edges.select(F.col("b").alias("a"), F.lit(0).alias("n"), F.lit(1).alias("top")).distinct()
+    return leaves.unionByName(tops).groupBy("a").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where("n > 1 OR (n = 1 AND top = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
-    Alternates large and small stars until the edges stay as they are, which takes a number of rounds that grows with
-    the logarithm of the size. Every round is a table in the shared folder. Self-loops and nulls are left out.
+    Alternates large and small stars until only stars are left, which takes a number of rounds that grows with the
+    logarithm of the size. Every round is a table in the shared folder. Self-loops and nulls are left out.
     """
-    clean = edges.toDF("a", "b").where("a <> b")
-    now = written(clean.mapInArrow(_local, "a bigint, b bigint"))
-    last = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-        after = written(_small_star(_large_star(now)))
-        dropped(now)
+    now = written(edges.toDF("a", "b").where("a <> b").mapInArrow(_local, "a bigint, b bigint").distinct())
+    while not _settled(now):
+        large = written(_large_star(now))
+        after = written(_small_star(large))
+        dropped(now, large)
         now = after
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

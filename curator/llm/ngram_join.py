@@ -344,8 +344,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 # ------------------------------------------------------------ 4. long columns
 def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int) -> DataFrame:
     """Pairs of different components in one long column that size and sketch allow."""
-    labelled = columns.join(parts.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", F.coalesce("component", "k").alias("c"))
-    open_columns = (
+    labelled = written(columns.join(parts.select(F.col("node").alias("k"), "component"), "k", "left").select("g", "k", F.coalesce("component", "k").alias("c")))
+    # a table of its own: the join is then planned with its size, and large columns can be split
+    open_columns = written(
         labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
         .select("g", F.ceil(F.col("size") / SQUARE).cast("int").alias("side"))
     )
