@@ -55,6 +55,28 @@ def test_embedding_dedup(spark, monkeypatch, square):
     assert embedding_dedup.embedding_near_dedup(df.limit(0)).count() == 0
 
 
+def test_passes_grow_with_the_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((300, 48))
+    y -= (y * x[:300]).sum(1, keepdims=True) * x[:300]
+    near = 0.955 * x[:300] + math.sqrt(1 - 0.955**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(np.concatenate([x, near]).tolist())), "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dedup(df, window=2).collect()}
+    assert got == {i: (int(i < 300 or i >= 4000), i - 4000 if i >= 4000 else i) for i in range(4300)}
+
+
+def test_neighbours_across_a_cut_are_compared(spark):
+    unit = np.array([1.0, 0.0]).tobytes()
+    rows = [(0, i, i, unit if i in (3, 4) else np.array([np.cos(i), np.sin(i)]).tobytes()) for i in range(1, 7)]
+    for cuts in (2, 6):  # rows 3 and 4 on either side of a cut; a row in each task
+        order = spark.createDataFrame(spark.sparkContext.parallelize(rows, cuts), "pass int, code bigint, k bigint, unit binary")
+        found = embedding_dedup.window_links(order, 2, 0.9999)
+        assert found.where("b is not null").count() == 0
+        assert [(r.a, r.b) for r in embedding_dedup.links_over_cuts(found, 2, 0.9999).where("a <> b").collect()] == [(4, 3)]
+
+
 # ----------------------------------------------------------------------- pages
 def test_extraction(spark):
     nav = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav>"
