@@ -99,6 +99,18 @@ def test_extraction(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_they_end():
+    text = lambda page: " ".join(b[3] for b in html_extract.blocks_of(html_extract.parse(page)))
+    assert text("<script>for(var i=0;i<n;i++){track(i)}</script><p>Body") == "Body"
+    assert text("<style>a<b{}</style><textarea>1<x </textarea><p>Body</p>") == "Body"
+    assert text("<html><head><title>a<b</title><meta charset=x><body><p>Body") == "Body"
+    assert text("<head><title>t</title><p>Body") == "Body"
+    assert text("<datalist><option>a<option>b</datalist><p>Body</p>") == "Body"
+    assert text("<select><option>a<option>b</select><p>Body</p>") == "Body"
+    assert text("<p>One</p><script>open('</p>')") == "One"
+    assert text("<svg><svg>a</svg>b</svg><p>Body") == "Body"
+
+
 # ------------------------------------------------------------------------- pii
 def test_feistel_permutes(spark):
     df = spark.range(20 * 21).select(feistel(F.floor(F.col("id") / 21), F.col("id") % 21, F.lit(20), F.lit(21), "k", "t").alias("p")).select("p.l", "p.r")
