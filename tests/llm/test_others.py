@@ -111,6 +111,25 @@ def test_raw_elements_end_where_they_end():
     assert text("<svg><svg>a</svg>b</svg><p>Body") == "Body"
 
 
+def test_wrapper_grows_from_several_pages(spark):
+    rows = []
+    for i in range(60):
+        extra = "<div>Extra {0} line</div>".format(i) if i % 3 == 0 else ""
+        own = "".join(f"<p>Story {i} part {j}</p>" for j in range(1 + i % 5))
+        notice = "" if i % 10 == 0 else "<section><p>Prices may differ from shop to shop</p></section>"
+        rows.append((i, f"https://d.example/{i}", f"<body>{extra}<div><p>Welcome all</p></div><div>{own}<p>All rights reserved</p></div>{notice}</body>"))
+    rows[0] = (0, "https://d.example/0", "<p>Error</p>")  # the least key
+    rows += [(100 + i, f"https://e.example/{i}", f"<div>Text {i} here</div><div>Same all over</div>" if i else "") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert got[0] == "Error" and got[100] == ""
+    for i in range(1, 60):
+        assert got[i].split("\n") == [f"Extra {i} line"] * (i % 3 == 0) + [f"Story {i} part {j}" for j in range(1 + i % 5)]
+    assert all(got[100 + i] == f"Text {i} here" for i in range(1, 20))
+    deep = html_extract.parse("<div>" * 3000 + "x")
+    assert html_extract.match_trees(html_extract.grown(["<div>" * 3000 + "y"]), deep) == 3002
+
+
 # ------------------------------------------------------------------------- pii
 def test_feistel_permutes(spark):
     df = spark.range(20 * 21).select(feistel(F.floor(F.col("id") / 21), F.col("id") % 21, F.lit(20), F.lit(21), "k", "t").alias("p")).select("p.l", "p.r")
