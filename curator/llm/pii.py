@@ -29,7 +29,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"(?i:(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z+/_.~-]*\d)[A-Za-z0-9+/_.~-]{6,})"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?:(?=T\d\d)|(?![\w/-]|\.\d))"
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -104,6 +104,28 @@ def permuted_card(digits: Column, key: str) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
 
 
+def _card(value: Column, key: str) -> Column:
+    """value with the card number in it permuted; None if it holds none.
+
+    A run of digits may hold more than the number, such as an expiry or a count before or behind it. Any whole groups
+    of it that have 12 to 19 digits and a valid check digit are one: a single group first, else the longest, the
+    leftmost of equals.
+    """
+
+    def ranges(parts: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2))
+        text = lambda lo, n: F.array_join(F.slice(parts, lo, n), "")
+        one = lambda i, j: F.struct(
+            (i != j).alias("several"), (-F.length(_digits(text(i + 1, j - i + 1)))).alias("n"), i.alias("i"),
+            text(F.lit(1), i).alias("head"), text(i + 1, j - i + 1).alias("card"), text(j + 2, F.size(parts)).alias("tail"),
+        )
+        every = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: j >= i), lambda j: one(i, j))))
+        return F.sort_array(F.filter(every, lambda c: c["n"].between(-19, -12) & luhn_valid(_digits(c["card"]))))
+
+    found = _let(F.regexp_extract_all(value, F.lit("[0-9]+|[ -]"), F.lit(0)), ranges)
+    return _let(F.get(found, F.lit(0)), lambda c: F.concat(c["head"], _respelled(c["card"], permuted_card(_digits(c["card"]), key)), c["tail"]))
+
+
 def permuted_ipv4(value: Column, key: str) -> Column:
     part = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
     pair = _let(part, lambda p: feistel(F.get(p, F.lit(0)) * 256 + F.get(p, F.lit(1)), F.get(p, F.lit(2)) * 256 + F.get(p, F.lit(3)), F.lit(65536), F.lit(65536), key, "ipv4"))
@@ -186,7 +208,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(whole(IPV4), F.when(F.forall(octets, lambda x: x <= 255), permuted_ipv4(value, key)))
         .when(whole(SSN), _respelled(value, permuted_digits(digits, key, "ssn")))
         .when(whole(PHONE), F.when(F.length(local).between(7, 15), _respelled(value, F.concat(F.left(digits, country), permuted_digits(local, key, "phone")))))
-        .when(whole(CARD), F.when(luhn_valid(digits), _respelled(value, permuted_card(digits, key))))
+        .when(whole(CARD), _card(value, key))
         .when(whole(IBAN), _iban(value, key))
     )
     return F.coalesce(moved, value)

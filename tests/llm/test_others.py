@@ -163,6 +163,18 @@ def test_pseudonyms(spark):
     assert pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_cards_beside_other_digits_and_dates_before_times(spark):
+    texts = ["card 4041894974608795 12/27", "card 4041 8949 7460 8795 737", "2 4041894974608795", "card 4041894974608795", "at 2024-05-01T12:00:00Z", "on 2024-05-01", "no 4041894974608796 12", "2024-05-01Tx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r.text for r in sorted(pseudonymise(df, "secret").collect())]
+    card = got[3][5:]
+    assert card != "4041894974608795" and len(card) == 16
+    assert got[0] == f"card {card} 12/27" and got[2] == f"2 {card}"
+    assert got[1] == f"card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} 737"
+    assert got[5] != texts[5] and got[4] == f"at {got[5][3:]}T12:00:00Z"
+    assert got[6:] == texts[6:]
+
+
 # -------------------------------------------------------------------- toxicity
 def test_fold():
     assert fold("You ІD10T, Ｌｏｓｅｒ! p@thetic 2024") == " you idiot loser pathetic 2024 "
