@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The vector's length, the n-grams it is made of, and how much text it sees.
 DIMENSIONS, SMALLEST, LARGEST, SEEN = 384, 2, 4, 1024
+#: Items that a group of the search holds, about.
+CHUNK = 20_000
 
 
 def _chunk(digest: Column, i: int) -> Column:
@@ -52,38 +52,45 @@ def dense(components: DataFrame, key: str, dimensions: int = DIMENSIONS) -> Data
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most: int = 4096) -> DataFrame:
     """(query, item, cosine, rank): the k most similar other items of each query, exactly.
 
-    The stated queries go to every task in blocks of `most`; a task keeps k items for each, and the best of all tasks
-    follow. So no pair of items is formed that isn't one of a stated query.
+    Queries are dealt to blocks of about `most`, items to chunks of about `CHUNK`; each pair of a block and a chunk is
+    one group, which keeps k items for each of its queries, and the best of all chunks follow. So no pair of items is
+    formed that isn't one of a stated query, and nothing goes to the driver but two counts. Vectors that are null or
+    hold nulls, and vectors of different lengths, are never compared.
     """
-    stated = [(r[0], r[1]) for r in queries.select(key, vector).collect()]
-    kind = items.schema[key].dataType.simpleString()
-    schema = f"query {kind}, item {kind}, cosine double"
-    out = None
-    for lo in range(0, len(stated), most):
-        names = np.array([x for x, _ in stated[lo : lo + most]])
-        q = np.array([v for _, v in stated[lo : lo + most]], np.float64)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    own = part.column(0).to_numpy()
-                    x = np.array(part.column(1).to_pylist(), np.float64)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    cosine = q @ x.T
-                    cosine[names[:, None] == own[None, :]] = -np.inf
-                    ids = np.concatenate([ids, np.broadcast_to(own, cosine.shape)], axis=1)
-                    scores = np.concatenate([scores, cosine], axis=1)
-                    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable)
+    given = items.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable)
+    blocks, chunks = max(1, -(-asked.count() // most)), max(1, -(-given.count() // CHUNK))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(dealt(blocks).alias("block"), every(chunks).alias("chunk"), F.lit(True).alias("asks"), "id", "v")
+    right = given.select(every(blocks).alias("block"), dealt(chunks).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
+
+    def best(table: pa.Table) -> pa.Table:
+        asks, names = table["asks"].to_numpy(zero_copy_only=False), table["id"].to_numpy()
+        vectors = table["v"].combine_chunks()
+        lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        out: list[tuple[np.ndarray, ...]] = [(names[:0], names[:0], np.zeros(0))]
+        for length in np.unique(lengths[asks]):
+            rows = lambda side: np.flatnonzero((lengths == length) & (asks == side))  # noqa: B023, E731
+            matrix = lambda at: vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(length))  # noqa: B023, E731
+            unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            mine, theirs = rows(True), rows(False)
+            q = unit(matrix(mine))
+            ids, scores = np.zeros((len(q), 0), names.dtype), np.zeros((len(q), 0))
+            for lo in range(0, len(theirs), 2000):
+                at = theirs[lo : lo + 2000]
+                cosine = q @ unit(matrix(at)).T
+                cosine[names[mine][:, None] == names[at][None, :]] = -np.inf
+                ids = np.concatenate([ids, np.broadcast_to(names[at], cosine.shape)], axis=1)
+                scores = np.concatenate([scores, cosine], axis=1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
             keep = np.isfinite(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], scores.shape)[keep]), pa.array(ids[keep]), pa.array(scores[keep])], names=["query", "item", "cosine"])
+            out.append((np.broadcast_to(names[mine][:, None], scores.shape)[keep], ids[keep], scores[keep]))
+        return pa.table(dict(zip(("query", "item", "cosine"), map(np.concatenate, zip(*out)))))
 
-        found = items.select(key, vector).mapInArrow(best, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = items.sparkSession.createDataFrame([], schema)
+    kind = items.schema[key].dataType.simpleString()
+    found = left.unionByName(right).groupBy("block", "chunk").applyInArrow(best, f"query {kind}, item {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "item"))
-    return out.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)

@@ -134,3 +134,21 @@ def test_review_files(spark, tmp_path):
     (day / "news_7.md").write_text("# t\n\n## Comment\nfine\n")
     row = P.read_reviews(spark, str(tmp_path)).first()
     assert (row.day, row.news_id) == (datetime.date(2024, 1, 2), 7)
+
+
+def test_top_k_by_blocks_and_chunks(spark, monkeypatch):
+    import numpy as np
+
+    from curator.operators import vectors
+
+    monkeypatch.setattr(vectors, "CHUNK", 15)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(50)] + [(50, None), (51, [1.0, None] * 3), (52, [1.0, 2.0]), (53, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["query"], r["rank"], r["item"], round(r["cosine"], 9)) for r in vectors.cosine_top_k(df, df, 3, most=8).collect())
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and None not in v}
+    want = []
+    for i, x in unit.items():
+        best = sorted((-float(x @ y), j) for j, y in unit.items() if j != i and len(x) == len(y))[:3]
+        want += [(i, n + 1, j, round(-c, 9)) for n, (c, j) in enumerate(best)]
+    assert got == sorted(want)
