@@ -1,13 +1,11 @@
 """Quality rules: per-document counts and cross-document line frequency, in DataFrame expressions only.
 
-Lines are normalised (lower case, trimmed) and hashed. For every host (``source``) and
-line the operator counts the documents that hold it, each document once. A line is above the limit if more than
-``max_docs`` documents of the host hold it and if those documents differ from each other: copies of one document
-repeat all of its lines, and removing copies is the work of the deduplication operators, so a document's lines are
-counted under its signature (the least MD5 of its lines) and at least ``min_spread`` of the documents that hold a
-line must have signatures of their own. Lines above the limit are removed. A document is rejected if it fails the
-base rules or if less than ``min_left`` of the characters in its lines stay. The text is read once: counts and line hashes go to
-a scratch table, from which the rest is computed.
+Lines are normalised (lower case, trimmed) and hashed. For every host (``source``) and line the operator counts the
+distinct documents that hold it; equal texts of a host are one document, so its copies don't make its lines frequent.
+Lines that more than ``max_docs`` documents of a host hold are removed, and a document is rejected if it fails the base
+rules or if less than ``min_left`` of the characters in its lines stay. The text is read once: counts and line hashes
+go to a scratch table, from which the rest is computed. There a line is first counted with its copies, which is one
+partial aggregate; only lines above the limit by that count have their documents told apart.
 
 Edge cases: a null text has no words and fails the base rules; a null ``source`` is a host of its own; rows that
 repeat are judged each by itself and get the same verdict; an empty table gives an empty result; other columns are
@@ -19,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import dropped, unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -107,61 +105,55 @@ def _identity(key: str, text: str, host: str) -> Column:
 
 
 def _scanned(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """The one pass over the texts: identity, key, counts, and for each line that isn't blank its hash and length."""
+    """The one pass over the texts: identity, key, counts, characters in lines, and for each line that isn't blank its hash and length."""
     lines = F.transform(
-        F.filter(F.split(_normalised(F.col("_q_whole")), "\n"), lambda x: F.trim(x) != ""),
-        lambda x: F.struct(_line_hash("_q_host", F.trim(x)).alias("line"), F.length(x).alias("chars"), F.md5(F.trim(x).cast("binary")).alias("mark")),
+        F.filter(F.transform(F.split(_normalised(F.col("_q_whole")), "\n"), lambda x: F.trim(x)), lambda x: x != ""),
+        lambda x: F.struct(_line_hash("_q_host", x).alias("line"), F.length(x).alias("chars")),
     )
     own = docs.select(F.col(key).alias("_q_key"), F.col(text).alias("_q_text"), F.col(host).alias("_q_host"))
-    return with_counts(own, "_q_text").select("_q_key", _identity("_q_key", "_q_text", "_q_host").alias("_q_id"), *COUNTS, lines.alias("_q_lines"))
+    counted = with_counts(own, "_q_text").withColumn("_q_lines", lines)
+    return counted.select(
+        "_q_key", _identity("_q_key", "_q_text", "_q_host").alias("_q_id"), F.xxhash64("_q_whole").alias("_q_doc"), *COUNTS,
+        F.aggregate("_q_lines", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"]).alias("_q_all"), "_q_lines",
+    )
 
 
-def _line_rows(scanned: DataFrame) -> DataFrame:
-    """A row for each line: the document's identity and signature, the line's hash and length."""
-    sign = F.xxhash64(F.array_min(F.transform("_q_lines", lambda x: x["mark"])))
-    return scanned.select("_q_id", sign.alias("_q_sign"), F.explode("_q_lines").alias("_q_l")).select(
-        "_q_id", "_q_sign", F.col("_q_l.line").alias("_q_line"), F.col("_q_l.chars").alias("_q_chars")
-    )
-
-
-def frequent_lines(rows: DataFrame, max_docs: int, min_spread: float) -> DataFrame:
-    """Hashes of the lines above the limit.
+def frequent_lines(scanned: DataFrame, max_docs: int) -> DataFrame:
+    """Hashes of the lines that more than max_docs distinct documents of their host hold, as a table of its own."""
+    rows = scanned.select("_q_doc", F.explode(F.array_distinct(F.transform("_q_lines", lambda x: x["line"]))).alias("_q_line"))
+    often = written(rows.groupBy("_q_line").agg(F.count(F.lit(1)).alias("_q_n")).where(F.col("_q_n") > max_docs).select("_q_line"))
+    held = rows.join(often, "_q_line").distinct()
+    out = written(held.groupBy("_q_line").agg(F.count(F.lit(1)).alias("_q_n")).where(F.col("_q_n") > max_docs).select("_q_line"))
+    dropped(often)
+    return out
 
-    Documents are counted once each: the first aggregate is by line, signature and document. It also keeps all holders
-    of a hot line out of one task.
-    """
-    by_doc = rows.groupBy("_q_line", "_q_sign", "_q_id").agg(F.lit(1).alias("_q_one"))
-    by_sign = by_doc.groupBy("_q_line", "_q_sign").agg(F.count(F.lit(1)).alias("_q_n"))
-    by_line = by_sign.groupBy("_q_line").agg(F.sum("_q_n").alias("_q_docs"), F.count(F.lit(1)).alias("_q_signs"))
-    return by_line.where((F.col("_q_docs") > max_docs) & (F.col("_q_signs") >= min_spread * F.col("_q_docs"))).select("_q_line")
 
-
-def quality_rules(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_spread: float = 0.5, min_left: float = 0.3
-) -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_left: float = 0.3) -> DataFrame:
     """key, the base counts, line_chars (characters in lines above the limit), base_failed and kept of every row of docs."""
-    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_spread, min_left)
+    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
     return judged.select(F.col("_q_key").alias(key), *COUNTS, F.col("_q_lost").alias("line_chars"), "base_failed", "kept")
 
 
-def _judged(scanned: DataFrame, max_docs: int, min_spread: float, min_left: float) -> DataFrame:
-    rows = _line_rows(scanned)
-    hot = rows.join(frequent_lines(rows, max_docs, min_spread), "_q_line").groupBy("_q_id").agg(F.collect_set("_q_line").alias("_q_hot"))
-    held = F.filter("_q_lines", lambda x: F.array_contains("_q_hot", x["line"]))
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + x["chars"])
+def _judged(scanned: DataFrame, max_docs: int, min_left: float) -> DataFrame:
+    """The scanned rows with their verdict; _q_hot holds the hashes of their lines above the limit."""
+    lines = scanned.select("_q_id", F.posexplode("_q_lines").alias("_q_at", "_q_l")).select("_q_id", "_q_at", F.col("_q_l.line").alias("_q_line"), F.col("_q_l.chars").alias("_q_chars"))
+    # places tell the lines of a document apart and are the same in rows that repeat it
+    found = lines.join(frequent_lines(scanned, max_docs), "_q_line").groupBy("_q_id").agg(F.collect_set(F.struct("_q_at", "_q_line", "_q_chars")).alias("_q_found"))
+    lost = found.select(
+        "_q_id", F.array_distinct(F.transform("_q_found", lambda x: x["_q_line"])).alias("_q_hot"),
+        F.aggregate("_q_found", F.lit(0).cast("bigint"), lambda a, x: a + x["_q_chars"]).alias("_q_lost"),
+    )
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return (
-        scanned.join(hot, "_q_id", "left")
-        .withColumns({"_q_lost": F.coalesce(chars(held), F.lit(0).cast("bigint")), "_q_all": chars(F.col("_q_lines")), "base_failed": failed})
+        scanned.drop("_q_lines").join(lost, "_q_id", "left")
+        .withColumns({"_q_lost": F.coalesce("_q_lost", F.lit(0).cast("bigint")), "base_failed": failed})
         .withColumn("kept", ~failed & (F.col("_q_all") - F.col("_q_lost") >= min_left * F.col("_q_all")))
-    )
+    )
 
 
-def filter_quality(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_spread: float = 0.5, min_left: float = 0.3
-) -> DataFrame:
+def filter_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_left: float = 0.3) -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns, without the lines above the limit in their text (n_chars follows)."""
-    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_spread, min_left)
+    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
     ident, hot = unused("_q_id", docs), unused("_q_hot", docs)
     verdict = judged.where("kept").select(F.col("_q_id").alias(ident), F.col("_q_hot").alias(hot)).dropDuplicates([ident])
     kept = docs.withColumn(ident, _identity(key, text, host)).join(verdict, ident)
@@ -185,14 +177,10 @@ WITH d AS (
 ), raw AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), lines AS (
-    SELECT doc_id, source, trim(x, ' ') AS line, length(x) AS chars FROM (
-        SELECT doc_id, source, unnest(string_split(trim(translate(lower(text), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), chr(10))) AS x FROM d) WHERE trim(x, ' ') <> ''
-), signs AS (
-    SELECT doc_id, min(md5(line)) AS sign FROM lines GROUP BY doc_id
-), holders AS (
-    SELECT DISTINCT l.source, l.line, l.doc_id, s.sign FROM lines l JOIN signs s USING (doc_id)
+    SELECT doc_id, source, text, trim(x, ' ') AS line, length(trim(x, ' ')) AS chars FROM (
+        SELECT doc_id, source, text, unnest(string_split(trim(translate(lower(text), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), chr(10))) AS x FROM d) WHERE trim(x, ' ') <> ''
 ), hot AS (
-    SELECT source, line FROM holders GROUP BY source, line HAVING count(*) > 20 AND count(DISTINCT sign) >= 0.5 * count(*)
+    SELECT source, line FROM (SELECT DISTINCT source, line, sha256(text) FROM lines) GROUP BY source, line HAVING count(*) > 20
 ), lost AS (
     SELECT l.doc_id, sum(l.chars) AS total, sum(CASE WHEN h.line IS NOT NULL THEN l.chars ELSE 0 END) AS gone
     FROM lines l LEFT JOIN hot h ON l.source IS NOT DISTINCT FROM h.source AND l.line = h.line GROUP BY l.doc_id

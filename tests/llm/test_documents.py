@@ -47,31 +47,59 @@ def normal(line):
     return re.sub("[\t\x0b\x0c\r]", " ", line.lower()).strip(" ")
 
 
-def test_quality_rules(spark, docs):
-    limit = dict(max_docs=4, min_spread=0.5, min_left=0.3)
-    holders = defaultdict(list)
-    for i, t, _, host, *_ in {r[:2] + r[2:] for r in ROWS}:
-        for x in {normal(x) for x in (t or "").split("\n")} - {""}:
-            holders[host, x].append(i)
+def verdicts(rows, max_docs, min_left):
+    """(key, host, text) -> (characters in frequent lines, kept, text without them), by the rule's own words."""
+    holders = defaultdict(set)
+    for _, t, host in rows:
+        for x in (t or "").split("\n"):
+            holders[host, normal(x)].add(t)
+    out = {}
+    for i, t, host in rows:
+        own = [(x, normal(x)) for x in (t or "").split("\n")]
+        hot = {y for _, y in own if y and len(holders[host, y]) > max_docs}
+        total, lost = sum(len(y) for _, y in own), sum(len(y) for _, y in own if y in hot)
+        n, *_, repeats = base(t)
+        failed = n < 10 or 100 * repeats > 20 * n
+        out[i, host, t] = lost, not failed and total - lost >= min_left * total, "\n".join(x for x, y in own if y not in hot) if hot else t
+    return out
+
+
+@pytest.mark.parametrize("max_docs", [2, 4])
+def test_quality_rules(spark, docs, max_docs):
+    limit = dict(max_docs=max_docs, min_left=0.3)
     got = sorted(quality_rules(docs, **limit).collect(), key=str)
     assert len(got) == len(ROWS)
     plain = {(r[0], base(r[1])) for r in ROWS}
     assert {(r.doc_id, tuple(r[c] for c in COUNTS)) for r in got} == plain
     for r in got:
-        n, repeats = r.n_words, r.n_repeat_words
-        assert r.base_failed == (n < 10 or 100 * repeats > 20 * n)
-        assert not (r.kept and r.base_failed)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+    want = verdicts([(r[0], r[1], r[3]) for r in ROWS], **limit)
+    assert {(r.doc_id, r.line_chars, r.kept) for r in got} == {(i, lost, kept) for (i, *_), (lost, kept, _) in want.items()}
     assert any(r.line_chars for r in got)
-    by_id = {r[0]: r for r in ROWS}
-    for r in got:
-        _, t, _, host, *_ = by_id[r.doc_id]
-        assert r.line_chars <= sum(len(normal(x)) + 2 for x in (t or "").split("\n") if len(holders[host, normal(x)]) > 4)
     kept = filter_quality(docs, **limit)
     assert kept.columns == docs.columns and {r._q_id for r in kept.collect()} <= {"x", None}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r[0], want[r[0], r[3], r[1]][2]) for r in ROWS if want[r[0], r[3], r[1]][1])
     assert quality_rules(empty(spark)).count() == 0 and filter_quality(empty(spark)).count() == 0
 
 
+def test_lines_at_and_above_the_limit(spark):
+    """Whatever other lines the documents hold, a line of limit + 1 different documents is above it, one of just the limit isn't; copies don't count."""
+    body = lambda i: "\n".join(f"own{i} line{j} " + " ".join(f"w{i * 7 + j}x{k}" for k in range(9)) for j in range(1 + i % 6))
+    rows = []
+    for host in range(30):
+        for i in range(21 if host % 2 else 20):
+            rows.append((100 * host + i, f"{body(100 * host + i)}\nShared {host}", "en", f"h{host}", 1, None, None))
+        rows += [(100 * host + 50 + i, rows[-1][1], "en", f"h{host}", 1, None, None) for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules(frame(spark, rows)).collect()}
+    assert {i: r.line_chars > 0 for i, r in got.items()} == {r[0]: r[0] // 100 % 2 == 1 for r in rows}
+    whole = " ".join(f"a{k}" for k in range(12))
+    half = [(i, f"{whole}\n" + f"{i:04d} " * 3, "en", "h", 1, None, None) for i in range(30)]
+    lost, left = len(whole), len("0000 0000 0000")
+    edge = left / (lost + left)
+    assert {r.kept for r in quality_rules(frame(spark, half), min_left=edge - 1e-9).collect()} == {True}
+    assert {r.kept for r in quality_rules(frame(spark, half), min_left=edge + 1e-9).collect()} == {False}
+
+
 def test_depleted_documents_go_and_copies_stay(spark):
     long_line = lambda x: " ".join(f"{x}{k}" for k in range(30))
     menu = "\n".join(long_line(x) for x in "abc")
@@ -261,3 +289,27 @@ def test_pack_histogram():
     assert pack_histogram({}, 32) == []
 
 
+def shortest_pack_first(lengths, size):
+    """One item at a time: into the pack with the most room, if it fits there."""
+    packs = []
+    for x in sorted(lengths, reverse=True):
+        at = min(range(len(packs)), key=lambda i: sum(packs[i]), default=None)
+        if at is None or sum(packs[at]) + x > size:
+            packs.append([x])
+        else:
+            packs[at].append(x)
+    return packs
+
+
+def test_shortest_pack_goes_first():
+    import random
+
+    assert sorted(pack_histogram({60: 1, 50: 1, 30: 1}, 100)) == [([(50, 1), (30, 1)], 1), ([(60, 1)], 1)]  # the fullest pack would be 60's
+    rng = random.Random(11)
+    for _ in range(60):
+        counts = {rng.randint(1, 40): rng.randint(1, 30) for _ in range(rng.randint(1, 15))}
+        got = [sum(x * k for x, k in pattern) for pattern, packs in pack_histogram(counts, 40) for _ in range(packs)]
+        # packs of equal length are interchangeable, so their lengths tell all
+        assert sorted(got) == sorted(map(sum, shortest_pack_first([x for x, k in counts.items() for _ in range(k)], 40)))
+
+
