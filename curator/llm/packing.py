@@ -1,8 +1,9 @@
 """Packing: shortest-pack-first over the histogram of lengths.
 
 Texts are tokenised and cut into pieces of at most ``size`` ids. The histogram of piece lengths (at most ``size``
-entries, whatever the input) goes to the driver, where lengths are placed longest first: each goes into the fullest
-packs that still have room for it, and only the counts of packing patterns change. Every length then knows which
+entries, whatever the input) goes to the driver, where lengths are placed longest first: each goes into the shortest
+packs, those with the most room, or opens new ones if it doesn't fit there, and only the counts of packing patterns
+change. Every length then knows which
 ranks of its pieces go to which pattern and slot, a table of a few entries per length. Pieces get a rank within their
 length from a running number within their task plus the count in earlier tasks, so no task gathers a length.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,26 +47,30 @@ def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[list[tuple[i
             insort(rooms, room)
         open_packs[room].append((pattern, packs))
 
+    def extended(pattern: list[tuple[int, int]], length: int, times: int) -> list[tuple[int, int]]:
+        if pattern and pattern[-1][0] == length:
+            return [*pattern[:-1], (length, pattern[-1][1] + times)]
+        return [*pattern, (length, times)]
+
     for length in sorted((k for k, n in counts.items() if n), reverse=True):
         left = counts[length]
         while left:
-            at = bisect_left(rooms, length)
-            if at < len(rooms):
-                room = rooms[at]
+            if rooms and rooms[-1] >= length:
+                room = rooms[-1]
                 pattern, packs = open_packs[room].pop()
                 if not open_packs[room]:
-                    rooms.pop(at)
+                    rooms.pop()
+                # as often as these packs stay the shortest
+                times = min(room // length, (room - rooms[-1]) // length + 1 if rooms else room)
             else:
-                room, pattern, packs = size, [], left
-            times = room // length
+                room, pattern, packs = size, [], -(-left // (size // length))
+                times = size // length if left >= size // length else left
+            if pattern and left < packs * times:  # a round less often, or only some of them once more
+                times = max(1, left // packs)
             full = min(packs, left // times)
-            put([*pattern, (length, times)], full, room - times * length)
+            put(extended(pattern, length, times), full, room - times * length)
             left -= full * times
             packs -= full
-            if packs and left:  # fewer are left than one pack takes
-                put([*pattern, (length, left)], 1, room - left * length)
-                packs -= 1
-                left = 0
             if pattern:
                 put(pattern, packs, room)
     return done + [x for packs in open_packs.values() for x in packs]
