@@ -7,7 +7,8 @@ format by a keyed Feistel network, so that equal values stay equal across docume
   what separates the digits stays. Cards keep a valid check digit, IBANs valid check digits, phone numbers their
   country code;
 * IPv4 addresses: two halves of 16 bits;
-* dates: the day within its 400 years of the calendar (189 * 773 days), so every result is a date.
+* dates: the day within its 400 years of the calendar (189 * 773 days), so every result is a date; one that doesn't fit
+  the spelling (month first, or one digit for day or month) is permuted again until it does.
 
 E-mail addresses, access keys and secrets have no digits-only format; they get a keyed hash spelled in their own
 alphabet and length, which keeps equal values linked. The ``key`` is a secret of the caller.
@@ -141,21 +142,40 @@ def permuted_day(day: Column, key: str) -> Column:
     return _let(pair, lambda p: F.date_add(F.lit("1600-01-01").cast("date"), (era * 146097 + p["l"] * 773 + p["r"]).cast("int")))
 
 
+#: Steps after which a walk among dates ends. Less than 10^-21 of the walks would need more, with one digit for day and month.
+WALK = 200
+
+
+def walked_day(day: Column, key: str, fits) -> Column:
+    """A date that fits permuted among those that do: permuted_day again and again, until one fits (no two dates end at the same)."""
+    start = F.struct(day.alias("day"), F.lit(False).alias("done"))
+    step = lambda s: _let(permuted_day(s["day"], key), lambda d: F.struct(d.alias("day"), fits(d).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["day"])
+
+
 def _date(value: Column, key: str) -> Column:
-    """Dates in their own order of day, month and year; those that can only be month first are read so. None if it is no date."""
-    part = F.transform(F.split(value, r"[./-]"), lambda x: x.cast("int"))
+    """A date in the order, digits and signs that it has; None if it is no date of the years 400 to 9999.
+
+    Dates that can only be month first are read so, all others day first. A date stays in its form: one that can only
+    be month first becomes such a one, and a day or month of one digit keeps one. So no two dates get one pseudonym.
+    """
 
     def read(p: Column) -> Column:
         a, b, c = (F.get(p, F.lit(i)) for i in range(3))
-        made = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
-        first, day_first, month_first = F.length(F.substring_index(F.regexp_replace(value, "[./]", "-"), "-", 1)) == 4, made(c, b, a), made(c, a, b)
-        day = F.when(first, made(a, b, c)).otherwise(F.coalesce(day_first, month_first))
-        form = F.when(first, F.lit("yyyyMMdd")).when(day_first.isNotNull(), F.lit("ddMMyyyy")).otherwise(F.lit("MMddyyyy"))
-        out = _let(permuted_day(day, key), lambda d: F.when(form == "yyyyMMdd", F.date_format(d, "yyyyMMdd")).when(form == "ddMMyyyy", F.date_format(d, "ddMMyyyy")).otherwise(F.date_format(d, "MMddyyyy")))
-        wide = F.regexp_replace(F.regexp_replace(value, r"^(\d)(?=\D)", "0$1"), r"(\D)(\d)(?=\D)", "$10$2")
-        return F.when(day.isNotNull(), _respelled(wide, out))
-
-    return _let(part, read)
+        made = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        iso = F.length(a) == 4
+        swapped = ~iso & made(c, b, a).isNull()
+        day = F.when(iso, made(a, b, c)).otherwise(F.coalesce(made(c, b, a), made(c, a, b)))
+        first = lambda d: F.when(swapped, F.month(d)).otherwise(F.dayofmonth(d))
+        second = lambda d: F.when(swapped, F.dayofmonth(d)).otherwise(F.month(d))
+        fits = lambda d: iso | (((F.length(a) == 2) | (first(d) < 10)) & ((F.length(b) == 2) | (second(d) < 10)) & (~swapped | (second(d) > 12)))
+        spelled = lambda d: F.when(iso, F.date_format(d, "yyyyMMdd")).otherwise(
+            F.concat(F.lpad(first(d).cast("string"), F.length(a), F.lit("0")), F.lpad(second(d).cast("string"), F.length(b), F.lit("0")), F.date_format(d, "yyyy"))
+        )
+        moved = _let(walked_day(day, key, fits), spelled)
+        return F.when(day.isNotNull() & F.year(day).between(400, 9999), _respelled(value, moved))
+
+    return _let(F.split(value, r"[./-]"), read)
 
 
 def _spelled(value: Column, key: str, kind: str) -> Column:

@@ -1,9 +1,11 @@
 """Embeddings, pages, PII and toxicity on small fixtures, and the pipeline's contract."""
 
 import datetime
+import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +132,58 @@ def test_wrapper_grows_from_several_pages(spark):
     assert html_extract.match_trees(html_extract.grown(["<div>" * 3000 + "y"]), deep) == 3002
 
 
+def test_names_are_weak_signs():
+    text = lambda page: "|".join(b[3] for b in html_extract.blocks_of(html_extract.parse(page)))
+    body = "<p>Some text of the page that is long enough</p>"
+    assert text(f"<form id=aspnetForm><nav>n</nav><div>{body}</div></form>") == text(body)
+    assert text(f"<form id=aspnetForm><nav>n</nav><article>{body}<form>Your name</form></article></form>") == text(body)
+    assert text(f"<article><div class=article-header><h1>Head</h1></div>{body}</article>") == "Head|" + text(body)
+    assert text(f"<div class=header><h1>Head</h1></div>{body}") == "Head|" + text(body)
+    assert text(f"<div class=search-results-page>{body}</div>") == text(body)
+    assert text(f"<div class=related-work><p>Others</p></div>{body}") == "Others|" + text(body)
+    assert text(f"<div class='related-posts'><p>Others</p></div><div class='ad-box'>Buy</div><div id=cookie-notice>We</div><div class=sidebar>s</div>{body}") == text(body)
+    readers = "<div id=comments class=comments-area><article class=comment-body><p>me too, and much more of it than there is text in the page</p></article></div>"
+    assert text(body + readers) == text(f"<article>{body}</article>{readers}") == text(f"<div class=has-comments>{body}{readers}</div>") == text(body)
+    assert text("<form><p>q</p></form>") == "q"  # nothing else is there
+    assert text(f"{body}<form><label>q</label></form>") == text(body)
+
+
+def test_many_siblings_take_seconds():
+    began = time.perf_counter()
+    page = lambda k: "<body>" + "".join(f"<div class=a>{k} {i}</div><p>{k} {i} b</p>" for i in range(20_000)) + "</body>"
+    matching = html_extract.grown([page("x"), page("y") + "<div>more</div>"])
+    tree = html_extract.parse(page("z"))
+    assert html_extract.match_trees(matching, tree) == 80_001
+    assert len({b[0] for b in html_extract.blocks_of(tree)} - {-1}) == 40_000
+    assert time.perf_counter() - began < 60
+
+
+def test_alignment_weighs_subtrees():
+    """The largest matching of small trees, against all alignments."""
+    rng = random.Random(21)
+
+    def tree(deep):
+        node = html_extract.Node(rng.choice("ab"), "", None, 0)
+        node.label = node.tag
+        node.children = [tree(deep - 1) for _ in range(rng.randint(0, 3))] if deep else []
+        return node
+
+    def best(a, b):
+        if a.label != b.label:
+            return 0
+        n, m = len(a.children), len(b.children)
+        size = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + best(a.children[i], b.children[j]))
+        return 1 + size[n][m]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        a.label = b.label = "r"
+        assert html_extract.match_trees(html_extract.Matching(a), b) == best(a, b)
+
+
 # ------------------------------------------------------------------------- pii
 def test_feistel_permutes(spark):
     df = spark.range(20 * 21).select(feistel(F.floor(F.col("id") / 21), F.col("id") % 21, F.lit(20), F.lit(21), "k", "t").alias("p")).select("p.l", "p.r")
@@ -175,6 +229,116 @@ def test_cards_beside_other_digits_and_dates_before_times(spark):
     assert got[6:] == texts[6:]
 
 
+def test_dates_are_one_to_one(spark):
+    """All days of some years in all spellings: each keeps its form, and no two get one pseudonym."""
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(n) for y in (1993, 2000, 2024) for n in range(365)]
+    texts = {f.format(d=d, y=d.year) for d in days for f in ("{d:%Y-%m-%d}", "{y}/{d:%m/%d}", "{d:%d/%m/%Y}", "{d:%m/%d/%Y}", "{d.day}/{d.month}/{y}", "{d.month}/{d.day}/{y}", "{d.day}.{d:%m}.{y}", "{d:%m}-{d.day}-{y}")}
+    rows = [(t,) for t in sorted(texts)]
+    got = [r.text for r in pseudonymise(spark.createDataFrame(rows, "text string").repartition(4), "k").select("text").collect()]
+    assert len(set(got)) == len(rows) and len(set(got) & texts) < 0.05 * len(texts)
+    form = lambda t: re.sub(r"\d", "9", t)
+    month_first = lambda t: not re.match(r"\d{4}", t) and int(re.split(r"\D", t)[1]) > 12
+    count = lambda ts: sorted((form(t), month_first(t)) for t in ts)
+    assert count(got) == count(texts)
+    for t in got:
+        p = [int(x) for x in re.split(r"\D", t)]
+        datetime.date(*(p if p[0] > 31 else (p[2], p[0], p[1]) if p[1] > 12 else p[::-1]))
+    odd = spark.createDataFrame([("0001-02-03 and 0399-12-31, 31/31/2024, 0/1/2024",)], "text string")
+    assert pseudonymise(odd, "k").first().text == odd.first().text
+
+
+def plain_feistel(left, right, m, n, key, kind):
+    for step in range(8):
+        own = right if step % 2 == 0 else left
+        turn = int(hashlib.sha256(f"{key}|{kind}|{step}|{own}|{m}|{n}".encode()).hexdigest()[:15], 16)
+        left, right = ((left + turn) % m, right) if step % 2 == 0 else (left, (right + turn) % n)
+    return left, right
+
+
+def plain_digits(digits, key, kind):
+    half = len(digits) // 2
+    rest = len(digits) - half
+    a, b = plain_feistel(int(digits[:half]), int(digits[half:]), 10**half, 10**rest, key, kind)
+    return f"{a:0{half}}{b:0{rest}}"
+
+
+def luhn(digits):
+    return sum(int(x) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(x)] for i, x in enumerate(reversed(digits))) % 10
+
+
+def respelled(value, digits):
+    own = iter(digits)
+    return re.sub(r"\d", lambda _: next(own), value)
+
+
+def plain_pseudonym(kind, value, key):
+    digits = re.sub(r"\D", "", value)
+    if kind == "ssn":
+        return respelled(value, plain_digits(digits, key, "ssn"))
+    if kind == "card":
+        if luhn(digits):
+            return value
+        body = plain_digits(digits[:-1], key, "card")
+        return respelled(value, body + str(-luhn(body + "0") % 10))
+    if kind == "ipv4":
+        o = [int(x) for x in value.split(".")]
+        if max(o) > 255:
+            return value
+        a, b = plain_feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "iban":
+        as_number = lambda t: int("".join(str(int(c, 36)) for c in t))
+        plain = value.replace(" ", "")
+        if as_number(plain[4:] + plain[:4]) % 97 != 1:
+            return value
+        own = re.sub(r"\D", "", plain[4:])
+        body = respelled(plain[4:], plain_digits(own, key, "iban"))
+        return respelled(value, f"{98 - as_number(body + plain[:2] + '00') % 97:02}" + re.sub(r"\D", "", body))
+    assert kind == "iso"
+    try:
+        day = datetime.date.fromisoformat(value)
+    except ValueError:
+        return value
+    n = (day - datetime.date(1600, 1, 1)).days
+    a, b = plain_feistel(n % 146097 // 773, n % 146097 % 773, 189, 773, key, "date")
+    return str(datetime.date(1600, 1, 1) + datetime.timedelta(n // 146097 * 146097 + a * 773 + b))
+
+
+def test_pseudonyms_equal_a_plain_version(spark):
+    """Whole and very long texts, repeated rows, clashing columns; numbers right and wrong; collisions nowhere."""
+    rng = random.Random(12)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def value(kind):
+        if kind == "card":
+            body = number(15)
+            own = body + str(-luhn(body + "0") % 10 if rng.random() < 0.7 else rng.randrange(10))
+            return own if luhn(own) or rng.random() < 0.5 else "-".join(own[i : i + 4] for i in range(0, 16, 4))  # groups of a wrong one may hold a shorter number
+        if kind == "iban":
+            body = "WEST" * (rng.random() < 0.3) + number(14)
+            check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+            own = f"GB{check if rng.random() < 0.8 else 10:02}{body}"
+            return own if rng.random() < 0.5 or len(own) % 4 > 3 else " ".join(own[i : i + 4] for i in range(0, len(own), 4))
+        return {"ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}", "ipv4": lambda: ".".join(str(rng.randrange(260)) for _ in range(4)), "iso": lambda: f"{rng.randrange(1000, 3000)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 32):02}"}[kind]()
+
+    rows, want, pairs = [], {}, {}
+    for i in range(200):
+        parts, moved = [], []
+        for _ in range(3000 if i == 7 else rng.randint(0, 12)):
+            kind = rng.choice(["card", "ssn", "ipv4", "iso", "iban"])
+            own = value(kind)
+            parts.append(own)
+            moved.append(plain_pseudonym(kind, own, "k1"))
+            pairs[own] = kind, moved[-1]
+        rows.append((i, " plain words, ".join(parts), "v", 5))
+        want[i] = " plain words, ".join(moved)
+    df = spark.createDataFrame([*rows, rows[3], (None, None, None, None)], "doc_id bigint, text string, value string, `_l` int").repartition(3)
+    got = pseudonymise(df, "k1").collect()
+    assert len(got) == 202 and {r.doc_id: r.text for r in got} == want | {None: None}
+    spelled = {(k, re.sub(r"[ -]", "", v)) for v, (k, _) in pairs.items()}
+    assert len({(k, re.sub(r"[ -]", "", m)) for k, m in pairs.values()}) == len(spelled)
+
+
 # -------------------------------------------------------------------- toxicity
 def test_fold():
     assert fold("You ІD10T, Ｌｏｓｅｒ! p@thetic 2024") == " you idiot loser pathetic 2024 "
