@@ -206,7 +206,9 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
             out[r] += ok @ copies[cols]
         return pa.table({"k": table["k"], "links": pa.array(out)})
 
-    return squares.groupBy("component", "i", "j").applyInArrow(square, "k bigint, links bigint").groupBy("k").agg(F.sum("links").alias("links"))
+    # the rows are already dealt by component, which would do for these groups too; a large component's squares are to spread
+    dealt = squares.repartition("component", "i", "j")
+    return dealt.groupBy("component", "i", "j").applyInArrow(square, "k bigint, links bigint").groupBy("k").agg(F.sum("links").alias("links"))
 
 
 def embedding_near_dedup(
