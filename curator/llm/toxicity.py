@@ -167,8 +167,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, purity: float = 0.5) -> Lexicon:
-    """The lexicon from at most about `sample` labelled documents outside the held-out part."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, purity: float = 0.5, entries: int = 20_000, exceptions: int = 5_000) -> Lexicon:
+    """The lexicon from at most about `sample` labelled documents outside the held-out part.
+
+    It is chosen from the `entries` most frequent word beginnings of which at least `purity` of the documents are
+    toxic, and has the `exceptions` most frequent exception phrases at most: both bound what the driver holds.
+    """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_t_key")).agg(F.max(label).alias("_t_label"))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("_t_key"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -193,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     counts = known.mapInArrow(count, "entry string, bad bigint, n bigint").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     least = max(3, toxic // 500)
-    strong = counts.where((F.col("bad") >= least) & (F.col("bad") >= purity * F.col("n"))).orderBy(F.desc("bad"), "entry").limit(20_000).collect()
+    strong = counts.where((F.col("bad") >= least) & (F.col("bad") >= purity * F.col("n"))).orderBy(F.desc("bad"), "entry").limit(entries).collect()
     weights = {r["entry"]: math.log((r["bad"] + 0.5) / (toxic + 1)) - math.log((r["n"] - r["bad"] + 0.5) / (clean + 1)) for r in strong}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([y for _, y in rows], pa.int64())], names=["phrase", "y"])
 
     spared = known.mapInArrow(phrases, "phrase string, y bigint").groupBy("phrase").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-    lexicon.exceptions = [r["phrase"] for r in spared.where("n - bad >= 5 and bad * 20 <= n").orderBy(F.desc("n"), "phrase").limit(5000).collect()]
+    lexicon.exceptions = [r["phrase"] for r in spared.where("n - bad >= 5 and bad * 20 <= n").orderBy(F.desc("n"), "phrase").limit(exceptions).collect()]
     lexicon.automaton = None
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
