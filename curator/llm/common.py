@@ -18,9 +18,11 @@ CHUNK_CHARS = 4_000_000
 
 # ------------------------------------------------------------------ scratch
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one if all runs on this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("curator.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curator-")
         spark.conf.set("curator.scratch.dir", root)
     return root.rstrip("/")
