@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,16 +22,25 @@ def found(text: Column, keywords: list[str]) -> Column:
 
 
 def hits(text: Column, keywords: list[str]) -> Column:
-    return F.size(found(text, keywords))
+    """How many of the keywords are in the text: a sum of plain tests, which Spark compiles."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(k)).cast("int") for k in keywords], F.lit(0))
 
 
 def any_of(text: Column, keywords: list[str]) -> Column:
-    return F.exists(words(keywords), lambda k: F.contains(text, k))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords], F.lit(False))
 
 
 def tier(text: Column, tiers: list[tuple[int, list[str]]]) -> Column:
-    """The highest score among the tiers with a keyword in the text; 0 without."""
-    return F.greatest(F.lit(0), F.lit(0), *[F.when(any_of(text, keywords), score).otherwise(0) for score, keywords in tiers])
+    """The highest score among the tiers with a keyword in the text; 0 without. Lower tiers are only looked for without a higher one."""
+    out = F.lit(0)
+    for score, keywords in sorted(tiers, key=lambda t: t[0]):
+        out = F.when(any_of(text, keywords), score).otherwise(out)
+    return out
+
+
+def bound(items: DataFrame, name: str, value: Column) -> DataFrame:
+    """items with a column whose value is computed once for a row: neither projections nor filters that use it copy its expression, as they would a plain one's."""
+    return items.withColumn(name, F.explode(F.array(value)))
 
 
 def relevant(title: Column, excluded: list[str], strong: list[str], weak: list[str]) -> Column:
@@ -75,25 +84,41 @@ def scope(text: Column, broad: list[str], deep: list[str]) -> Column:
     return F.when(b > d, F.struct((10 + b).alias("score"), F.lit(True).alias("broad"))).when(d > b, F.struct((5 - d).alias("score"), F.lit(False).alias("broad"))).otherwise(F.struct(F.lit(7).alias("score"), F.lit(True).alias("broad")))
 
 
-# Thresholds of the largest amount in a text, and their scores.
+# Thresholds of the amount in a text, and their scores.
 AMOUNT_STEPS = ((1e11, 100), (1e10, 80), (1e9, 60), (1e8, 40))
 AMOUNT_FLOOR = 20
 
 
-def largest_amount(text: Column, units: list[tuple[str, float]]) -> Column:
-    """The largest "number unit" in the text, each unit with its factor; 0 without any."""
-    times = lambda factor: lambda x: x.cast("double") * factor
-    each = [F.transform(F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?) ?{unit}"), F.lit(1)), times(factor)) for unit, factor in units]
-    return F.coalesce(F.array_max(F.concat(*each)), F.lit(0.0))
+@dataclass(frozen=True)
+class Amounts:
+    """How amounts are told: the largest unit and its factor, a word that stands for an amount without a number, a smaller unit, and the amount from which that isn't looked for."""
+
+    largest: tuple[str, float]
+    word: tuple[str, float]
+    smaller: tuple[str, float]
+    enough: float = 1e8
+
+
+def amount_of(text: Column, amounts: Amounts) -> Column:
+    """The most "number unit" in the largest unit; without any the word's amount; and if that isn't enough, the most in the smaller unit if it is more."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    most = lambda unit, factor: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(rf"(\d+(?:\.\d+)?)\s*{unit}"), F.lit(1)), lambda x: x.cast("double") * factor)), F.lit(0.0))
+    word, worth = amounts.word
+    first = let(most(*amounts.largest), lambda x: F.when(x == 0, F.when(F.contains(text, F.lit(word)), F.lit(worth)).otherwise(0.0)).otherwise(x))
+    return let(first, lambda x: F.when(x < amounts.enough, F.greatest(x, most(*amounts.smaller))).otherwise(x))
+
+
+def economic_scale(text: Column, amounts: Amounts, bonuses: list[tuple[int, list[str]]]) -> Column:
+    """A score for the amount (never less than the floor), more for scope words, 100 at most."""
 
+    def base(amount: Column) -> Column:
+        out = F.lit(AMOUNT_FLOOR)
+        for least, score in reversed(AMOUNT_STEPS):
+            out = F.when(amount >= least, score).otherwise(out)
+        return out
 
-def economic_scale(text: Column, units: list[tuple[str, float]], bonuses: list[tuple[int, list[str]]]) -> Column:
-    """A score for the largest amount (never less than the floor), more for scope words, 100 at most."""
-    amount = largest_amount(text, units)
-    base = F.lit(AMOUNT_FLOOR)
-    for least, score in reversed(AMOUNT_STEPS):
-        base = F.when(amount >= least, score).otherwise(base)
-    return F.least(F.lit(100), base + tier(text, bonuses))
+    score = F.get(F.transform(F.array(amount_of(text, amounts)), base), F.lit(0))
+    return F.least(F.lit(100), score + tier(text, bonuses))
 
 
 @dataclass(frozen=True)
@@ -109,12 +134,10 @@ class Corporate:
 
 
 def corporate(text: Column, lexicon: Corporate) -> Column:
-    """State-owned first (more if strategic), then private, foreign, local and generic names, each only raising the score."""
-    score = F.when(any_of(text, lexicon.state_owned), F.when(any_of(text, lexicon.strategic), 100).otherwise(85)).otherwise(0)
-    score = F.when(any_of(text, lexicon.private) & (score < 80), 80).otherwise(score)
-    score = F.when(any_of(text, lexicon.foreign) & (score < 60), 60).otherwise(score)
-    score = F.when(any_of(text, lexicon.local) & (score < 60), 60).otherwise(score)
-    return F.when(any_of(text, lexicon.generic) & (score == 0), 40).otherwise(score)
+    """State-owned names (more with strategic ones), private, foreign, local and generic ones: the best of those that are there."""
+    own = F.when(any_of(text, lexicon.state_owned), F.when(any_of(text, lexicon.strategic), 100).otherwise(85)).otherwise(0)
+    others = [(80, lexicon.private), (60, [*lexicon.foreign, *lexicon.local]), (40, lexicon.generic)]
+    return F.greatest(own, tier(text, others))
 
 
 def industry(text: Column, floor_terms: list[str], tiers: list[tuple[int, list[str]]], floor: int = 80) -> Column:

@@ -18,14 +18,28 @@ class Rule:
     fix: str | None = None
 
 
-def findings(text: Column, rules: list[Rule]) -> Column:
-    """array<struct<rule, severity, hits, context>> of the rules that match, in order; the context is around the first hit."""
-    each = []
-    for r in rules:
-        hit = F.regexp_extract_all(text, F.lit(f"(?i)(.{{0,30}}(?:{r.pattern}).{{0,30}})"), F.lit(1))
-        n = F.regexp_count(text, F.lit(f"(?i){r.pattern}"))
-        each.append(F.when(n > 0, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), n.cast("int").alias("hits"), F.get(hit, F.lit(0)).alias("context"))))
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+def findings(text: Column, rules: list[Rule], around: int = 30) -> Column:
+    """array<struct<rule, severity, hits, found, contexts>> of the rules that match, in order.
+
+    found holds every hit's text, contexts what stands around each, line ends included. One test of all rules together
+    spares most texts the rest; what is around a hit is cut from the pieces between hits, so each rule reads a text twice.
+    """
+    each = [_finding(text, r, around) for r in rules]
+    none = F.slice(F.array(*each), 1, 0)
+    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
+    return F.when(text.rlike(f"(?i){any_rule}"), F.filter(F.array(*each), lambda x: x.isNotNull())).otherwise(none)
+
+
+def _finding(text: Column, rule: Rule, around: int) -> Column:
+    pattern = f"(?i)(?:{rule.pattern})"
+    contexts = lambda own, between: F.transform(
+        own, lambda x, i: F.concat(F.right(F.get(between, i), F.lit(around)), x, F.left(F.get(between, i + 1), F.lit(around)))
+    )
+    made = lambda own: F.struct(
+        F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.size(own).alias("hits"), own.alias("found"), contexts(own, F.split(text, pattern, -1)).alias("contexts")
+    )
+    hits = F.regexp_extract_all(text, F.lit(f"(?i)({rule.pattern})"), F.lit(1))
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(hits), made), F.lit(0)))
 
 
 def count_of(found: Column, severity: str) -> Column:
@@ -40,12 +54,14 @@ def publishable(found: Column) -> Column:
     return ~F.exists(found, lambda x: x["severity"].isin("critical", "high"))
 
 
-def fixed(text: Column, rules: list[Rule]) -> Column:
-    """Fixes in order, each on what the one before left."""
-    for r in rules:
-        if r.fix is not None:
-            text = F.regexp_replace(text, f"(?i){r.pattern}", r.fix)
-    return text
+def fixed(text: Column, found: Column, rules: list[Rule]) -> Column:
+    """What the rules with a fix found replaced, literally, in the order of rules and hits, each in what the one before left."""
+    fixes = [r for r in rules if r.fix is not None]
+    if not fixes:
+        return text
+    table = F.create_map(*[F.lit(x) for r in fixes for x in (r.name, r.fix)])
+    hits = F.flatten(F.transform(F.filter(found, lambda x: x["rule"].isin([r.name for r in fixes])), lambda x: F.transform(x["found"], lambda y: F.struct(y.alias("old"), F.element_at(table, x["rule"]).alias("new")))))
+    return F.aggregate(hits, text, lambda t, h: F.replace(t, h["old"], h["new"]))
 
 
 def report(found: Column) -> Column:

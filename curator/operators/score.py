@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as K
+from ..functions.text import has_text
+from ..sources.tables import spread
 
 
 def criteria(text: Column, lex) -> dict[str, Column]:
@@ -14,7 +16,7 @@ def criteria(text: Column, lex) -> dict[str, Column]:
         "policy": K.tier(text, lex.POLICY),
         "corporate": K.corporate(text, lex.CORPORATE),
         "industry": K.industry(text, lex.FOOD, lex.INDUSTRY),
-        "scale": K.economic_scale(text, lex.UNITS, lex.SCOPE),
+        "scale": K.economic_scale(text, lex.MONEY, lex.SCOPE),
         "geography": K.tier(text, lex.GEOGRAPHY),
         "time": K.tier(text, lex.TIME),
         "international": K.tier(text, lex.INTERNATIONAL),
@@ -22,30 +24,46 @@ def criteria(text: Column, lex) -> dict[str, Column]:
     }
 
 
-def scored(items: DataFrame, lex, title: str = "title", content: str = "content") -> DataFrame:
-    """items with one column for each criterion, weighted_raw, boosters, content_score and explanation. The text is title and content joined without a separator."""
-    text = F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit("")))
-    with_criteria = items.withColumns(criteria(text, lex))
+#: The text of an item while it is scored.
+TEXT = "_score_text"
+
+
+def with_text(items: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
+    """items with title and content joined without a separator."""
+    return K.bound(spread(items), TEXT, F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))))
+
+
+def _scored(items: DataFrame, lex) -> DataFrame:
+    with_criteria = items.withColumns(criteria(F.col(TEXT), lex))
     names = {name: F.col(name) for name in K.WEIGHTS}
     extra = [("state", 1.2, (F.col("corporate") >= 85) & (F.col("industry") >= 80))]
     return (
-        with_criteria.withColumn("weighted_raw", K.weighted(names))
-        .withColumn("boosters", K.boosters(text, lex.BOOSTERS, extra))
+        with_criteria.withColumns({"weighted_raw": K.weighted(names), "boosters": K.boosters(F.col(TEXT), lex.BOOSTERS, extra)})
         .withColumn("content_score", K.boosted(F.col("weighted_raw"), F.col("boosters")))
         .withColumn("explanation", K.explanation(names, F.col("boosters"), F.col("content_score")))
     )
 
 
+def scored(items: DataFrame, lex, title: str = "title", content: str = "content") -> DataFrame:
+    """items with one column for each criterion, weighted_raw, boosters, content_score and explanation. The text is title and content joined without a separator."""
+    return _scored(with_text(items, title, content), lex).drop(TEXT)
+
+
+def gated(items: DataFrame, lex, title: str = "title", content: str = "content") -> DataFrame:
+    """Of items with_text those with a content that are factual, analytical and not brief."""
+    t, c, text = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit("")), F.col(TEXT)
+    return items.where(has_text(c) & K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF))
+
+
 def filtered(items: DataFrame, lex, priorities: DataFrame | None = None, title: str = "title", content: str = "content") -> DataFrame:
     """Items that are factual, analytical and not brief, with what selection needs: category, flags, scores and priority.
 
     priorities: (source, source_priority); sources without one get 5.
     """
-    t, c = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit(""))
-    text = F.concat(t, c)
-    kept = items.where(K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF))
+    kept = gated(with_text(items, title, content), lex, title, content)
+    text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
-    out = scored(kept, lex, title, content).withColumns(
+    out = _scored(kept, lex).withColumns(
         {
             "topic": K.category(text, lex.CATEGORIES), "is_domestic": K.domestic(text, lex.HOME, lex.ABROAD), "fact_richness": K.fact_richness(text, lex.FACT_PATTERNS, lex.FACTS),
             "scope_score": scope["score"], "is_broad": scope["broad"],
@@ -57,4 +75,4 @@ def filtered(items: DataFrame, lex, priorities: DataFrame | None = None, title:
         out = out.withColumn("source_priority", F.lit(5))
     out = out.withColumn("is_central", F.col("source_priority") >= 8)
     out = out.withColumn("formal_normalized", K.formal(F.col("source_priority"), F.col("is_central"), F.col("is_domestic"), F.col("fact_richness")))
-    return out.withColumn("priority_score", K.priority(F.col("formal_normalized"), F.col("content_score")))
+    return out.withColumn("priority_score", K.priority(F.col("formal_normalized"), F.col("content_score"))).drop(TEXT)

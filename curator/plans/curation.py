@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.lexicon import bound
 from ..operators import dedup as D
 from ..operators import rewrite as R
 from ..operators import safety as Y
 from ..operators.score import filtered
 from ..operators.select import select_balanced
-from ..sources.tables import NEWS_SQL, news, table
+from ..sources.tables import NEWS_SQL, news, spread, table
 from . import lexicons as lex
 from .registry import query
 
@@ -147,24 +148,54 @@ _RULE_COUNTS = ", ".join(
 )
 
 
+def scanned(spark, sf_dir):
+    """Items with their findings, each found once."""
+    return bound(spread(news(spark, sf_dir).select("id", "content")), "f", Y.findings(F.col("content"), RULES))
+
+
 @query(f"{WITH}, c AS (SELECT id, {_RULE_COUNTS} FROM news) SELECT *, critical > 0 AS blocked, critical + high = 0 AS publishable FROM c")
 def safety_scan(spark, sf_dir):
-    own = news(spark, sf_dir).select("id", Y.findings(F.col("content"), RULES).alias("f"))
+    own = scanned(spark, sf_dir)
     return own.select("id", *[Y.count_of(F.col("f"), s).cast("bigint").alias(s) for s in Y.SEVERITIES], Y.blocked(F.col("f")).alias("blocked"), Y.publishable(F.col("f")).alias("publishable"))
 
 
-@query(f"""{WITH} SELECT id, regexp_replace(regexp_replace(regexp_replace(content, '(?i)idiot|moron|scum', '[removed]', 'g'), '(?i)loser|trash', '[removed]', 'g'), '(?i)password=\\w+', 'password=*', 'g') AS text
-    FROM news WHERE NOT regexp_matches(content, '(?i)idiot|moron|scum') AND regexp_matches(content, '(?i)loser|trash|password=\\w+')""")
+_SEVERITY = {s: [r for r in RULES if r.severity == s] for s in Y.SEVERITIES}
+_HITS = ", ".join(f"regexp_extract_all(content, '(?i)(?:{r.pattern})') AS h{i}" for i, r in enumerate(RULES))
+_FIXES = " || ".join(f"list_transform(h{i}, lambda x: {{'old': x, 'new': '{r.fix}'}})" for i, r in enumerate(RULES) if r.fix)
+
+
+@query(f"""{WITH}, h AS (SELECT id, content, {_HITS} FROM news),
+    f AS (SELECT id, content, list_prepend({{'old': content, 'new': ''}}, {_FIXES}) AS steps FROM h WHERE len(h0) = 0 AND len(h1) + len(h2) > 0)
+    SELECT id, list_reduce(steps, lambda a, x: {{'old': replace(a.old, x.old, x.new), 'new': ''}}).old AS text FROM f""")
 def safety_fixes(spark, sf_dir):
-    """Fixed texts of what isn't blocked."""
-    own = news(spark, sf_dir).withColumn("f", Y.findings(F.col("content"), RULES)).where(~Y.blocked(F.col("f")))
-    return own.select("id", Y.fixed(F.col("content"), RULES).alias("text"), "content").where("text <> content").select("id", "text")
+    """Fixed texts of what isn't blocked: each found text is replaced literally, wherever it is."""
+    own = scanned(spark, sf_dir).where(~Y.blocked(F.col("f")))
+    return own.select("id", Y.fixed(F.col("content"), F.col("f"), RULES).alias("text"), "content").where("text <> content").select("id", "text")
 
 
-@query()
+def _report_line(severity: str) -> str:
+    own = [(i, r) for i, r in enumerate(RULES) if r.severity == severity]
+    parts = ", ".join(f"CASE WHEN len(h{i}) > 0 THEN '{r.name} x' || len(h{i}) END" for i, r in own)
+    return f"CASE WHEN {' + '.join(f'len(h{i})' for i, _ in own)} > 0 THEN '{severity}: ' || concat_ws(', ', {parts}) END"
+
+
+@query(f"""{WITH}, h AS (SELECT id, content, {_HITS} FROM news)
+    SELECT id, concat_ws(chr(10), {', '.join(_report_line(s) for s in Y.SEVERITIES)}) AS report, ({' + '.join(f'len(h{i})' for i in range(len(RULES)))})::BIGINT AS hits,
+        length(array_to_string({' || '.join(f'h{i}' for i in range(len(RULES)))}, ''))::BIGINT AS hit_chars
+    FROM h WHERE {' + '.join(f'len(h{i})' for i in range(len(RULES)))} > 0""")
 def safety_report(spark, sf_dir):
-    own = news(spark, sf_dir).select("id", Y.findings(F.col("content"), RULES).alias("f")).where(F.size("f") > 0)
-    return own.select("id", Y.report(F.col("f")).alias("report"), F.col("f.context").alias("contexts"))
+    """The report of each item with findings, and how many hits it has and how long they are."""
+    own = scanned(spark, sf_dir).where(F.size("f") > 0)
+    every = F.flatten(F.transform("f", lambda x: x["found"]))
+    chars = F.aggregate(every, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return own.select("id", Y.report(F.col("f")).alias("report"), F.size(every).cast("bigint").alias("hits"), chars.alias("hit_chars"))
+
+
+@query(f"""{WITH}, r AS (SELECT id, unnest(regexp_extract_all(content, '(?i)(?:{RULES[1].pattern})')) AS hit FROM news) SELECT id, hit, count(*) AS n FROM r GROUP BY id, hit""")
+def safety_hits(spark, sf_dir):
+    """Every hit of one rule by its text; the contexts are tested against a plain scan."""
+    own = scanned(spark, sf_dir).select("id", F.explode(F.filter("f", lambda x: x["rule"] == RULES[1].name)).alias("f"))
+    return own.select("id", F.explode("f.found").alias("hit")).groupBy("id", "hit").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{WITH} SELECT id, replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM news")

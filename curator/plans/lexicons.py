@@ -1,12 +1,12 @@
 """A small lexicon for the synthetic corpus. Lexicons are inputs; replace them for other texts."""
 
-from ..functions.lexicon import Corporate
+from ..functions.lexicon import Amounts, Corporate
 
 POLICY = [(100, ["License"]), (95, ["token"]), (80, ["rights reserved"]), (60, ["example.com"]), (40, ["tion the"]), (20, ["the"])]
 CORPORATE = Corporate(["Public"], ["version"], ["Apache"], ["password"], ["eson"], ["ein"])
 FOOD = ["onandedth"]
 INDUSTRY = [(100, ["Licensed"]), (80, ["worthless"]), (75, ["thatthe"]), (60, ["ación"]), (40, ["ing"])]
-UNITS = [("555", 1e9), ("bn", 1e9), ("at", 1e8), ("thousand", 1e3)]
+MONEY = Amounts(("555", 1e7), ("rights", 1e11), ("at", 1e8))
 SCOPE = [(20, ["License"]), (15, ["mail"]), (10, ["tion"])]
 GEOGRAPHY = [(100, ["Auf"]), (80, ["sur"]), (70, ["los"]), (60, ["over"]), (50, ["der"])]
 TIME = [(100, ["today"]), (90, ["now"]), (70, ["on the"]), (50, ["in the"])]

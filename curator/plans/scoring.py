@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as K
-from ..operators.score import criteria, filtered, scored
+from ..operators.score import TEXT, criteria, filtered, scored, with_text
 from ..sources.tables import NEWS_SQL, news
 from . import lexicons as lex
 from .registry import query
@@ -28,6 +28,7 @@ def _tier(tiers) -> str:
 
 
 def _corporate() -> str:
+    """The cascade as the lexicon's users know it: each step only raises the score."""
     c = lex.CORPORATE
     a = f"CASE WHEN {_any(c.state_owned)} THEN CASE WHEN {_any(c.strategic)} THEN 100 ELSE 85 END ELSE 0 END"
     for words, score in ((c.private, 80), (c.foreign, 60), (c.local, 60)):
@@ -35,9 +36,16 @@ def _corporate() -> str:
     return f"CASE WHEN {_any(c.generic)} AND ({a}) = 0 THEN 40 ELSE ({a}) END"
 
 
+def _most(unit: str, factor: float) -> str:
+    return f"coalesce(list_max(list_transform(regexp_extract_all(t, '(\\d+(?:\\.\\d+)?)\\s*{unit}', 1), lambda x: x::DOUBLE * {factor})), 0)"
+
+
 def _amount() -> str:
-    lists = " || ".join(f"list_transform(regexp_extract_all(t, '(\\d+(?:\\.\\d+)?) ?{unit}', 1), lambda x: x::DOUBLE * {factor})" for unit, factor in lex.UNITS)
-    return f"coalesce(list_max({lists}), 0)"
+    """In three steps: the largest unit, the word if that gives nothing, the smaller unit if what there is isn't enough."""
+    m = lex.MONEY
+    large = _most(*m.largest)
+    first = f"(CASE WHEN {large} > 0 THEN {large} WHEN contains(t, {_lit(m.word[0])}) THEN {m.word[1]} ELSE 0 END)"
+    return f"(CASE WHEN {first} >= {m.enough} OR {_most(*m.smaller)} <= {first} THEN {first} ELSE {_most(*m.smaller)} END)::DOUBLE"
 
 
 _SCALE = f"least(100, CASE WHEN amount >= 1e11 THEN 100 WHEN amount >= 1e10 THEN 80 WHEN amount >= 1e9 THEN 60 WHEN amount >= 1e8 THEN 40 ELSE 20 END + {_tier(lex.SCOPE)})"
@@ -55,26 +63,23 @@ _FACTOR = " * ".join(
 
 @query(f"{_SCORES} SELECT id, {', '.join(f's_{n}::BIGINT AS {n}' for n in _CRITERIA)} FROM scores")
 def score_criteria(spark, sf_dir):
-    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    return news(spark, sf_dir).select("id", *[c.cast("bigint").alias(n) for n, c in criteria(text, lex).items()])
+    return with_text(news(spark, sf_dir)).select("id", *[c.cast("bigint").alias(n) for n, c in criteria(F.col(TEXT), lex).items()])
 
 
-@query(f"{_SCORES} SELECT id, round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 1) AS total FROM scores")
+@query(f"{_SCORES} SELECT id, round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 4) AS total FROM scores")
 def score_total(spark, sf_dir):
-    return scored(news(spark, sf_dir), lex).select("id", F.round(F.least(F.col("weighted_raw") * F.least(F.aggregate("boosters", F.lit(1.0), lambda a, x: a * x["factor"]), F.lit(1.3)), F.lit(100.0)), 1).alias("total"))
+    return scored(news(spark, sf_dir), lex).select("id", F.round(F.least(F.col("weighted_raw") * F.least(F.aggregate("boosters", F.lit(1.0), lambda a, x: a * x["factor"]), F.lit(1.3)), F.lit(100.0)), 4).alias("total"))
 
 
 @query(f"{_BASE} SELECT id, amount FROM amounts")
 def score_amount(spark, sf_dir):
-    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    return news(spark, sf_dir).select("id", K.largest_amount(text, lex.UNITS).alias("amount"))
+    return with_text(news(spark, sf_dir)).select("id", K.amount_of(F.col(TEXT), lex.MONEY).alias("amount"))
 
 
 @query(f"""{_BASE}, c AS (SELECT id, {', '.join(f'{_hits(w)} AS c{i}' for i, w in enumerate(lex.CATEGORIES.values()))} FROM texts)
     SELECT id, CASE {' '.join(f"WHEN c{i} = greatest({', '.join(f'c{j}' for j in range(len(lex.CATEGORIES)))}) THEN {_lit(n)}" for i, n in enumerate(lex.CATEGORIES))} END AS topic FROM c""")
 def categorize(spark, sf_dir):
-    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    return news(spark, sf_dir).select("id", K.category(text, lex.CATEGORIES).alias("topic"))
+    return with_text(news(spark, sf_dir)).select("id", K.category(F.col(TEXT), lex.CATEGORIES).alias("topic"))
 
 
 _FACTS = f"""least(12, 3 * ({' + '.join(f"regexp_matches(t, {_lit(p)})::INT" for p in lex.FACT_PATTERNS)})) + least(8, 2 * {_hits(lex.FACTS)})
@@ -85,9 +90,9 @@ _SCOPE_SCORE = f"CASE WHEN {_hits(lex.BROAD)} > {_hits(lex.DEEP)} THEN 10 + {_hi
 
 @query(f"""{_BASE} SELECT id, ({_FACTS})::BIGINT AS facts, {_DOMESTIC} AS domestic, ({_SCOPE_SCORE})::BIGINT AS scope, {_hits(lex.BROAD)} >= {_hits(lex.DEEP)} AS broad FROM texts""")
 def item_features(spark, sf_dir):
-    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
-    return news(spark, sf_dir).select(
+    return with_text(news(spark, sf_dir)).select(
         "id", K.fact_richness(text, lex.FACT_PATTERNS, lex.FACTS).cast("bigint").alias("facts"), K.domestic(text, lex.HOME, lex.ABROAD).alias("domestic"),
         scope["score"].cast("bigint").alias("scope"), scope["broad"].alias("broad"),
     )
@@ -104,15 +109,15 @@ _KEPT = f"""NOT {_any(lex.OPINION)} AND NOT {_any_in('title', lex.NOTICES)} AND
 @query(f"""{_BASE} SELECT id, NOT {_any_in('title', lex.EXCLUDED)} AND ({_any_in('title', lex.STRONG)} OR {_hits(lex.WEAK).replace('contains(t,', 'contains(title,')} >= 2) AS relevant, {_KEPT} AS kept FROM texts""")
 def relevance_gate(spark, sf_dir):
     t, c = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    text = F.concat(t, c)
+    text = F.col(TEXT)
     kept = K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF)
-    return news(spark, sf_dir).select("id", K.relevant(t, lex.EXCLUDED, lex.STRONG, lex.WEAK).alias("relevant"), kept.alias("kept"))
+    return with_text(news(spark, sf_dir)).select("id", K.relevant(t, lex.EXCLUDED, lex.STRONG, lex.WEAK).alias("relevant"), kept.alias("kept"))
 
 
-@query(f"""{_SCORES} SELECT id, round(0.40 * (least((5 + 6 * {_DOMESTIC}::INT + {_FACTS}) / 40.0, 1.0) * 100) + 0.60 * round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 2), 0) AS priority
+@query(f"""{_SCORES} SELECT id, round(0.40 * (least((5 + 6 * {_DOMESTIC}::INT + {_FACTS}) / 40.0, 1.0) * 100) + 0.60 * round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 2), 3) AS priority
     FROM scores WHERE {_KEPT}""")
 def priority_scores(spark, sf_dir):
-    return filtered(news(spark, sf_dir), lex).select("id", F.round("priority_score", 0).alias("priority"))
+    return filtered(news(spark, sf_dir), lex).select("id", F.round("priority_score", 3).alias("priority"))
 
 
 @query()

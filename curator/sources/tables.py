@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files give fewer tasks than there are: where a row costs far more to compute than to move. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.expr("make_dt_interval(0, 0, cast((doc_id * 2711) % 43200 as int), 0)")
     status = F.expr("CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'skipped' WHEN doc_id % 5 = 0 THEN 'queued_today' ELSE 'none' END")

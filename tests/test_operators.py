@@ -77,8 +77,12 @@ def test_blank_is_not_newline(spark):
 
 def test_amount_steps_and_boost_cap(spark):
     texts = ["none", "1 yi", "10 yi", "100 yi", "1000 yi"]
+    money = K.Amounts(("wanyi", 1e12), ("qianyi", 1e11), ("yi", 1e8))
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r.s for r in df.select(K.economic_scale(F.col("t"), [("yi", 1e8)], []).alias("s")).collect()] == [20, 40, 60, 80, 100]
+    assert [r.s for r in df.select(K.economic_scale(F.col("t"), money, []).alias("s")).collect()] == [20, 40, 60, 80, 100]
+    cases = {"0.00001 wanyi, 5000 yi": 5e11, "0.001 wanyi, 5000 yi": 1e9, "2wanyi qianyi": 2e12, "qianyi, 9000 yi": 1e11, "0 wanyi qianyi": 1e11, "3\n yi 2 yi": 3e8, "wanyi yi": 0.0, "": 0.0}
+    df = spark.createDataFrame(list(cases.items()), "t string, want double")
+    assert all(r.got == r.want for r in df.withColumn("got", K.amount_of(F.col("t"), money)).collect())
     boost = K.boosters(F.lit("xyz"), [("a", 1.5, ["x"]), ("b", 1.3, ["y"])], [("c", 1.2, F.lit(True))])
     row = spark.range(1).select(K.boosted(F.lit(50.0), boost).alias("s"), K.explained_boosters(K.explanation({"p": F.lit(3)}, boost, F.lit(65.0))).alias("e")).first()
     assert row.s == 65.0 and [x.name for x in row.e] == ["a", "b", "c"]
@@ -111,10 +115,32 @@ def test_rewrite_and_safety(spark):
     ).first()
     assert (row.d, row.h, row.m) == ("y x", "a headline that i…", "one\ntwo")
     rules = [Y.Rule("r", "critical", "bad", "good"), Y.Rule("q", "low", "odd")]
-    row = spark.range(1).select(Y.findings(F.lit("Bad and bad, odd"), rules).alias("f"), Y.fixed(F.lit("a BAD thing"), rules).alias("t")).first()
+    row = spark.range(1).select(Y.findings(F.lit("Bad and bad, odd"), rules).alias("f"), Y.fixed(F.lit("a BAD thing"), Y.findings(F.lit("a BAD thing"), rules), rules).alias("t")).first()
     assert [(x.rule, x.hits) for x in row.f] == [("r", 2), ("q", 1)] and row.t == "a good thing"
 
 
+def test_contexts_of_every_hit(spark):
+    import re
+
+    rng = random.Random(4)
+    rules = [Y.Rule("a", "high", "bad|worse", "good"), Y.Rule("b", "low", r"x\d+")]
+    texts = ["".join(rng.choice(["bad", "Worse", "x12", " ", "\n", "word", "é"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", "t", Y.findings(F.col("t"), rules, 5).alias("f"))
+    for r in df.withColumn("fixed", Y.fixed(F.col("t"), F.col("f"), rules)).collect():
+        want, text = [], r.t
+        for rule in rules:
+            ends = [(m.start(), m.end()) for m in re.finditer(f"(?i){rule.pattern}", r.t or "")]
+            if not ends:
+                continue
+            edges = [0, *(x for e in ends for x in e), len(r.t)]  # contexts end where the next hit begins
+            contexts = [r.t[max(edges[2 * i], a - 5) : a] + r.t[a:b] + r.t[b : min(edges[2 * i + 3], b + 5)] for i, (a, b) in enumerate(ends)]
+            want.append((rule.name, len(ends), [r.t[a:b] for a, b in ends], contexts))
+            if rule.fix:
+                for a, b in ends:
+                    text = text.replace(r.t[a:b], rule.fix)
+        assert [(x.rule, x.hits, x.found, x.contexts) for x in r.f or []] == want and r.fixed == text
+
+
 def test_bad_json_and_dates(spark):
     row = spark.range(1).select(
         F.from_json(X.fenced_json(F.lit('{"k":')), "k int").alias("j"), X.date_in_url(F.lit("http://a/2024-13/01/x/2024/02/03/")).alias("d"), X.date_in_url(F.lit("http://a/x")).alias("n"),
