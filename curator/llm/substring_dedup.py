@@ -8,13 +8,15 @@ Equal windows have equal anchors, so a shard sees every copy of its windows. Win
 an anchor: such a run is shipped once, as a segment of at most 2 * width - 5 words.
 
 1. One pass counts anchors; a bit array of bounded size marks those that occur twice or more. It only spares work.
+   Anchors with more than ``HOT`` different segments, such as a short frequent phrase in ever other surroundings, are
+   hot: their windows are segments of their own, whose anchor is their own hash, so no shard gathers them.
 2. One pass cuts texts into segments whose anchor is marked, and writes where each occurs. Distinct segments go to
    their shard with their first place.
 3. A shard takes its distinct segments in the order of their first places: each streams through the automaton of those
    before it, windows that match are repeated there too, and is then added. All other places of a segment repeat it.
 4. Repeated places go back to their documents, whose covered words are dropped.
 
-Edge cases: a null or empty text has no words and gives an empty one; order is by key, then place; a null key comes
+Edge cases: a null or empty text has no words and gives an empty one; order is by key (of any type that can be sorted), then place; a null key comes
 after all others; rows that share a key are one document's copies, neither of which is earlier than the other at equal
 places; an empty table gives an empty result; other columns pass through, whatever their names, but ``n_words``,
 ``n_removed`` and ``kept`` are replaced.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,10 @@ from .common import bounded_batches, mixed, ranges, shuffle_partitions, text_chu
 GRAM = 5
 #: Anchors, or segments, that a block holds about.
 BLOCK = 300_000
+#: Different segments (in the texts of a task's turn; summed) beyond which an anchor is hot.
+HOT = 20_000
+#: Hot anchors that are told apart at most (32 MB); beyond, HOT is raised.
+MOST_HOT = 1 << 22
 #: The bit array has 16 bits for each anchor, but at most this many (128 MB).
 MOST_BITS = 1 << 30
 LAST = np.iinfo(np.int64).max
@@ -100,24 +106,30 @@ class SuffixAutomaton:
 
 
 # ------------------------------------------------------------------- segments
-def segments_of(hashes: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: text, start (in the flat words), windows, anchor, and a hash of the words."""
+def segments_of(hashes: np.ndarray, offsets: np.ndarray, width: int, hot: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: text, start (in the flat words), windows, anchor, and a hash of the words. Windows with an anchor in hot (sorted) are runs of their own."""
     grams = window_hashes(hashes, GRAM)
     whole = window_hashes(hashes, width)
     counts = np.maximum(np.diff(offsets) - width + 1, 0)
     if not counts.sum():
-        return {x: np.zeros(0, np.int64) for x in ("text", "start", "windows")} | {x: np.zeros(0, np.uint64) for x in ("anchor", "hash")}
+        return {x: np.zeros(0, np.int64) for x in ("text", "start", "windows")} | {x: np.zeros(0, np.uint64) for x in ("anchor", "hash")} | {"alone": np.zeros(0, bool)}
     starts = ranges(offsets[:-1], counts)
     text = np.repeat(np.arange(len(counts)), counts)
     view = np.lib.stride_tricks.sliding_window_view(grams, width - GRAM + 1)
     at = np.concatenate([view[lo : lo + 200_000].argmin(axis=1) for lo in range(0, len(view), 200_000)])[starts] + starts
+    anchor = grams[at]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    alone = np.zeros(len(starts), bool)
+    if hot is not None and len(hot):
+        alone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        anchor = np.where(alone, mixed(whole[starts] ^ np.uint64(0x6A09E667F3BCC908)), anchor)
+        new |= alone
     first = np.flatnonzero(new)
     windows = np.diff(np.concatenate([first, [len(starts)]]))
     begin = starts[first]
     own = mixed(whole[begin] * np.uint64(0x9E3779B97F4A7C15) + whole[begin + windows - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + windows.astype(np.uint64))
-    return {"text": text[first], "start": begin, "windows": windows, "anchor": grams[at[first]], "hash": own}
+    return {"text": text[first], "start": begin, "windows": windows, "anchor": anchor[first], "hash": own, "alone": alone[first]}
 
 
 def _payloads(block: np.ndarray, order: np.ndarray, pack) -> pa.RecordBatch:
@@ -128,40 +140,61 @@ def _payloads(block: np.ndarray, order: np.ndarray, pack) -> pa.RecordBatch:
 
 
 def repeated_anchors(docs: DataFrame, text: str, width: int, anchors: int):
-    """A bit array, by an anchor's leading bits, of those that occur twice or more; its size is bounded."""
+    """A bit array, by an anchor's leading bits, of those that occur twice or more, and the sorted hot anchors; both are bounded."""
     spark = docs.sparkSession
     bits = min(max(20, int(16 * anchors).bit_length()), MOST_BITS.bit_length() - 1)
     power = min(max(int(anchors // BLOCK).bit_length(), (4 * shuffle_partitions(spark)).bit_length()), bits - 6)
+    least = max(1, HOT)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_chunks(batches, text):
             words, offsets = words_of(texts)
-            anchor = np.sort(segments_of(word_hashes(words), offsets, width)["anchor"])
-            third = np.zeros(len(anchor), bool)
-            third[2:] = anchor[2:] == anchor[:-2]  # two of a kind tell as much as more
-            anchor = anchor[~third]
-            if len(anchor):
-                block = (anchor >> np.uint64(64 - power)).astype(np.int64)
-                yield _payloads(block, np.arange(len(anchor)), lambda p: anchor[p].tobytes())
+            found = segments_of(word_hashes(words), offsets, width)
+            anchor, times = np.unique(found["anchor"], return_counts=True)
+            if not len(anchor):
+                continue
+            pairs = np.unique(np.stack([found["anchor"], found["hash"]], 1), axis=0)[:, 0]
+            kinds = np.searchsorted(pairs, anchor, side="right") - np.searchsorted(pairs, anchor)
+            # how many different segments, and in the lowest bit whether the anchor occurs twice
+            count = (kinds.astype(np.uint32) << np.uint32(1)) | (times > 1).astype(np.uint32)
+            block = (anchor >> np.uint64(64 - power)).astype(np.int64)
+            yield _payloads(block, np.arange(len(anchor)), lambda p: anchor[p].tobytes() + count[p].tobytes())
 
     def mark(table: pa.Table) -> pa.Table:
-        anchor = np.sort(np.concatenate([np.frombuffer(p, np.uint64) for p in table["payload"].to_pylist()]))
-        twice = anchor[1:][anchor[1:] == anchor[:-1]]
+        parts = [(np.frombuffer(p, "<u8", len(p) // 12), np.frombuffer(p, "<u4", -1, len(p) // 12 * 8)) for p in table["payload"].to_pylist()]
+        anchor, count = np.concatenate([a for a, _ in parts]), np.concatenate([c for _, c in parts])
+        order = np.argsort(anchor, kind="stable")
+        anchor, count = anchor[order], count[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
+        repeated = (np.add.reduceat((count & 1).astype(np.int64), first) > 0) | (np.diff(np.concatenate([first, [len(anchor)]])) > 1)
+        kinds = np.add.reduceat((count >> 1).astype(np.int64), first)
+        anchor = anchor[first]
         cells = np.zeros(1 << (bits - power), np.uint8)
-        cells[((twice >> np.uint64(64 - bits)) & np.uint64(len(cells) - 1)).astype(np.int64)] = 1
-        return pa.table({"block": table["block"][:1], "marks": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
+        cells[((anchor[repeated] >> np.uint64(64 - bits)) & np.uint64(len(cells) - 1)).astype(np.int64)] = 1
+        hot = kinds > least
+        return pa.table(
+            {
+                "block": table["block"][:1], "marks": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary()),
+                "hot": pa.array([anchor[hot].tobytes()], pa.binary()), "kinds": pa.array([kinds[hot].tobytes()], pa.binary()),
+            }
+        )
 
-    rows = docs.select(text).mapInArrow(emit, "block bigint, payload binary").groupBy("block").applyInArrow(mark, "block bigint, marks binary").toArrow()
+    rows = docs.select(text).mapInArrow(emit, "block bigint, payload binary").groupBy("block").applyInArrow(mark, "block bigint, marks binary, hot binary, kinds binary").toArrow()
     out = np.zeros((1 << power, 1 << (bits - power - 3)), np.uint8)
     for block, marks in zip(rows["block"].to_pylist(), rows["marks"].to_pylist()):
         out[block] = np.frombuffer(marks, np.uint8)
-    return spark.sparkContext.broadcast((bits, out.reshape(-1)))
+    hot, kinds = (np.frombuffer(b"".join(rows[x].to_pylist()), kind) for x, kind in (("hot", "<u8"), ("kinds", "<i8")))
+    while len(hot) > MOST_HOT:
+        least *= 2
+        hot, kinds = hot[kinds > least], kinds[kinds > least]
+    return spark.sparkContext.broadcast((bits, out.reshape(-1), np.sort(hot)))
 
 
-def _marked(anchor: np.ndarray, marks) -> np.ndarray:
-    bits, cells = marks.value
-    spot = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-    return (cells[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+def _marked(found: dict[str, np.ndarray], marks) -> np.ndarray:
+    """Segments whose anchor is marked; those of hot anchors, which have another one by then, always are."""
+    bits, cells, _ = marks.value
+    spot = (found["anchor"] >> np.uint64(64 - bits)).astype(np.int64)
+    return ((cells[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1) | found["alone"]
 
 
 def _found(batches: Iterator[pa.RecordBatch], width: int, marks) -> Iterator[tuple]:
@@ -169,8 +202,8 @@ def _found(batches: Iterator[pa.RecordBatch], width: int, marks) -> Iterator[tup
     for batch, texts in text_chunks(batches, "_s_text"):
         words, offsets = words_of(texts)
         hashes = word_hashes(words)
-        found = segments_of(hashes, offsets, width)
-        keep = _marked(found["anchor"], marks)
+        found = segments_of(hashes, offsets, width, marks.value[2])
+        keep = _marked(found, marks)
         found = {x: v[keep] for x, v in found.items()}
         if len(found["text"]):
             order = batch.column(1).to_numpy()[found["text"]]
@@ -203,12 +236,12 @@ def shard_rows(rows: DataFrame, width: int, marks, blocks: int) -> DataFrame:
             first = first[np.concatenate([[True], np.diff(found["hash"][first]) != 0])]
             block = (mixed(found["anchor"]) % np.uint64(blocks)).astype(np.int64)
             order = first[np.argsort(block[first], kind="stable")]
-            small = hashes.astype(np.uint32)
+            low, high = hashes.astype("<u4"), (hashes >> np.uint64(32)).astype("<u2")  # 48 bits of each word
 
             def pack(p: np.ndarray) -> bytes:
                 head = b"".join(found[x][p].astype(kind).tobytes() for x, kind in _HEAD)
-                words = small[ranges(found["start"][p], found["windows"][p] + width - 1)].tobytes()
-                return len(p).to_bytes(4, "little") + head + words
+                words = ranges(found["start"][p], found["windows"][p] + width - 1)
+                return len(p).to_bytes(4, "little") + head + low[words].tobytes() + high[words].tobytes()
 
             yield _payloads(block, order, pack)
 
@@ -220,7 +253,8 @@ def _unpacked(payload: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     for x, kind in _HEAD:
         out[x] = np.frombuffer(payload, kind, m, at)
         at += out[x].nbytes
-    return out, np.frombuffer(payload, "<u4", -1, at)
+    n = (len(payload) - at) // 6
+    return out, np.frombuffer(payload, "<u4", n, at) | (np.frombuffer(payload, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32))
 
 
 def shard_results(shards: DataFrame, width: int) -> DataFrame:
@@ -261,13 +295,26 @@ def _identity(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
 
+def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a bigint in the order of their keys, null for a null one: an integer key itself, of others the rank, counted by ranges of keys."""
+    if isinstance(rows.schema[key].dataType, T.IntegralType):
+        return rows.withColumn(name, F.col(key).cast("bigint"))
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(shuffle_partitions(rows.sparkSession), key).sortWithinPartitions(key)
+    placed = written(keys.select(F.col(key).alias("_o_key"), F.spark_partition_id().alias("_o_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_o_at")))
+    sizes = placed.groupBy("_o_part").agg(F.count(F.lit(1)).alias("_o_n"))  # a row for each range
+    before = F.coalesce(F.sum("_o_n").over(Window.orderBy("_o_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.join(sizes.select("_o_part", before.alias("_o_before")), "_o_part").select("_o_key", (F.col("_o_before") + F.col("_o_at")).alias(name))
+    return rows.join(ranked, F.col(key) == F.col("_o_key"), "left").drop("_o_key")
+
+
 def repeated_spans(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(_s_id, _s_spans): for every document with repeated windows, their first words and how many follow each other."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     anchors = max(1, chars // 6 * 2 // (width - GRAM + 2))
     marks = repeated_anchors(docs, text, width, anchors)
-    rows = docs.select(_identity(key, text).alias("_s_id"), F.coalesce(F.col(key), F.lit(int(LAST))).cast("bigint").alias("_s_order"), F.col(text).alias("_s_text"))
+    rows = ordered(docs.select(F.col(key).alias("_s_key"), F.col(text).alias("_s_text")), "_s_key", "_s_order")
+    rows = rows.select(_identity("_s_key", "_s_text").alias("_s_id"), F.coalesce("_s_order", F.lit(int(LAST))).alias("_s_order"), "_s_text")
     where = written(places(rows, width, marks))
     blocks = max(4 * shuffle_partitions(spark), anchors // 4 // BLOCK)
     first = shard_results(shard_rows(rows, width, marks, blocks), width)

@@ -187,8 +187,10 @@ def test_ngram_join_of_many_near_copies(spark, monkeypatch):
 
 
 # ------------------------------------------------------------- substring dedup
-@pytest.mark.parametrize("width", [6, 20])
-def test_substring_dedup(spark, docs, width):
+@pytest.mark.parametrize("width, hot", [(6, None), (20, None), (6, 1), (6, 3)])
+def test_substring_dedup(spark, docs, monkeypatch, width, hot):
+    if hot:  # most windows are segments of their own
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
     rows = sorted({(r[0], r[1]) for r in ROWS}, key=lambda r: (r[0] is None, r[0]))
     seen, want = set(), {}
     for i, t in rows:
@@ -206,6 +208,33 @@ def test_substring_dedup(spark, docs, width):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_a_hot_anchor_is_split(spark, monkeypatch):
+    """A phrase of five words in ever other surroundings; no shard gets more than a few of its segments."""
+    import random
+
+    monkeypatch.setattr(substring_dedup, "HOT", 50)
+    rng = random.Random(13)
+    rows = []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(50)]
+        own[20:25] = ["by", "the", "staff", "of", "here"]
+        rows.append((i, " ".join(own), "en", "h", 1, None, None))
+    rows += [(1000 + r[0], r[1], *r[2:]) for r in rows[:20]]
+    docs = frame(spark, rows)
+    marks = substring_dedup.repeated_anchors(docs, "text", 20, 5000)
+    bits, cells, hot = marks.value
+    assert len(hot) <= 1
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {r[0]: 50 * (r[0] >= 1000) for r in rows}
+
+
+def test_substring_dedup_by_text_keys(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b9", text), ("b10", text), ("a", f"x {text}"), (None, text), ("b9", text)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("None", 40), ("a", 0), ("b10", 40), ("b9", 40), ("b9", 40)]
+
+
 def test_suffix_automaton():
     import random
 
