@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, text_chunks
+from .common import spread, text_chunks
 
 #: Entries that a task's cache of encoded words holds at most; beyond, it starts anew.
 CACHE = 300_000
@@ -230,7 +230,6 @@ def _file(spark: SparkSession, path: str) -> bytes:
 
 def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark)
     raw = spark.sparkContext.broadcast(_file(spark, ranks_path))
 
     def make() -> WordCoder:
@@ -244,13 +243,12 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
             ids = pa.array([coder.ids(t) for t in texts.to_pylist()], pa.binary())
             yield with_column(batch, out, ids)
 
-    return docs.mapInArrow(run, _schema(docs, out, T.BinaryType()))
+    return spread(docs).mapInArrow(run, _schema(docs, out, T.BinaryType()))
 
 
 def decode_bpe(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Unknown ids are errors; null ids decode to null."""
     spark = encoded.sparkSession
-    bounded_batches(spark)
     raw = spark.sparkContext.broadcast(_file(spark, ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,39 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+_SCOPES = threading.local()
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables that are written inside are removed at its end, but for those that kept() hands on."""
+    stack = _SCOPES.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        dropped(*stack.pop())
+
+
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = path or f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._curator_path = path
+    if stack := getattr(_SCOPES, "stack", None):
+        stack[-1].append(out)
+    return out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table that outlives the scope it is written in; it belongs to the one around, if there is one."""
+    out = written(df)
+    if stack := getattr(_SCOPES, "stack", None):
+        stack[-1].pop()
+        if len(stack) > 1:
+            stack[-2].append(out)
     return out
 
 
@@ -51,11 +79,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand Python tasks at most so many rows at a time: texts may be long, and a batch is held whole."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files give fewer tasks than there are: a text costs far more to read than to move. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def unused(name: str, df: DataFrame) -> str:

@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, shuffle_partitions, written
+from .common import dropped, kept, scratch_scope, shuffle_partitions, spread, written
 from .graph import components, spanning
 
-SQUARE = 2000
+#: Vectors in a square's side at most, and at least where a component is dealt to several tasks.
+SQUARE, LEAST_SQUARE = 2000, 128
 
 
 def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -56,7 +57,7 @@ def unit_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
                 units.append((own / size).tobytes() if size else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(units, pa.binary())], names=["id", "k", "unit"])
 
-    return vectors.select(key, vector).mapInArrow(run, f"id {vectors.schema[key].dataType.simpleString()}, k bigint, unit binary")
+    return spread(vectors.select(key, vector)).mapInArrow(run, f"id {vectors.schema[key].dataType.simpleString()}, k bigint, unit binary")
 
 
 def _stacked(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,8 @@ def linked(classes: DataFrame, threshold: float, passes: int, window: int, seed:
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     """(k, links): how many other vectors of the component each class links with, copies of others included."""
-    sides = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("side"))
+    n = F.count(F.lit(1))
+    sides = members.groupBy("component").agg(F.greatest(F.ceil(n / SQUARE), F.least(F.ceil(n / LEAST_SQUARE), F.lit(8))).cast("int").alias("side"))
     rows = members.join(sides, "component").withColumn("own", F.pmod(F.xxhash64("k"), F.col("side")).cast("int"))
     squares = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1))).select(
         "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "k", "copies", "unit"
@@ -215,6 +217,11 @@ def embedding_near_dedup(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, passes: int = 8, window: int = 32, seed: int = 42, miss: float = 1e-3
 ) -> DataFrame:
     """key, n_links, component_id and kept of every row of vectors; passes are those of a round."""
+    with scratch_scope():
+        return kept(_labelled(vectors, key, vector, threshold, passes, window, seed, miss))
+
+
+def _labelled(vectors: DataFrame, key: str, vector: str, threshold: float, passes: int, window: int, seed: int, miss: float) -> DataFrame:
     units = written(unit_vectors(vectors, key, vector))
     classes = written(units.where("k is not null").groupBy("k").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")))
     parts = linked(classes, threshold, passes, window, seed, miss)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, kept, scratch_scope, written
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.toDF("a", "b").where("a <> b").mapInArrow(_local, "a bigint, b bigint").distinct())
     while not _settled(now):
-        large = written(_large_star(now))
-        after = written(_small_star(large))
-        dropped(now, large)
+        with scratch_scope():
+            after = kept(_small_star(written(_large_star(now))))
+        dropped(now)
         now = after
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

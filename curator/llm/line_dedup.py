@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import kept, scratch_scope, spread, unused, written
 
 SPACE = " \t\r\x0b\f"
 
@@ -47,19 +47,21 @@ def _windows(text: str, lines: int) -> Column:
 
 
 def repeated_lines(docs: DataFrame, key: str, text: str, lines: int) -> DataFrame:
-    """(_l_id, _l_spans): for every document with repeated windows, the spans of lines that they cover."""
+    """(_l_id, _l_spans), a table: for every document with repeated windows, the spans of lines that they cover."""
     order = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"))
-    rows = written(docs.select(_identity(key, text).alias("_l_id"), order.alias("_l_order"), F.explode(_windows(text, lines)).alias("_l_w")))
+    own = spread(docs.select(_identity(key, text).alias("_l_id"), order.alias("_l_order"), F.col(text).alias("_l_text")))
+    rows = written(own.select("_l_id", "_l_order", F.explode(_windows("_l_text", lines)).alias("_l_w")))
     rows = rows.select("_l_id", F.struct("_l_order", F.col("_l_w.from").alias("at")).alias("_l_place"), F.col("_l_w.hash").alias("_l_hash"), F.col("_l_w.to").alias("_l_to"))
     first = rows.groupBy("_l_hash").agg(F.min("_l_place").alias("_l_first"), F.count(F.lit(1)).alias("_l_n")).where("_l_n > 1").drop("_l_n")
     later = rows.join(first, "_l_hash").where("_l_place > _l_first")
-    return later.groupBy("_l_id").agg(F.collect_set(F.struct(F.col("_l_place.at").alias("from"), F.col("_l_to").alias("to"))).alias("_l_spans"))
+    return kept(later.groupBy("_l_id").agg(F.collect_set(F.struct(F.col("_l_place.at").alias("from"), F.col("_l_to").alias("to"))).alias("_l_spans")))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = 3) -> DataFrame:
     """docs without their repeated lines, with n_lines (before) and n_removed; n_chars, where there is one, follows."""
     ident, spans, own, stay = (unused(x, docs) for x in ("_l_id", "_l_spans", "_l_own", "_l_stay"))
-    found = repeated_lines(docs, key, text, lines).toDF(ident, spans)
+    with scratch_scope():
+        found = repeated_lines(docs, key, text, lines).toDF(ident, spans)
     joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left")
     covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"])))
     hit = F.col(spans).isNotNull()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, ranges, shuffle_partitions, text_chunks, window_hashes, word_hashes, words_of, written
+from .common import kept, mixed, ranges, scratch_scope, shuffle_partitions, spread, text_chunks, window_hashes, word_hashes, words_of, written
 from .graph import components
 
 #: Cells of the smallest sketch.
@@ -129,7 +129,7 @@ def scanned(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary, part int")
+    return spread(docs.select(key, text)).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary, part int")
 
 
 def frequency_levels(partial: DataFrame) -> np.ndarray:
@@ -197,7 +197,7 @@ def block_rows(docs: DataFrame, text: str, n: int, t: int, levels, blocks: int)
             payloads = [b"".join(entries[f][lo:hi].tobytes() for f in _ENTRY.names) for lo, hi in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), pa.array(payloads, pa.binary())], names=["block", "payload"])
 
-    return docs.select(text).mapInArrow(run, "block bigint, payload binary")
+    return spread(docs.select(text)).mapInArrow(run, "block bigint, payload binary")
 
 
 def _entries(payload: bytes) -> np.ndarray:
@@ -237,16 +237,16 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
             x, y = entries[(base[:, None] + i).ravel()], entries[(base[:, None] + j).ravel()]
             ok = _allowed(x, y, t)
             pairs.append((x["k"][ok], y["k"][ok]))
-        kept = []
+        stay = []
         for lo, hi in zip(edges[:-1][long], edges[1:][long]):
             column = entries[lo:hi]
-            kept.append(column)
+            stay.append(column)
             pivot = column[np.lexsort((column["k"], column["at"]))[:1]]
             ok = _allowed(np.repeat(pivot, len(column)), column, t) & (column["k"] != pivot["k"])
             x, y = np.repeat(pivot["k"], ok.sum()), column["k"][ok]
             pairs.append((np.minimum(x, y), np.maximum(x, y)))
         pair = np.unique(np.concatenate([np.stack(p, 1) for p in pairs]), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        column = np.concatenate(kept) if kept else np.zeros(0, _ENTRY)
+        column = np.concatenate(stay) if stay else np.zeros(0, _ENTRY)
         m, c = len(pair), len(column)
         return pa.table(
             {
@@ -298,7 +298,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) ->
     """(k, members): the whole sets of the wanted classes, from the text of each one's first document."""
     spots = _id_filter(wanted)
     bits = len(spots.value) * 64
-    marked = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(key).bitwiseAND(bits - 1).alias("spot"))
+    marked = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(key).bitwiseAND(bits - 1).alias("spot")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some() -> Iterator[pa.RecordBatch]:
@@ -387,8 +387,12 @@ def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int
 # ---------------------------------------------------------------- the operator
 def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles and component_id (the least key that links reach) of every row of docs."""
+    with scratch_scope():
+        return kept(_labelled(docs, key, text, n, percent))
+
+
+def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     spark, t = docs.sparkSession, percent
-    bounded_batches(spark)
     scan = written(scanned(docs, key, text, n))
     levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts"))))
     table = scan.where("part is null").drop("part")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import WordCoder, _file, _once
-from .common import bounded_batches, text_chunks, written
+from .common import spread, text_chunks, written
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -130,7 +130,6 @@ def piece_coders(definition: str, pattern: str):
 def pieces_of(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every text with their task and number among the task's pieces of that length."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     raw = spark.sparkContext.broadcast(_file(spark, tokenizer_path))
     end = np.array([end_id], "<u4").tobytes()
 
@@ -156,7 +155,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int =
             yield pa.RecordBatch.from_arrays([keys, *columns], names=[key, *PIECES.names])
 
     schema = T.StructType([docs.schema[key], *PIECES.fields])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:

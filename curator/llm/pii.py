@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 ROUNDS = 8
 
 # Each pattern matches a whole value; what stands around it may not continue it.
@@ -246,7 +248,7 @@ def pseudonymised(text: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with their text pseudonymised (n_chars, where there is one, follows)."""
-    out = docs.withColumn(text, pseudonymised(F.col(text), key))
+    out = spread(docs).withColumn(text, pseudonymised(F.col(text), key))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return out

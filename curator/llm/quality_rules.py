@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, unused, written
+from .common import dropped, kept, scratch_scope, spread, unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +110,7 @@ def _scanned(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
         F.filter(F.transform(F.split(_normalised(F.col("_q_whole")), "\n"), lambda x: F.trim(x)), lambda x: x != ""),
         lambda x: F.struct(_line_hash("_q_host", x).alias("line"), F.length(x).alias("chars")),
     )
-    own = docs.select(F.col(key).alias("_q_key"), F.col(text).alias("_q_text"), F.col(host).alias("_q_host"))
+    own = spread(docs.select(F.col(key).alias("_q_key"), F.col(text).alias("_q_text"), F.col(host).alias("_q_host")))
     counted = with_counts(own, "_q_text").withColumn("_q_lines", lines)
     return counted.select(
         "_q_key", _identity("_q_key", "_q_text", "_q_host").alias("_q_id"), F.xxhash64("_q_whole").alias("_q_doc"), *COUNTS,
@@ -130,8 +130,9 @@ def frequent_lines(scanned: DataFrame, max_docs: int) -> DataFrame:
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_left: float = 0.3) -> DataFrame:
     """key, the base counts, line_chars (characters in lines above the limit), base_failed and kept of every row of docs."""
-    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
-    return judged.select(F.col("_q_key").alias(key), *COUNTS, F.col("_q_lost").alias("line_chars"), "base_failed", "kept")
+    with scratch_scope():
+        judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
+        return kept(judged.select(F.col("_q_key").alias(key), *COUNTS, F.col("_q_lost").alias("line_chars"), "base_failed", "kept"))
 
 
 def _judged(scanned: DataFrame, max_docs: int, min_left: float) -> DataFrame:
@@ -153,15 +154,16 @@ def _judged(scanned: DataFrame, max_docs: int, min_left: float) -> DataFrame:
 
 def filter_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = 20, min_left: float = 0.3) -> DataFrame:
     """The rows of docs that quality_rules keeps, all columns, without the lines above the limit in their text (n_chars follows)."""
-    judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
     ident, hot = unused("_q_id", docs), unused("_q_hot", docs)
-    verdict = judged.where("kept").select(F.col("_q_id").alias(ident), F.col("_q_hot").alias(hot)).dropDuplicates([ident])
-    kept = docs.withColumn(ident, _identity(key, text, host)).join(verdict, ident)
+    with scratch_scope():
+        judged = _judged(written(_scanned(docs, key, text, host)), max_docs, min_left)
+        verdict = kept(judged.where("kept").select("_q_id", "_q_hot").dropDuplicates(["_q_id"])).toDF(ident, hot)
+    out = docs.withColumn(ident, _identity(key, text, host)).join(verdict, ident)
     stay = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(hot, _line_hash(host, _normalised(x))))
-    kept = kept.withColumn(text, F.when(F.col(hot).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")))
+    out = out.withColumn(text, F.when(F.col(hot).isNull(), F.col(text)).otherwise(F.array_join(stay, "\n")))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col(hot).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return kept.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(hot).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
 
 
 #: The digest query as DuckDB SQL (doc_id being unique there).

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, mixed, ranges, shuffle_partitions, text_chunks, unused, window_hashes, word_hashes, words_of, written
+from .common import kept, mixed, ranges, scratch_scope, shuffle_partitions, spread, text_chunks, unused, window_hashes, word_hashes, words_of, written
 
 GRAM = 5
 #: Anchors, or segments, that a block holds about.
@@ -179,7 +179,7 @@ def repeated_anchors(docs: DataFrame, text: str, width: int, anchors: int):
             }
         )
 
-    rows = docs.select(text).mapInArrow(emit, "block bigint, payload binary").groupBy("block").applyInArrow(mark, "block bigint, marks binary, hot binary, kinds binary").toArrow()
+    rows = spread(docs.select(text)).mapInArrow(emit, "block bigint, payload binary").groupBy("block").applyInArrow(mark, "block bigint, marks binary, hot binary, kinds binary").toArrow()
     out = np.zeros((1 << power, 1 << (bits - power - 3)), np.uint8)
     for block, marks in zip(rows["block"].to_pylist(), rows["marks"].to_pylist()):
         out[block] = np.frombuffer(marks, np.uint8)
@@ -308,12 +308,12 @@ def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(_s_id, _s_spans): for every document with repeated windows, their first words and how many follow each other."""
+    """(_s_id, _s_spans), a table: for every document with repeated windows, their first words and how many follow each other."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     anchors = max(1, chars // 6 * 2 // (width - GRAM + 2))
     marks = repeated_anchors(docs, text, width, anchors)
-    rows = ordered(docs.select(F.col(key).alias("_s_key"), F.col(text).alias("_s_text")), "_s_key", "_s_order")
+    rows = ordered(spread(docs.select(F.col(key).alias("_s_key"), F.col(text).alias("_s_text"))), "_s_key", "_s_order")
     rows = rows.select(_identity("_s_key", "_s_text").alias("_s_id"), F.coalesce("_s_order", F.lit(int(LAST))).alias("_s_order"), "_s_text")
     where = written(places(rows, width, marks))
     blocks = max(4 * shuffle_partitions(spark), anchors // 4 // BLOCK)
@@ -337,14 +337,14 @@ def repeated_spans(docs: DataFrame, key: str, text: str, width: int) -> DataFram
 
     own = (F.col("ord") == F.col("ford")) & (F.col("place") == F.col("fplace"))
     spans = both.select("id", "place", "windows", own.alias("own"), "repeated").mapInArrow(run, "_s_id bigint, first int, count int")
-    return spans.groupBy("_s_id").agg(F.collect_list(F.struct("first", "count")).alias("_s_spans"))
+    return kept(spans.groupBy("_s_id").agg(F.collect_list(F.struct("first", "count")).alias("_s_spans")))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space)."""
-    bounded_batches(docs.sparkSession)
     ident, spans = unused("_s_id", docs), unused("_s_spans", docs)
-    found = repeated_spans(docs, key, text, width).toDF(ident, spans)
+    with scratch_scope():
+        found = repeated_spans(docs, key, text, width).toDF(ident, spans)
     joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left").drop(ident)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +361,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             kept_before = np.concatenate([[0], np.cumsum(stay)])
             n = np.diff(offsets)
             new = kept_before[offsets]
-            kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(new), words.filter(pa.array(stay))), pa.scalar(" ", words.type))
+            left = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(new), words.filter(pa.array(stay))), pa.scalar(" ", words.type))
             names = [x for x in batch.schema.names if x not in (spans, "n_words", "n_removed", "kept")]
             columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(n - np.diff(new)), kept.cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(n - np.diff(new)), left.cast(pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
     fields = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]

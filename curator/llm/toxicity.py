@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_chunks, written
+from .common import spread, text_chunks, written
 
 #: Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = str.maketrans("авеёзіїјкмнорсԛѕтухԝьһԁɡαεηικνορτυχωѵոսցքօ", "abeeeiijkmhopcqstyxwbhdgaehiknoptuxwvnugqo")
@@ -176,7 +176,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_t_key")).agg(F.max(label).alias("_t_label"))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("_t_key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("_t_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = own.join(F.broadcast(chosen), F.col("_t_doc") == F.col("_t_key")).select("_t_label", "text")
     known = written(texts.groupBy(F.xxhash64("text").alias("_t_hash")).agg(F.max("_t_label").alias("y"), F.first("text").alias("text")).select("y", "text"))
@@ -241,7 +240,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, held_out, score and predicted of every row of docs."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,5 +248,5 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(scores, pa.float64())], names=["_t_key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(key, text).mapInArrow(run, f"_t_key {kind}, score double")
+    scored = spread(docs.select(key, text)).mapInArrow(run, f"_t_key {kind}, score double")
     return scored.select(F.col("_t_key").alias(key), F.coalesce(held_out(F.col("_t_key")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -36,3 +36,22 @@ def test_spanning():
 
     a, b = spanning(np.array([3, 2, 9]), np.array([2, 1, 9]))
     assert dict(zip(a.tolist(), b.tolist())) == {3: 1, 2: 1}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from curator.llm.common import kept, scratch_root, scratch_scope, written
+
+    root = scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    with scratch_scope():
+        with scratch_scope():
+            inner = kept(written(spark.range(5)).where("id > 2"))
+        assert inner.count() == 2 and len(set(os.listdir(root)) - before) == 1
+        last = kept(inner.where("id > 3"))
+    assert last.count() == 1 and len(set(os.listdir(root)) - before) == 1
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint")
+    with scratch_scope():
+        assert components(edges).count() == 51
+    assert len(set(os.listdir(root)) - before) == 1

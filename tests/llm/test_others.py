@@ -80,7 +80,7 @@ def test_neighbours_across_a_cut_are_compared(spark):
 
 
 # ----------------------------------------------------------------------- pages
-def test_extraction(spark):
+def test_extraction(spark, monkeypatch):
     nav = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav>"
     rows = []
     for i in range(24):
@@ -96,6 +96,7 @@ def test_extraction(spark):
     assert by_id[30] == "Real text number 30 is here."
     assert (by_id[48], by_id[49], by_id[50], by_id[51]) == ("", "", "plain text", "ac\nd")
     assert all(r.n_chars == len(r.text) for r in got)
+    monkeypatch.setattr(html_extract, "FOLLOW", 5)
     plain = html_extract.extract_text(df, broadcast_bytes=0)
     assert sorted(plain.collect(), key=str) == sorted(got, key=str)
     assert html_extract.extract_text(df.limit(0)).count() == 0
