@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curator.llm.common import scratch_root, table, unused
+from curator.llm.common import scratch_root, scratch_scope, table, unused
 from curator.llm.line_dedup import dedup_lines
 from curator.llm.ngram_join import ngram_jaccard
 from curator.llm.packing import pack
@@ -33,13 +33,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one of least id stays."""
+    """Of each group of documents that links join, the one of least id stays; of rows that repeat an id, one. Rows without an id stay."""
     found = ngram_jaccard(docs)
     first, rank = unused("_first", docs), unused("_rank", docs)
-    keys = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    keys = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct()
+    stay = docs.join(keys, F.col("doc_id") == F.col(first), "left_semi")
     copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return kept.withColumn(rank, copy).where((F.col(rank) == 1) | F.col("doc_id").isNull()).drop(rank)
+    return stay.withColumn(rank, copy).where(F.col(rank) == 1).drop(rank).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
