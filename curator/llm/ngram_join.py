@@ -1,17 +1,22 @@
 """N-gram Jaccard self-join: which documents share so many word n-grams that their sets' similarity reaches a bound.
 
 The document by n-gram incidence matrix is multiplied with its transpose in blocks of n-grams. Bounds derived from
-the sets' sizes keep most of it from being formed: n-grams are ordered by rising document frequency (told from a
-count array of fixed size over the whole corpus), and a pair that reaches similarity t shares one of the first
-n - ceil(t n) + 1 n-grams of each; where the common n-gram stands tells how large the overlap can still be.
+the sets' sizes keep most of it from being formed: n-grams are ordered by rising document frequency (told from an
+array of counters over the whole corpus, whose size grows with it up to a bound), and a pair that reaches similarity t
+shares one of the first n - ceil(t n) + 1 n-grams of each; where the common n-gram stands tells how large the overlap
+can still be.
 
 1. One pass counts n-grams by hash bucket and writes for each document its set's size, hash and a parity sketch of
    about a bit for each n-gram. Documents of equal sets are one class from here on, so copies are never paired.
-2. One pass sends each class's prefix n-grams to their blocks. A block sorts its entries by n-gram. Short columns give
-   all pairs that pass the bounds. Long ones give a star around the class that holds the n-gram earliest, and are kept.
-3. The pairs' overlaps are counted on the whole sets; those that reach the bound are links; components follow.
+2. One pass sends each class's prefix n-grams to their blocks. A block sorts its entries by n-gram and counts, for the
+   pairs of classes in each short column, how many of its columns both have. Long columns give a star around the class
+   that holds the n-gram earliest, and are kept.
+3. A pair's counts of all blocks are added up. What its sets can share besides is bounded by their sizes behind the
+   prefixes and by the long columns they are in; pairs that can't reach t go, then those whose sketches can't. For the
+   rest the overlap is counted on the whole sets; pairs that reach the bound are links; components follow.
 4. Long columns that hold more than one component are multiplied in square blocks of bounded size: pairs of different
-   components pass if size and sketch (whose differing bits can't outnumber differing n-grams) allow; then 3 again.
+   components pass if size and sketch (whose differing bits can't outnumber differing n-grams) allow; then they are
+   counted on the whole sets as in 3.
 
 So every pair of different texts that links is found, or both ends are already in one component.
 
@@ -36,14 +41,18 @@ from .graph import components
 
 #: Cells of the smallest sketch.
 LEAST_CELLS = 512
-#: Buckets of the document-frequency count: its size, and so the broadcast's, doesn't grow with the corpus.
-BUCKETS = 1 << 20
-#: Buckets in a part of it.
+#: Bits of the number of counters of document frequency: at least, and at most (a byte of each is broadcast: 4 MB).
+LEAST_BITS, MOST_BITS = 16, 22
+#: N-grams that a counter stands for about, below that bound.
+PER_COUNTER = 64
+#: Counters in a part of them.
 CELLS = 4096
 #: Columns of the product up to this many classes give all their pairs at once.
 SHORT = 16
 #: Rows and columns of a square block in step 4.
 SQUARE = 2000
+#: Classes of a side of a square at least, where a column is dealt to several tasks.
+LEAST_SQUARE = 256
 #: Prefix entries that a block holds about.
 BLOCK = 400_000
 #: Columns of about more classes than this are dealt to several blocks.
@@ -107,15 +116,15 @@ def _needed(total: np.ndarray, t: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------- 1. statistics
-def scanned(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+def scanned(docs: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
     """Rows of two kinds from one pass: a document's key, set size, set key and sketch; or, with a part number, how many n-grams of a task's documents fall into each bucket of that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "k", "mark", "part"]
-        total, kind = np.zeros(BUCKETS, np.int64), None
+        total, kind = np.zeros(1 << bits, np.int64), None
         for batch, texts in text_chunks(batches, text):
             hashes, starts = shingle_sets(texts, n)
-            np.add(total, np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=BUCKETS), out=total)
+            np.add(total, np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), out=total)
             ids = batch.column(batch.schema.get_field_index(key))
             kind, rows = ids.type, len(ids)
             yield pa.RecordBatch.from_arrays(
@@ -132,8 +141,14 @@ def scanned(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return spread(docs.select(key, text)).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary, part int")
 
 
-def frequency_levels(partial: DataFrame) -> np.ndarray:
-    """For each bucket the logarithm of how far its count is above the usual: all documents count, the array's size is fixed."""
+def counter_bits(docs: DataFrame, text: str) -> int:
+    """How many bits of an n-gram's hash choose its counter, from the size of the corpus."""
+    words = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
+    return min(max(int(words // PER_COUNTER).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def frequency_levels(partial: DataFrame, bits: int) -> np.ndarray:
+    """For each counter the logarithm of how far it is above what the n-grams that share it by chance make: their mean and four times its root."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -144,14 +159,20 @@ def frequency_levels(partial: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     summed = partial.repartition(shuffle_partitions(partial.sparkSession), "part").mapInArrow(add, "part int, counts binary")
-    counts = np.zeros((BUCKETS // CELLS, CELLS), np.int64)
-    rows = summed.toArrow()  # BUCKETS counts
+    counts = np.zeros(((1 << bits) // CELLS, CELLS), np.int64)
+    rows = summed.toArrow()  # at most 2 ** MOST_BITS counts
     for part, own in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
         counts[part] = np.frombuffer(own, np.int64)
-    above = np.maximum(counts.reshape(-1) - 2 * counts.mean(), 0)
+    usual = np.median(counts)  # a few frequent n-grams hardly move it
+    above = np.maximum(counts.reshape(-1) - usual - 4 * np.sqrt(usual), 0)
     return np.ceil(np.log2(above + 1)).astype(np.uint8)
 
 
+def _level(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    bits = len(levels).bit_length() - 1
+    return levels[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+
+
 # ------------------------------------------------------------- 2. the blocks
 _ENTRY = np.dtype([("g", "<u8"), ("k", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
@@ -169,7 +190,7 @@ def _prefix_entries(hashes: np.ndarray, starts: np.ndarray, levels: np.ndarray,
     first = first[sizes[first] > 0]
     pick = ranges(starts[:-1][first], sizes[first])
     h, n = hashes[pick], sizes[first]
-    level = levels[(h >> np.uint64(44)).astype(np.int64)]
+    level = _level(h, levels)
     rank = (level.astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
     prefix = n + (-t * n // 100) + 1
     ends = np.cumsum(n)
@@ -217,7 +238,7 @@ def _allowed(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
 
 
 def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
-    """(g, a, b, n): candidate pairs a < b with null g, and the entries (g, a, null, n) of long columns."""
+    """(g, a, b, n): pairs a < b of like size with null g, and as n twice the number of short columns of the block that both have, plus one where a place allows a link; and the entries (g, a, null, n) of long columns."""
 
     def product(table: pa.Table) -> pa.Table:
         entries = np.concatenate([_entries(p) for p in table["payload"].to_pylist()])
@@ -227,7 +248,7 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
         entries = entries[new]  # copies in other tasks
         edges = np.concatenate([[0], np.flatnonzero(np.diff(entries["g"])) + 1, [len(entries)]])
         size = np.diff(edges)
-        wide = _deals(levels.value[(entries["g"][edges[:-1]] >> np.uint64(44)).astype(np.int64)]) > 1
+        wide = _deals(_level(entries["g"][edges[:-1]], levels.value)) > 1
         short = (size > 1) & (size <= SHORT) & ~wide
         long = (size > SHORT) | wide
         pairs = []
@@ -235,8 +256,10 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
             base = edges[:-1][short & (size == width)]
             i, j = np.triu_indices(width, 1)
             x, y = entries[(base[:, None] + i).ravel()], entries[(base[:, None] + j).ravel()]
-            ok = _allowed(x, y, t)
-            pairs.append((x["k"][ok], y["k"][ok]))
+            like = 100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= t * np.maximum(x["n"], y["n"]).astype(np.int64)
+            x, y = x[like], y[like]
+            # the places only have to allow it where the two sets' first common n-gram is, but all common ones count
+            pairs.append((x["k"], y["k"], 2 + _allowed(x, y, t)))
         stay = []
         for lo, hi in zip(edges[:-1][long], edges[1:][long]):
             column = entries[lo:hi]
@@ -244,8 +267,11 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
             pivot = column[np.lexsort((column["k"], column["at"]))[:1]]
             ok = _allowed(np.repeat(pivot, len(column)), column, t) & (column["k"] != pivot["k"])
             x, y = np.repeat(pivot["k"], ok.sum()), column["k"][ok]
-            pairs.append((np.minimum(x, y), np.maximum(x, y)))
-        pair = np.unique(np.concatenate([np.stack(p, 1) for p in pairs]), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            pairs.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
+        every = np.concatenate([np.stack(p, 1) for p in pairs]) if pairs else np.zeros((0, 3), np.int64)
+        pair, which = np.unique(every[:, :2], axis=0, return_inverse=True)
+        common = np.bincount(which.ravel(), every[:, 2] >> 1, minlength=len(pair)).astype(np.int64) << 1
+        np.bitwise_or.at(common, which.ravel(), every[:, 2] & 1)
         column = np.concatenate(stay) if stay else np.zeros(0, _ENTRY)
         m, c = len(pair), len(column)
         return pa.table(
@@ -253,7 +279,7 @@ def block_product(rows: DataFrame, t: int, levels) -> DataFrame:
                 "g": pa.array(np.concatenate([np.zeros(m, np.int64), column["g"].view(np.int64) if c else np.zeros(0, np.int64)]), mask=np.arange(m + c) < m),
                 "a": pa.array(np.concatenate([pair[:, 0], column["k"]])),
                 "b": pa.array(np.concatenate([pair[:, 1], np.zeros(c, np.int64)]), mask=np.arange(m + c) >= m),
-                "n": pa.array(np.concatenate([np.zeros(m, np.int64), column["n"].astype(np.int64)])),
+                "n": pa.array(np.concatenate([common, column["n"].astype(np.int64)])),
             }
         )
 
@@ -266,9 +292,23 @@ def _near(apart: np.ndarray, na: np.ndarray, nb: np.ndarray, t: int) -> np.ndarr
     return (apart <= na + nb - 2 * _needed(na + nb, t)) & (100 * np.minimum(na, nb) >= t * np.maximum(na, nb))
 
 
-def sketch_filter(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
-    side = lambda x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"m{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+def _behind(n, t: int):
+    """How many n-grams a set of n has behind its prefix."""
+    return F.ceil(F.lit(t) * n / 100) - 1
+
+
+def open_pairs(pairs: DataFrame, classes: DataFrame, held: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b, common) that can still reach t by what is counted, by size and by sketch.
+
+    Of two prefixes the one that ends first in the common order holds all common n-grams up to there, which are in
+    common or in long columns (held: k, long); what follows is at most what that set has behind its prefix.
+    """
+    own = classes.join(held, "k", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    side = lambda x: own.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"m{x}"), F.col("long").alias(f"l{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    most = F.col("common") + F.least("la", "lb") + F.greatest(_behind(F.col("na"), t), _behind(F.col("nb"), t))
+    total = F.col("na") + F.col("nb")
+    joined = joined.where(most * (100 + t) >= t * total).select("a", "b", "na", "nb", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,7 +388,7 @@ def cross_pairs(columns: DataFrame, classes: DataFrame, parts: DataFrame, t: int
     # a table of its own: the join is then planned with its size, and large columns can be split
     open_columns = written(
         labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-        .select("g", F.ceil(F.col("size") / SQUARE).cast("int").alias("side"))
+        .select("g", F.greatest(F.ceil(F.col("size") / SQUARE), F.least(F.ceil(F.col("size") / LEAST_SQUARE), F.lit(8))).cast("int").alias("side"))
     )
     rows = labelled.join(open_columns, "g").join(classes.select("k", "n", "mark"), "k")
     own = F.pmod(F.xxhash64("k"), F.col("side")).cast("int")
@@ -393,18 +433,21 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     spark, t = docs.sparkSession, percent
-    scan = written(scanned(docs, key, text, n))
-    levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts"))))
+    bits = counter_bits(docs, text)
+    scan = written(scanned(docs, key, text, n, bits))
+    levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts")), bits))
     table = scan.where("part is null").drop("part")
     full = table.where("n > 0")
     classes = written(full.groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mark").alias("mark")))
     entries = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).first()[0] or 0
     blocks = max(4 * shuffle_partitions(spark), -(-entries // BLOCK))
     found = written(block_product(block_rows(docs, text, n, t, levels, blocks), t, levels))
-    pairs = found.where("g is null").select("a", "b").distinct()
-    links = written(verified(written(sketch_filter(pairs, classes, t)), classes, docs, key, text, n, t))
-    parts = written(components(links))
+    counted = found.where("g is null").groupBy("a", "b").agg(F.sum(F.shiftright("n", 1)).alias("common"), F.max(F.col("n").bitwiseAND(1)).alias("allowed"))
+    pairs = counted.where("allowed = 1").drop("allowed")
     columns = found.where("g is not null").select("g", F.col("a").alias("k"))
+    held = written(columns.groupBy("k").agg(F.count(F.lit(1)).alias("long")))
+    links = written(verified(written(open_pairs(pairs, classes, held, t)), classes, docs, key, text, n, t))
+    parts = written(components(links))
     more = written(cross_pairs(columns, classes, parts, t).distinct())
     if not more.isEmpty():
         links = links.unionByName(verified(more, classes, docs, key, text, n, t))

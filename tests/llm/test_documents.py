@@ -158,7 +158,7 @@ def brute_jaccard(rows, n=5, t=80):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, docs, monkeypatch, small):
     if small:  # long columns, several squares and columns dealt to several blocks
-        for name, value in (("SHORT", 2), ("SQUARE", 2), ("WIDE", 2), ("BLOCK", 50)):
+        for name, value in (("SHORT", 2), ("SQUARE", 2), ("LEAST_SQUARE", 1), ("WIDE", 2), ("BLOCK", 50), ("LEAST_BITS", 12), ("MOST_BITS", 12)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = {(r[0], r[1]) for r in ROWS if r[0] is not None}
     want = brute_jaccard(rows)
@@ -183,6 +183,25 @@ def test_ngram_join_of_many_near_copies(spark, monkeypatch):
         rows.append((i, " ".join(own), "en", "h", 1, None, None))
     want = brute_jaccard({(r[0], r[1]) for r in rows})
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard(frame(spark, rows)).collect()} == want
+
+
+def test_ngram_join_at_the_bound(spark):
+    """Pairs on both sides of every similarity near the bound, at many sizes, a frequent passage in all of them; counting mustn't drop any."""
+    import random
+
+    rng = random.Random(17)
+    rows, passage = [], " ".join(f"common{i}" for i in range(12))
+    for i in range(120):
+        n = rng.randint(5, 60)
+        own = [f"d{i}w{j}" for j in range(n)]
+        other = list(own)
+        for _ in range(rng.randint(0, 2)):
+            other[rng.choice([0, -1, rng.randrange(n)])] = f"d{i}x{rng.randrange(9)}"
+        extra = f" {passage}" if i % 2 else ""
+        rows += [(2 * i, " ".join(own) + extra, "en", "h", 1, None, None), (2 * i + 1, " ".join(other[rng.randint(0, 2) :]) + extra, "en", "h", 1, None, None)]
+    want = brute_jaccard({(r[0], r[1]) for r in rows})
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard(frame(spark, rows)).collect()} == want
+    assert 30 < len({c for _, c in want.values()}) < 220
     assert ngram_join.ngram_jaccard(empty(spark)).count() == 0
 
 
