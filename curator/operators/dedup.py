@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import found
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 
 # The bound on similarity, and how shared core keywords raise it.
 SIMILARITY = 0.4
 ONE_CORE, MORE_CORE = 1.2, 1.5
 
 
+# The units that belong to a number in a title.
+UNITS = "亿万兆元%股点个家条项"
+
+
 def title_keywords(title: Column, core: list[str], stops: list[str]) -> Column:
-    """Core terms, Latin words in upper case, numbers with what follows, and pairs of ideographs; without stop words and single characters."""
+    """Core terms, Latin words in upper case, numbers with their unit, and pairs of ideographs; without stop words and single characters."""
     plain = F.coalesce(title, F.lit(""))
     latin = F.transform(F.regexp_extract_all(plain, F.lit(r"([A-Za-z]{2,})"), F.lit(1)), lambda w: F.upper(w))
-    numbers = F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?%?)"), F.lit(1))
+    numbers = F.regexp_extract_all(plain, F.lit(rf"(\d+(?:\.\d+)?[{UNITS}]?)"), F.lit(1))
     han = F.regexp_replace(plain, r"[^\x{4e00}-\x{9fff}]", "")
     pairs = F.when(F.length(han) > 1, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substr(han, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.concat(found(plain, core), latin, numbers, pairs))
@@ -32,60 +36,74 @@ def similarity(a: Column, b: Column, core: list[str]) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.least(base * F.when(strong >= 2, MORE_CORE).when(strong == 1, ONE_CORE).otherwise(1.0), F.lit(1.0)))
 
 
-def keyword_classes(items: DataFrame, key: str = "id", keywords: str = "keywords") -> DataFrame:
-    """(seq, keywords): each distinct keyword set with the least key that has it."""
-    return items.groupBy(keywords).agg(F.min(key).alias("seq")).select("seq", F.col(keywords).alias("keywords"))
+def keyword_classes(items: DataFrame, key: str = "id", keywords: str = "keywords", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, seq, keywords): each distinct keyword set of each `by` with the least key that has it."""
+    return items.groupBy(*by, keywords).agg(F.min(key).alias("seq")).select(*by, "seq", F.col(keywords).alias("keywords"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, core: list[str], least: float = SIMILARITY) -> DataFrame:
-    """(a, b, sim) of pairs of different classes that reach the bound: an inverted index on the rarest keywords of each.
+def similar_pairs(left: DataFrame, right: DataFrame, core: list[str], least: float = SIMILARITY, by: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
+    """(by, a, b, sim) of pairs of different classes of one `by` that reach the bound: an inverted index on the rarest keywords of each.
 
     Sets whose Jaccard reaches least / MORE_CORE share one of the first n - ceil(n * that) + 1 keywords in any common
-    order; rare ones first keep the lists short.
+    order; rare ones first keep the lists short. What stands behind a common keyword bounds how much more can be
+    common, which drops most pairs that a frequent keyword would make. ordered: only pairs with a before b.
     """
     bound = least / MORE_CORE
-    often = left.unionByName(right).select(F.explode("keywords").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    often = left.unionByName(right).select(*by, F.explode("keywords").alias("w")).groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
-        rows = side.select(F.col("seq").alias(name), F.size("keywords").alias("n"), F.explode("keywords").alias("w")).join(often, "w")
-        place = F.row_number().over(Window.partitionBy(name).orderBy("df", "w"))
-        return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select(name, "w", F.col("n").alias(f"n{name}"))
+        rows = side.select(*by, F.col("seq").alias(name), F.size("keywords").alias("n"), F.explode("keywords").alias("w")).join(often, [*by, "w"])
+        place = F.row_number().over(Window.partitionBy(*by, name).orderBy("df", "w"))
+        return rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select(*by, name, "w", F.col("n").alias(f"n{name}"), F.col("place").alias(f"p{name}"))
 
     a, b = prefix(left, "a"), prefix(right, "b")
-    candidates = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= bound * F.greatest("na", "nb"))).select("a", "b").distinct()
-    joined = candidates.join(left.select(F.col("seq").alias("a"), F.col("keywords").alias("ka")), "a").join(right.select(F.col("seq").alias("b"), F.col("keywords").alias("kb")), "b")
-    return joined.withColumn("sim", similarity(F.col("ka"), F.col("kb"), core)).where(F.col("sim") >= least).select("a", "b", "sim")
-
-
-def greedy_kept(items: DataFrame, core: list[str], key: str = "id", least: float = SIMILARITY) -> DataFrame:
-    """The keys that a scan in key order keeps: an item stays unless it is similar to one kept before it.
-
-    items: key, keywords. Rounds: what has no undecided earlier neighbour stays, its later neighbours go. Equal keyword
-    sets are one class, of which the first item stands for all; items without keywords are similar to nothing.
+    together = a.join(b, [*by, "w"]).where(F.least("na", "nb") >= bound * F.greatest("na", "nb"))
+    # true of the first common keyword of every pair that reaches the bound
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    together = together.where(reach * (1 + bound) >= bound * (F.col("na") + F.col("nb")) - 1e-9)
+    candidates = (together.where(F.col("a") < F.col("b")) if ordered else together).select(*by, "a", "b").distinct()
+    side = lambda df, name: df.select(*by, F.col("seq").alias(name), F.col("keywords").alias(f"k{name}"))
+    joined = candidates.join(side(left, "a"), [*by, "a"]).join(side(right, "b"), [*by, "b"])
+    return joined.withColumn("sim", similarity(F.col("ka"), F.col("kb"), core)).where(F.col("sim") >= least).select(*by, "a", "b", "sim")
+
+
+def greedy_kept(items: DataFrame, core: list[str], key: str = "id", least: float = SIMILARITY, by: tuple[str, ...] = ()) -> DataFrame:
+    """The keys (with their `by`) that a scan of each `by` in key order keeps: an item stays unless it is similar to one kept before it.
+
+    items: by, key (of any type that can be sorted), keywords. Rounds: what has no undecided earlier neighbour stays,
+    its later neighbours go. Equal keyword sets are one class, of which the first item stands for all; items without
+    keywords are similar to nothing.
     """
     some = items.where(F.size("keywords") > 0)
-    classes = written(keyword_classes(some, key))
-    edges = written(similar_pairs(classes, classes, core, least).select(F.col("a").alias("early"), F.col("b").alias("late")))
-    dropped = written(edges.select(F.col("late").alias("seq")).limit(0))
+    classes = written(keyword_classes(some, key, by=by))
+    edges = written(similar_pairs(classes, classes, core, least, by).select(*by, F.col("a").alias("early"), F.col("b").alias("late")))
+    gone = written(edges.select(*by, F.col("late").alias("seq")).limit(0))
     while not edges.isEmpty():
-        late = edges.select(F.col("late").alias("early")).distinct()
-        stays = edges.select("early").distinct().join(late, "early", "left_anti")
-        goes = edges.join(stays, "early", "left_semi").select(F.col("late").alias("seq")).distinct()
-        dropped = written(dropped.unionByName(goes))
-        rest = edges.join(goes.select(F.col("seq").alias("early")), "early", "left_anti").join(goes.select(F.col("seq").alias("late")), "late", "left_anti")
-        edges = written(rest)
-    kept = classes.join(dropped, "seq", "left_anti").select(F.col("seq").alias(key))
-    return kept.unionByName(items.where(F.size("keywords") == 0).select(key))
+        late = edges.select(*by, F.col("late").alias("early")).distinct()
+        stays = edges.select(*by, "early").distinct().join(late, [*by, "early"], "left_anti")
+        goes = written(edges.join(stays, [*by, "early"], "left_semi").select(*by, F.col("late").alias("seq")).distinct())
+        now = written(gone.unionByName(goes))
+        rest = edges.join(goes.withColumnRenamed("seq", "early"), [*by, "early"], "left_anti").join(goes.withColumnRenamed("seq", "late"), [*by, "late"], "left_anti")
+        rest = written(rest)
+        dropped(edges, gone, goes)
+        edges, gone = rest, now
+    kept = classes.join(gone, [*by, "seq"], "left_anti").select(*by, F.col("seq").alias(key))
+    return kept.unionByName(items.where(F.size("keywords") == 0).select(*by, key))
+
+
+def similar_to_processed(items: DataFrame, processed: DataFrame, core: list[str], key: str = "id", least: float = SIMILARITY) -> DataFrame:
+    """(key, seq, sim) of each of items (key, keywords) that is similar to a processed one (seq, keywords): the most similar, of equals the least."""
+    classes = keyword_classes(items.where(F.size("keywords") > 0), key)
+    known = keyword_classes(processed.where(F.size("keywords") > 0), "seq")
+    found = similar_pairs(known, classes, core, least, ordered=False)
+    best = found.groupBy("b").agg(F.max_by(F.struct("a", "sim"), F.struct("sim", F.struct(-F.col("a")))).alias("m"))
+    sets = classes.join(best, F.col("seq") == F.col("b")).select("keywords", F.col("m.a").alias("seq"), F.col("m.sim").alias("sim"))
+    return items.join(sets, "keywords").select(key, "seq", "sim")
 
 
 def without_processed(items: DataFrame, processed: DataFrame, core: list[str], key: str = "id", least: float = SIMILARITY) -> DataFrame:
     """items (key, keywords) that are similar to none of the processed ones (seq, keywords)."""
-    classes = keyword_classes(items.where(F.size("keywords") > 0), key)
-    # processed items come before all others
-    first = keyword_classes(processed.where(F.size("keywords") > 0), "seq").select((F.col("seq") - F.lit(1 << 62)).alias("seq"), "keywords")
-    hit = similar_pairs(first, classes, core, least).select(F.col("b").alias("seq")).distinct()
-    sets = classes.join(hit, "seq").select(F.col("keywords"))
-    return items.join(sets, "keywords", "left_anti")
+    return items.join(similar_to_processed(items, processed, core, key, least).select(key).distinct(), key, "left_anti")
 
 
 def first_of(items: DataFrame, by: str, order: list[Column]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as K
 from ..functions.text import has_text
+from ..sources.scratch import written
 from ..sources.tables import spread
+from .dedup import greedy_kept, title_keywords, without_processed
 
 
 def criteria(text: Column, lex) -> dict[str, Column]:
@@ -55,12 +59,34 @@ def gated(items: DataFrame, lex, title: str = "title", content: str = "content")
     return items.where(has_text(c) & K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF))
 
 
-def filtered(items: DataFrame, lex, priorities: DataFrame | None = None, title: str = "title", content: str = "content") -> DataFrame:
-    """Items that are factual, analytical and not brief, with what selection needs: category, flags, scores and priority.
+@dataclass(frozen=True)
+class Dedup:
+    """How titles are told apart: core terms and stop words, the processed items (seq, keywords), and the batches in which each title is compared with those published after it."""
+
+    core: list[str]
+    stops: list[str]
+    processed: DataFrame | None = None
+    by: tuple[str, ...] = ()
+
+
+def without_like_titles(items: DataFrame, dedup: Dedup, title: str = "title") -> DataFrame:
+    """items (id, published_at) without those whose title is like a processed one's, and of each batch only those that a scan, newest first, keeps."""
+    keyed = items.select("id", *dedup.by, F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("age"), "id").alias("_place"), title_keywords(F.col(title), dedup.core, dedup.stops).alias("keywords"))
+    if dedup.processed is not None:
+        keyed = without_processed(keyed, dedup.processed, dedup.core)
+    keyed = written(keyed)
+    kept = greedy_kept(keyed, dedup.core, "_place", by=dedup.by).select(F.col("_place.id").alias("id"))
+    return items.join(kept, "id", "left_semi")
+
+
+def filtered(items: DataFrame, lex, priorities: DataFrame | None = None, title: str = "title", content: str = "content", dedup: Dedup | None = None) -> DataFrame:
+    """Items with a content that are factual, analytical, not brief and, with dedup, no title's repeat, with what selection needs: category, flags, scores and priority.
 
     priorities: (source, source_priority); sources without one get 5.
     """
     kept = gated(with_text(items, title, content), lex, title, content)
+    if dedup is not None:
+        kept = without_like_titles(kept, dedup, title)
     text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
     out = _scored(kept, lex).withColumns(

@@ -14,6 +14,7 @@ from ..operators.select import select_balanced
 from ..sources.tables import NEWS_SQL, news, spread, table
 from . import lexicons as lex
 from .registry import query
+from .scoring import DOMESTIC, FACTOR, FACTS, KEPT, RAW, SCOPE_SCORE, SCORES, _hits
 
 WITH = f"WITH {NEWS_SQL}"
 CORE = ["LICENSE", "RIGHTS"]
@@ -21,7 +22,7 @@ STOPS = ["THE", "OF", "AND", "IN", "TO", "DE", "LA", "LE", "DER", "DIE", "UND",
 
 _STOPS = ", ".join(f"'{w}'" for w in STOPS)
 _KEYWORDS = f"""keyed AS (SELECT id, list_sort(list_filter(list_distinct(list_filter(['LICENSE', 'RIGHTS'], lambda k: contains(title, k))
-    || list_transform(regexp_extract_all(title, '([A-Za-z]{{2,}})', 1), lambda w: upper(w)) || regexp_extract_all(title, '(\\d+(?:\\.\\d+)?%?)', 1)),
+    || list_transform(regexp_extract_all(title, '([A-Za-z]{{2,}})', 1), lambda w: upper(w)) || regexp_extract_all(title, '(\\d+(?:\\.\\d+)?[{D.UNITS}]?)', 1)),
     lambda w: length(w) >= 2 AND w NOT IN ({_STOPS}))) AS keywords FROM (SELECT id, coalesce(title, '') AS title FROM news))"""
 
 
@@ -43,9 +44,19 @@ def title_similarity_pairs(spark, sf_dir):
     return D.similar_pairs(classes, classes, CORE).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query()
+def similar_sql(a: str, b: str) -> str:
+    """The similarity of two keyword lists."""
+    both = f"list_intersect({a}, {b})"
+    strong = f"len(list_filter({both}, lambda w: length(w) >= 3))"
+    return f"least(1.0, len({both}) / (len({a}) + len({b}) - len({both}))::DOUBLE * CASE WHEN {strong} >= 2 THEN 1.5 WHEN {strong} = 1 THEN 1.2 ELSE 1.0 END)"
+
+
+@query(f"""WITH RECURSIVE {NEWS_SQL}, {_KEYWORDS}, o AS (SELECT row_number() OVER (ORDER BY id) AS pos, id, keywords AS k FROM keyed WHERE len(keywords) > 0),
+    scan AS (SELECT 0::BIGINT AS pos, []::STRUCT(id BIGINT, k VARCHAR[])[] AS kept UNION ALL
+        SELECT o.pos, CASE WHEN len(list_filter(s.kept, lambda q: {similar_sql('q.k', 'o.k')} >= 0.4)) = 0 THEN list_append(s.kept, {{'id': o.id, 'k': o.k}}) ELSE s.kept END FROM scan s JOIN o ON o.pos = s.pos + 1)
+    SELECT unnest(list_transform(kept, lambda q: q.id)) AS id FROM scan WHERE pos = (SELECT count(*) FROM o) UNION ALL SELECT id FROM keyed WHERE len(keywords) = 0""")
 def dedup_greedy(spark, sf_dir):
-    """Which titles a scan in id order keeps; tested against such a scan."""
+    """Which titles a scan in id order keeps."""
     return D.greedy_kept(keyed(spark, sf_dir), CORE)
 
 
@@ -58,6 +69,16 @@ def not_similar_to_processed(spark, sf_dir):
     return D.without_processed(own.where("id >= 300"), own.where("id < 300").select(F.col("id").alias("seq"), "keywords"), CORE).select("id")
 
 
+@query(f"""{WITH}, {_KEYWORDS}, old AS (SELECT keywords AS k, min(id) AS seq FROM keyed WHERE id < 300 AND len(keywords) > 0 GROUP BY keywords), fresh AS (SELECT id, keywords AS k FROM keyed WHERE id >= 300 AND len(keywords) > 0),
+    p AS (SELECT f.id, o.seq, {similar_sql('o.k', 'f.k')} AS sim FROM fresh f JOIN old o ON list_has_any(o.k, f.k))
+    SELECT id, seq AS like_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seq) AS r FROM p WHERE sim >= 0.4) WHERE r = 1""")
+def which_processed_title(spark, sf_dir):
+    """The processed title that a later one repeats, and how like it is."""
+    own = keyed(spark, sf_dir)
+    found = D.similar_to_processed(own.where("id >= 300"), own.where("id < 300").select(F.col("id").alias("seq"), "keywords"), CORE)
+    return found.select("id", F.col("seq").alias("like_id"), F.round("sim", 6).alias("sim"))
+
+
 @query("SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_exact_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
@@ -69,20 +90,51 @@ def dedup_url_first(spark, sf_dir):
     return D.first_of(own, "address", [F.col("page_id")])
 
 
-def candidates(spark, sf_dir):
-    """Filtered and scored items with what selection needs."""
-    priorities = news(spark, sf_dir).select("source").distinct().withColumn("source_priority", F.pmod(F.substring("source", 4, 3).cast("int"), F.lit(10)))
-    own = filtered(news(spark, sf_dir), lex, priorities)
-    return own.select(
+def candidates(items, dedup=None):
+    """Filtered and scored items with what selection needs; those of an hour without an edition aren't among them."""
+    items = items.withColumns({"day": F.to_date("published_at"), "edition": X.edition(F.col("published_at"))}).where("edition <> 'none'")
+    priorities = items.select("source").distinct().withColumn("source_priority", F.pmod(F.substring("source", 4, 3).cast("int"), F.lit(10)))
+    return filtered(items, lex, priorities, dedup=dedup).select(
         "id", "source", F.col("topic").alias("category"), (F.col("source") == "src4").alias("is_local"), "is_central", F.col("scope_score").cast("int").alias("scope_score"),
-        "priority_score", "published_at", F.to_date("published_at").alias("day"), X.edition(F.col("published_at")).alias("edition"),
-    ).where("edition <> 'none'")
-
-
-@query()
+        "priority_score", "published_at", "day", "edition",
+    )
+
+
+#: Priorities of (a filtered subset of) the items, as SQL: scored AS (id, source, category, flags, scores, day, edition).
+def scored_sql(where: str) -> str:
+    p = "((substr(source, 4, 3)::INT % 10 + 10) % 10)"
+    counts = ", ".join(f"{_hits(w)} AS c{i}" for i, w in enumerate(lex.CATEGORIES.values()))
+    topic = " ".join(f"WHEN c{i} = greatest({', '.join(f'c{j}' for j in range(len(lex.CATEGORIES)))}) THEN '{n}'" for i, n in enumerate(lex.CATEGORIES))
+    content = f"round(least(({RAW}) * least({FACTOR}, 1.3::DOUBLE), 100.0), 2)"
+    return f"""scored AS (SELECT id, source, CASE {topic} END AS category, source = 'src4' AS is_local, coalesce({p}, 5) >= 8 AS is_central, ({SCOPE_SCORE})::INT AS scope_score,
+        0.40 * (least((coalesce({p}, 5) + 5 * (coalesce({p}, 5) >= 8)::INT + 6 * {DOMESTIC}::INT + {FACTS}) / 40.0, 1.0) * 100) + 0.60 * {content} AS priority_score, published_at, published_at::DATE AS day,
+        CASE WHEN hour(published_at) < 7 THEN 'morning' WHEN hour(published_at) < 14 THEN 'afternoon' ELSE 'evening' END AS edition
+        FROM (SELECT *, {counts} FROM scores) WHERE hour(published_at) < 22 AND {KEPT} AND {where})"""
+
+
+def selected_sql(cap: str) -> str:
+    """The fold over all attempts to take an item, edition by edition: chosen AS (day, edition, id, rank). cap: most items of a row's source."""
+    order = "priority_score DESC, published_at DESC, id"
+    position = " ".join(f"WHEN category = '{n}' THEN {i}" for i, n in enumerate(lex.CATEGORIES))
+    return f"""tries AS (SELECT 1 AS stage, CASE {position} END AS turn, * FROM scored UNION ALL SELECT 2, 0, * FROM scored),
+    numbered AS (SELECT row_number() OVER (ORDER BY day, edition, stage, turn, {order}) AS pos, day || edition AS grp, * FROM tries),
+    fold AS (SELECT 0::BIGINT AS pos, '' AS grp, []::BIGINT[] AS taken, []::VARCHAR[] AS sources, 0 AS locals, []::INT[] AS turns, false AS takes UNION ALL
+        SELECT pos, grp, CASE WHEN takes THEN list_append(taken, id) ELSE taken END, CASE WHEN takes THEN list_append(sources, source) ELSE sources END,
+            locals + (takes AND is_local)::INT, CASE WHEN takes AND stage = 1 THEN list_append(turns, turn) ELSE turns END, takes
+        FROM (SELECT *, len(taken) < 10 AND NOT list_contains(taken, id) AND NOT (stage = 1 AND list_contains(turns, turn)) AND NOT (is_local AND locals >= 1)
+                AND len(list_filter(sources, lambda x: x = source)) < least(CASE WHEN stage = 1 THEN 2 ELSE 3 END, {cap}) AS takes
+            FROM (SELECT n.pos, n.grp, n.id, n.source, n.is_local, n.stage, n.turn, CASE WHEN f.grp = n.grp THEN f.taken ELSE [] END AS taken, CASE WHEN f.grp = n.grp THEN f.sources ELSE [] END AS sources,
+                CASE WHEN f.grp = n.grp THEN f.locals ELSE 0 END AS locals, CASE WHEN f.grp = n.grp THEN f.turns ELSE [] END AS turns FROM fold f JOIN numbered n ON n.pos = f.pos + 1))),
+    chosen AS (SELECT day, edition, id, source, category, row_number() OVER (PARTITION BY day, edition ORDER BY is_central DESC, scope_score DESC, priority_score DESC, id) AS rank FROM numbered JOIN fold USING (pos) WHERE takes)"""
+
+
+_SCORES_REC = SCORES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"""{_SCORES_REC}, {scored_sql('true')}, {selected_sql("CASE WHEN source = 'src5' THEN 1 ELSE 99 END")} SELECT day, edition, rank, id, source, category FROM chosen""")
 def balanced_selection(spark, sf_dir):
-    """Ten diverse items for each day and edition; tested against a plain scan."""
-    return select_balanced(candidates(spark, sf_dir), ["day", "edition"], list(lex.CATEGORIES), source_caps={"src5": 1}).select("day", "edition", "rank", "id", "source", "category")
+    """Ten diverse items for each day and edition."""
+    return select_balanced(candidates(news(spark, sf_dir)), ["day", "edition"], list(lex.CATEGORIES), source_caps={"src5": 1}).select("day", "edition", "rank", "id", "source", "category")
 
 
 @query(f"""{WITH} SELECT id, regexp_replace(trim(regexp_replace(content, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' '), ' ([,.!?;:])', '\\1', 'g') AS text FROM news""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as K
+from ..functions import text as X
 from ..operators.score import TEXT, criteria, filtered, scored, with_text
 from ..sources.tables import NEWS_SQL, news
 from . import lexicons as lex
@@ -54,19 +55,19 @@ _CRITERIA = {
     "geography": _tier(lex.GEOGRAPHY), "time": _tier(lex.TIME), "international": _tier(lex.INTERNATIONAL), "social": _tier(lex.SOCIAL),
 }
 _BASE = f"WITH {NEWS_SQL}, texts AS (SELECT *, coalesce(title, '') || coalesce(content, '') AS t FROM news), amounts AS (SELECT *, {_amount()} AS amount FROM texts)"
-_SCORES = f"{_BASE}, scores AS (SELECT *, {', '.join(f'{sql} AS s_{name}' for name, sql in _CRITERIA.items())} FROM amounts)"
-_RAW = " + ".join(f"s_{name} * {weight}::DOUBLE" for name, weight in K.WEIGHTS.items())
-_FACTOR = " * ".join(
+SCORES = f"{_BASE}, scores AS (SELECT *, {', '.join(f'{sql} AS s_{name}' for name, sql in _CRITERIA.items())} FROM amounts)"
+RAW = " + ".join(f"s_{name} * {weight}::DOUBLE" for name, weight in K.WEIGHTS.items())
+FACTOR = " * ".join(
     [*(f"CASE WHEN {_any(words)} THEN {factor}::DOUBLE ELSE 1.0 END" for _, factor, words in lex.BOOSTERS), "CASE WHEN s_corporate >= 85 AND s_industry >= 80 THEN 1.2::DOUBLE ELSE 1.0 END"]
 )
 
 
-@query(f"{_SCORES} SELECT id, {', '.join(f's_{n}::BIGINT AS {n}' for n in _CRITERIA)} FROM scores")
+@query(f"{SCORES} SELECT id, {', '.join(f's_{n}::BIGINT AS {n}' for n in _CRITERIA)} FROM scores")
 def score_criteria(spark, sf_dir):
     return with_text(news(spark, sf_dir)).select("id", *[c.cast("bigint").alias(n) for n, c in criteria(F.col(TEXT), lex).items()])
 
 
-@query(f"{_SCORES} SELECT id, round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 4) AS total FROM scores")
+@query(f"{SCORES} SELECT id, round(least(({RAW}) * least({FACTOR}, 1.3::DOUBLE), 100.0), 4) AS total FROM scores")
 def score_total(spark, sf_dir):
     return scored(news(spark, sf_dir), lex).select("id", F.round(F.least(F.col("weighted_raw") * F.least(F.aggregate("boosters", F.lit(1.0), lambda a, x: a * x["factor"]), F.lit(1.3)), F.lit(100.0)), 4).alias("total"))
 
@@ -82,13 +83,13 @@ def categorize(spark, sf_dir):
     return with_text(news(spark, sf_dir)).select("id", K.category(F.col(TEXT), lex.CATEGORIES).alias("topic"))
 
 
-_FACTS = f"""least(12, 3 * ({' + '.join(f"regexp_matches(t, {_lit(p)})::INT" for p in lex.FACT_PATTERNS)})) + least(8, 2 * {_hits(lex.FACTS)})
+FACTS = f"""least(12, 3 * ({' + '.join(f"regexp_matches(t, {_lit(p)})::INT" for p in lex.FACT_PATTERNS)})) + least(8, 2 * {_hits(lex.FACTS)})
     + CASE WHEN length(t) > 500 THEN 3 WHEN length(t) > 250 THEN 1 WHEN length(t) < 50 THEN -15 WHEN length(t) < 100 THEN -5 ELSE 0 END"""
-_DOMESTIC = f"({_hits(lex.HOME)} > {_hits(lex.ABROAD)} OR {_hits(lex.ABROAD)} <= 1)"
-_SCOPE_SCORE = f"CASE WHEN {_hits(lex.BROAD)} > {_hits(lex.DEEP)} THEN 10 + {_hits(lex.BROAD)} WHEN {_hits(lex.DEEP)} > {_hits(lex.BROAD)} THEN 5 - {_hits(lex.DEEP)} ELSE 7 END"
+DOMESTIC = f"({_hits(lex.HOME)} > {_hits(lex.ABROAD)} OR {_hits(lex.ABROAD)} <= 1)"
+SCOPE_SCORE = f"CASE WHEN {_hits(lex.BROAD)} > {_hits(lex.DEEP)} THEN 10 + {_hits(lex.BROAD)} WHEN {_hits(lex.DEEP)} > {_hits(lex.BROAD)} THEN 5 - {_hits(lex.DEEP)} ELSE 7 END"
 
 
-@query(f"""{_BASE} SELECT id, ({_FACTS})::BIGINT AS facts, {_DOMESTIC} AS domestic, ({_SCOPE_SCORE})::BIGINT AS scope, {_hits(lex.BROAD)} >= {_hits(lex.DEEP)} AS broad FROM texts""")
+@query(f"""{_BASE} SELECT id, ({FACTS})::BIGINT AS facts, {DOMESTIC} AS domestic, ({SCOPE_SCORE})::BIGINT AS scope, {_hits(lex.BROAD)} >= {_hits(lex.DEEP)} AS broad FROM texts""")
 def item_features(spark, sf_dir):
     text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
@@ -102,26 +103,34 @@ def _any_in(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {_lit(w)})" for w in words) + ")"
 
 
-_KEPT = f"""NOT {_any(lex.OPINION)} AND NOT {_any_in('title', lex.NOTICES)} AND (regexp_matches(t, {_lit(lex.AMOUNTS)}) OR {_hits(lex.CONCRETE)} >= 2 OR length(title) > 15)
+KEPT = f"""regexp_matches(coalesce(content, ''), '\\S') AND NOT {_any(lex.OPINION)} AND NOT {_any_in('title', lex.NOTICES)} AND (regexp_matches(t, {_lit(lex.AMOUNTS)}) OR {_hits(lex.CONCRETE)} >= 2 OR length(title) > 15)
     AND NOT (regexp_matches(t, {_lit(lex.BRIEF)}) OR (length(title) < 20 AND length(content) < 100))"""
 
 
-@query(f"""{_BASE} SELECT id, NOT {_any_in('title', lex.EXCLUDED)} AND ({_any_in('title', lex.STRONG)} OR {_hits(lex.WEAK).replace('contains(t,', 'contains(title,')} >= 2) AS relevant, {_KEPT} AS kept FROM texts""")
+@query(f"""{_BASE} SELECT id, NOT {_any_in('title', lex.EXCLUDED)} AND ({_any_in('title', lex.STRONG)} OR {_hits(lex.WEAK).replace('contains(t,', 'contains(title,')} >= 2) AS relevant, {KEPT} AS kept FROM texts""")
 def relevance_gate(spark, sf_dir):
     t, c = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
     text = F.col(TEXT)
-    kept = K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF)
+    kept = X.has_text(c) & K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF)
     return with_text(news(spark, sf_dir)).select("id", K.relevant(t, lex.EXCLUDED, lex.STRONG, lex.WEAK).alias("relevant"), kept.alias("kept"))
 
 
-@query(f"""{_SCORES} SELECT id, round(0.40 * (least((5 + 6 * {_DOMESTIC}::INT + {_FACTS}) / 40.0, 1.0) * 100) + 0.60 * round(least(({_RAW}) * least({_FACTOR}, 1.3::DOUBLE), 100.0), 2), 3) AS priority
-    FROM scores WHERE {_KEPT}""")
+@query(f"""{SCORES} SELECT id, round(0.40 * (least((5 + 6 * {DOMESTIC}::INT + {FACTS}) / 40.0, 1.0) * 100) + 0.60 * round(least(({RAW}) * least({FACTOR}, 1.3::DOUBLE), 100.0), 2), 3) AS priority
+    FROM scores WHERE {KEPT}""")
 def priority_scores(spark, sf_dir):
     return filtered(news(spark, sf_dir), lex).select("id", F.round("priority_score", 3).alias("priority"))
 
 
-@query()
+_PARTS = ", ".join(f"CASE WHEN s_{name} > 0 THEN '{name}(' || s_{name} || ')' END" for name in K.WEIGHTS)
+_APPLIED = [*((name, factor, _any(words)) for name, factor, words in lex.BOOSTERS), ("state", 1.2, "s_corporate >= 85 AND s_industry >= 80")]
+_MARKS = ", ".join(f"CASE WHEN {on} THEN '{name}(x{factor})' END" for name, factor, on in _APPLIED)
+_READ = ", ".join(f"CASE WHEN {on} THEN {{'name': '{name}', 'factor': '{factor}'}} END" for name, factor, on in _APPLIED)
+
+
+@query(f"""{SCORES}, e AS (SELECT id, concat_ws(' + ', {_PARTS}) AS parts, concat_ws(' ', {_MARKS}) AS marks, list_filter([{_READ}], lambda x: x IS NOT NULL) AS boosters FROM scores)
+    SELECT id, parts || CASE WHEN marks <> '' THEN ' [' || marks || ']' ELSE '' END AS explanation, len(boosters)::BIGINT AS n, array_to_string(list_transform(boosters, lambda x: x.name || ' ' || x.factor), ',') AS boosters FROM e""")
 def score_explanations(spark, sf_dir):
-    """Free text with the criteria and boosters; the boosters are read back from it."""
-    own = scored(news(spark, sf_dir), lex)
-    return own.select("id", "explanation", K.explained_boosters(F.col("explanation")).alias("boosters"))
+    """Free text with the criteria and boosters (and the total, which other queries compare); the boosters are read back from it."""
+    own = scored(news(spark, sf_dir), lex).select("id", "explanation", K.explained_boosters(F.col("explanation")).alias("boosters"))
+    named = F.array_join(F.transform("boosters", lambda x: F.concat(x["name"], F.lit(" "), x["factor"])), ",")
+    return own.select("id", F.regexp_replace("explanation", r" = [\d,.]+$", "").alias("explanation"), F.size("boosters").cast("bigint").alias("n"), named.alias("boosters"))
