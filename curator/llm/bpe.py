@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import spread, text_chunks
 
-#: Entries that a task's cache of encoded words holds at most; beyond, it starts anew.
-CACHE = 300_000
+#: Entries that a task's cache of encoded words holds at most; beyond, it starts anew. Words longer than the second aren't kept.
+CACHE, LONGEST = 300_000, 64
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -182,9 +182,11 @@ class WordCoder:
                 self.make = make
 
             def __missing__(self, key):
-                if len(self) >= CACHE:
-                    self.clear()
-                value = self[key] = self.make(key)
+                value = self.make(key)
+                if len(key) <= LONGEST:
+                    if len(self) >= CACHE:
+                        self.clear()
+                    self[key] = value
                 return value
 
         pieces = Cache(encode_piece)

@@ -279,6 +279,20 @@ def test_bpe(spark, docs):
     assert encode_bpe(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_one_very_long_piece(spark):
+    """Words without any white space, of letters, digits and signs, and runs of spaces, encoded and packed."""
+    texts = ["ab" * 40_000, "x" * 30_000 + " y", "漢字" * 15_000, "-=" * 20_000 + "\n" * 5_000, " " * 30_000, "a1" * 20_000]
+    df = spark.createDataFrame([(i, t, "ids", 3) for i, t in enumerate(texts)] + [(0, texts[0], None, 4)], "doc_id bigint, text string, ids string, start int").repartition(2)
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(open(RANKS, "rb").read()), special_tokens={})
+    got = decode_bpe(encode_bpe(df, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert len(got) == 7 and all(np.frombuffer(r.ids, "<u4").tolist() == coder.encode_ordinary(r.text) and bytes(r.decoded).decode() == r.text for r in got)
+    whole = Tokenizer.from_file(JSON)
+    want = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    pieces = pack(df, JSON, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.doc_tokens for r in pieces} == want and max(r.length for r in pieces) == 2048
+    assert sum(r.length for r in pieces) == sum(want.values()) + want[0]
+
+
 def test_backtracking_equals_merging():
     import random
 

@@ -352,6 +352,35 @@ def test_exceptions_and_length():
     assert lexicon.score("you trash") > lexicon.score("you trash " + "word " * 500) > lexicon.score("word " * 50)
 
 
+def test_hits_equal_a_naive_search():
+    """Entries at the beginnings of words and whole words, exceptions over them, of entries that begin together the heaviest."""
+    rng = random.Random(31)
+    for _ in range(300):
+        weights = {" " + "".join(rng.choices("ab", k=rng.randint(1, 4))) + rng.choice(["", " "]): rng.choice([1.0, 2.0, 3.0]) for _ in range(rng.randint(1, 6))}
+        exceptions = [" " + " ".join("".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(2)) + " " for _ in range(rng.randint(0, 3))]
+        text = fold(" ".join("".join(rng.choices("ab", k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30))))
+        spared = [(i, i + len(x) - 1) for x in exceptions for i in range(len(text)) if text.startswith(x, i)]
+        want = {}
+        for i in range(len(text)):
+            own = [(w, x) for x, w in weights.items() if text.startswith(x, i)]
+            if own:
+                best = max(w for w, _ in own)
+                want[i] = best, {x for w, x in own if w == best and not any(lo <= i and i + len(x) - 1 <= hi for lo, hi in spared)}
+        got = Lexicon(weights, exceptions).hits(text)
+        assert all(text.startswith(x, end - len(x) + 1) and (w, True) == (want[end - len(x) + 1][0], x in want[end - len(x) + 1][1]) for end, x, w in got)
+        found = {end - len(x) + 1 for end, x, _ in got}
+        assert found <= set(want) and all(i in found for i, (w, left) in want.items() if left and len([x for x, v in weights.items() if v == w and text.startswith(x, i)]) == len(left))
+
+
+def test_scores_of_long_texts_and_clashing_columns(spark):
+    lexicon = Lexicon({" zorkish ": 3.0}, [], (-3.0, 2.0, 1.0))
+    rows = [(1, "word " * 200_000 + "zorkish", 0.5, 1), (2, "z0rk1sh you", None, None), (2, "z0rk1sh you", None, None), (None, None, None, None)]
+    got = score(spark.createDataFrame(rows, "doc_id bigint, text string, score double, predicted int"), lexicon).collect()
+    assert [(r.doc_id, r.predicted) for r in sorted(got, key=lambda r: r.doc_id or 0)] == [(None, 0), (1, int(lexicon.score(rows[0][1]) >= 0.3)), (2, 1), (2, 1)]
+    assert 1 / (1 + math.exp(3)) < next(r.score for r in got if r.doc_id == 1) < next(r.score for r in got if r.doc_id == 2)
+    assert score(spark.createDataFrame(rows, "doc_id bigint, text string, score double, predicted int"), Lexicon()).where("predicted > 0").count() == 0
+
+
 def test_learned_lexicon_on_held_out_rows(spark):
     rng = random.Random(9)
     words = [a + b for a in ("ba", "ko", "li", "mu") for b in ("dan", "fer", "gul", "him")]
