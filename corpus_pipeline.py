@@ -22,12 +22,18 @@ from curator.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; so do the lines above the limit of those that stay."""
+    """Documents that the quality rules reject go; so do the lines above the limit of those that stay.
+
+    A null or empty text is rejected; a null source is a host of its own; rows that repeat stay or go together.
+    """
     return filter_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which nothing stays goes with them."""
+    """Repeated lines go; a document of which nothing stays goes with them.
+
+    Texts of fewer than three lines, empty and null ones stay as they are; of rows that share an id neither is a repeat of the other.
+    """
     out = dedup_lines(docs)
     return out.where((F.col("n_removed") == 0) | (F.trim("text") != "")).select(*docs.columns)
 
@@ -43,10 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets pseudonyms; null texts stay null, rows that repeat get equal texts."""
     return pseudonymise(docs, PII_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences; a null or empty text is the end id alone."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
