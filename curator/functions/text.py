@@ -101,6 +101,27 @@ def fenced_json(text: Column) -> Column:
     return F.when(block != "", F.trim(block)).when(braces != "", braces)
 
 
+def listed_items(text: Column, name: str, none: str, shorter: int = 50) -> Column:
+    """The items that a free text lists: those of a JSON object's field, else of a JSON array, else its lines without bullets, but for long ones; one item `none` if there are none."""
+    field = F.from_json(F.regexp_extract(text, rf'(\{{[^{{}}]*"{name}"[^{{}}]*\}})', 1), f"{name} array<string>")[name]
+    array = F.from_json(F.regexp_extract(text, r"(\[[^\[\]]+\])", 1), "array<string>")
+    plain = lambda x: F.regexp_replace(F.trim(x, F.lit(" \t\r")), r"^[\d.\-*•]+\s*", "")
+    lines = F.filter(F.transform(F.split(text, "\n"), plain), lambda x: (x != "") & (F.length(x) < shorter))
+    return F.coalesce(field, array, F.when(F.size(lines) > 0, lines), F.array(F.lit(none)))
+
+
+def merged_terms(*terms: Column) -> Column:
+    """Maps put over each other: of equal keys the last map's value stays."""
+    out = terms[0]
+    for more in terms[1:]:
+        out = _put_over(out, more)
+    return out
+
+
+def _put_over(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#:]*)", 1))
 

@@ -29,7 +29,7 @@ def hash_slot(gram: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def hashed_ngrams(items: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, idx, value): the non-zero components of each text's vector, of length one. Equal n-grams are hashed once a text."""
-    seen = F.lower(F.substring(text, 1, SEEN))
+    seen = F.lower(F.substring(F.trim(text, F.lit(" \t\n\x0b\f\r")), 1, SEEN))
     grams = F.flatten(F.array(*[_grams(n) for n in range(SMALLEST, LARGEST + 1)]))
     rows = items.select(F.col(key).alias("_v_key"), seen.alias("_v_t")).select("_v_key", F.explode(grams).alias("gram"))
     counted = rows.groupBy("_v_key", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", hash_slot(F.col("gram"), dimensions))

@@ -23,7 +23,8 @@ def edition_counts_stream(spark, sf_dir):
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def incremental_ingest(spark, sf_dir):
     target, checkpoint = I.folders(spark)
-    I.run_ingest(I.arrivals(spark, sf_dir, "documents"), target, checkpoint, "text", "doc_id")
+    arriving = I.arrivals(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    I.run_ingest(arriving, target, checkpoint, "digest", "doc_id")
     return spark.read.parquet(target).select("doc_id")
 
 

@@ -141,7 +141,7 @@ def relative_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.relative_time(said, F.expr("timestamp_ntz'2024-02-01 00:00:00'")).alias("at_time"))
 
 
-_VECTOR_TEXT = "lower(substr(substr(text, 1, 60) || ' ' || substr(text, 1, 1000), 1, 1024))"
+_VECTOR_TEXT = "lower(substr(trim(substr(text, 1, 60) || ' ' || substr(text, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 1024))"
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_VECTOR_TEXT} AS t FROM documents), g AS (SELECT doc_id, substr(t, i::INT, n::INT) AS gram FROM t, range(2, 5) r(n), range(1, 1024) s(i) WHERE i <= length(t) - n + 1),
@@ -177,9 +177,11 @@ def open_items_first(spark, sf_dir):
 
 @query("""SELECT conv_id, substr(string_agg(text, ' ' ORDER BY turn), 1, 60) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 2 GROUP BY conv_id""")
 def card_previews(spark, sf_dir):
+    """The first two turns of each conversation: only these are gathered."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    first = table(spark, sf_dir, "conversations").withColumn("place", place).where("place <= 2")
     steps = F.sort_array(F.collect_list(F.struct("turn", "text")))
-    own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(steps.alias("s"))
-    return own.select("conv_id", F.substring(F.array_join(F.slice(F.col("s.text"), 1, 2), " "), 1, 60).alias("preview"))
+    return first.groupBy("conv_id").agg(steps.alias("s")).select("conv_id", F.substring(F.array_join(F.col("s.text"), " "), 1, 60).alias("preview"))
 
 
 @query("""SELECT user_id, list_sort(list_distinct(list(event_type) || ['view'])) AS kinds FROM events GROUP BY user_id""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,48 @@ def links(pages: DataFrame, least_title: int, accept: str, most: int | None = No
     return (ranked if most is None else ranked.where(F.col("rank") <= most)).select(key, "rank", "link", "title")
 
 
+@dataclass(frozen=True)
+class LinkRule:
+    """What a source's list pages take for an item: least length of a title, patterns that a link must and mustn't match, titles that are none, whether the title attribute goes first, where the date stands in a link, most items of a page."""
+
+    source: str
+    least_title: int = 10
+    accept: str = "."
+    reject: str = "(?!)"
+    stop_titles: tuple[str, ...] = ()
+    attribute_first: bool = False
+    date: str = r"/(20\d{2})(\d{2})(\d{2})/"
+    most: int = 20
+
+
+def rule_table(spark: SparkSession, rules: list[LinkRule]) -> DataFrame:
+    """A row for each rule; there are as many as sources."""
+    schema = "source string, least_title int, accept string, reject string, stop_titles array<string>, attribute_first boolean, date string, most int"
+    return spark.createDataFrame([(r.source, r.least_title, r.accept, r.reject, list(r.stop_titles), r.attribute_first, r.date, r.most) for r in rules], schema)
+
+
+def rule_links(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
+    """(source, key, rank, link, title, day) by the rule of each page's source: the first place of each link of the source's pages, in page order, as many as the rule takes of a page."""
+    pattern = r"(?is)<a\s([^>]*?href=[\"']?([^\"'>\s]*)[\"']?[^>]*)>(.*?)</a>"
+    part = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
+    every = F.arrays_zip(part(1).alias("attributes"), part(2).alias("href"), part(3).alias("inner"))
+    rows = pages.select(source, key, url, F.posexplode(every).alias("place", "a")).join(rules, source)
+    squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    own = squeezed(F.regexp_extract("a.attributes", r"(?i)title=[\"']([^\"']*)[\"']", 1))
+    shown = squeezed(F.regexp_replace("a.inner", r"<[^>]*>", ""))
+    rows = rows.withColumns({"title": F.when(F.col("attribute_first") & (own != ""), own).otherwise(shown), "link": absolute(F.col("a.href"), F.col(url))})
+    fit = rows.where(
+        (F.col("a.href") != "") & (F.length("title") >= F.col("least_title")) & ~F.array_contains("stop_titles", F.col("title"))
+        & F.regexp("link", F.col("accept")) & ~F.regexp("link", F.col("reject"))
+    )
+    first = F.row_number().over(Window.partitionBy(source, "link").orderBy(key, "place"))
+    once = fit.withColumn("_n", first).where("_n = 1").drop("_n")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))
+    taken = once.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= F.col("most"))
+    day = F.try_to_date(F.concat_ws("-", *[F.expr(f"regexp_extract(link, date, {i})") for i in (1, 2, 3)]), "yyyy-MM-dd")
+    return taken.select(source, key, "rank", "link", "title", day.alias("day"))
+
+
 def page_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
@@ -58,6 +102,13 @@ def backup(df: DataFrame, path: str, stamp: str) -> str:
     return target
 
 
+def restored(spark: SparkSession, path: str, stamp: str | None = None) -> DataFrame:
+    """A snapshot of backup(); the newest if no stamp is named."""
+    every = spark.read.option("basePath", path).option("recursiveFileLookup", "true").parquet(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("_stamp"))
+    wanted = stamp if stamp is not None else every.agg(F.max("_stamp")).first()[0]
+    return every.where(F.col("_stamp") == wanted).drop("_stamp")
+
+
 def article_body(html: Column, least: int = 100, most: int = 10_000) -> Column:
     """The text of the article element, else of the paragraphs; null where it is too short, cut where it is too long."""
     shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>", " ")

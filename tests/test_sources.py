@@ -56,3 +56,21 @@ def test_replay_and_safe_html(spark):
     assert {r.k: r.state for r in got} == {1: "idle", 2: "idle"}
     row = spark.range(1).select(X.safe_html(F.lit("<p onclick=x>a<script>bad()</script><u>b</u></p>")).alias("h"), X.safe_html(F.lit("a\nb")).alias("t")).first()
     assert (row.h, row.t) == ("<p>ab</p>", "a<br>b")
+
+
+def test_rule_links(spark):
+    html = (
+        '<a href="/x/20240203/a.html" title="The title attribute">short</a><a href="/x/20240203/a.html">The same link again</a><a href="/x/20249903/b.html">A title of some length</a>'
+        '<a href="/video/20240204/c.html">A title of some length</a><a href="/x/20240205/d.html">Read more here</a><a href="/x/20240206/e.html">tiny</a><a href="/y.pdf">A title of some length</a><a href="/x/20240207/f.html">One too many links</a>'
+    )
+    rule = P.LinkRule("s", 10, r"/20\d+/\w\.html$", "/video/", ("Read more here",), True, most=2)
+    pages = spark.createDataFrame([("s", 1, "http://a.example/p", html), ("none", 2, "http://b.example/p", html), ("s", 3, "http://a.example/q", None)], "source string, page_id int, url string, html string")
+    got = P.rule_links(pages, P.rule_table(spark, [rule])).orderBy("rank").collect()
+    assert [(r.page_id, r["rank"], r.link[-8:], r.title, str(r.day)) for r in got] == [(1, 1, "3/a.html", "The title attribute", "2024-02-03"), (1, 2, "3/b.html", "A title of some length", "None")]
+
+
+def test_backup_and_restore(spark, tmp_path):
+    for stamp, n in (("20240101", 3), ("20240102", 5)):
+        P.backup(spark.range(n), str(tmp_path), stamp)
+    assert P.restored(spark, str(tmp_path)).count() == 5 and P.restored(spark, str(tmp_path), "20240101").count() == 3
+    assert P.restored(spark, str(tmp_path)).columns == ["id"]
