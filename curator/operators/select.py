@@ -16,6 +16,7 @@ def balanced(group: pd.DataFrame, categories: list[str], target: int, most_local
     group: id, category, source, is_local, is_central, scope_score, priority_score, published_at.
     """
     rows = group.sort_values(["priority_score", "published_at", "id"], ascending=[False, False, True], kind="stable")
+    category, source, is_local = (rows[c].tolist() for c in ("category", "source", "is_local"))
     taken: list[int] = []
     used: dict[str, int] = {}
     local = 0
@@ -23,20 +24,20 @@ def balanced(group: pd.DataFrame, categories: list[str], target: int, most_local
     def take(positions, limit: int, once: bool) -> None:
         nonlocal local
         for at in positions:
-            row = rows.iloc[at]
             if len(taken) >= target:
                 return
-            count = used.get(row["source"], 0)
-            if at in taken or count >= min(limit, source_caps.get(row["source"], limit)) or (row["is_local"] and local >= most_local):
+            own = source[at]
+            count = used.get(own, 0)
+            if count >= min(limit, source_caps.get(own, limit)) or (is_local[at] and local >= most_local) or at in taken:
                 continue
             taken.append(at)
-            used[row["source"]] = count + 1
-            local += bool(row["is_local"])
+            used[own] = count + 1
+            local += bool(is_local[at])
             if once:
                 return
 
     for name in categories:
-        take([i for i, c in enumerate(rows["category"]) if c == name], FIRST_PASS, True)
+        take([i for i, c in enumerate(category) if c == name], FIRST_PASS, True)
     take(range(len(rows)), IN_ALL, False)
     chosen = rows.iloc[taken].sort_values(["is_central", "scope_score", "priority_score", "id"], ascending=[False, False, False, True], kind="stable").head(target)
     return chosen.assign(rank=range(1, len(chosen) + 1))
