@@ -60,6 +60,13 @@ def section(markdown: Column, heading: str) -> Column:
     return stripped(F.array_join(F.filter(F.split(body, "\n"), lambda line: ~line.startswith("<!--")), "\n"))
 
 
+def with_section(markdown: Column, heading: str, text: Column) -> Column:
+    """markdown with what stands under a heading replaced; a heading that isn't there comes at the end."""
+    pattern = rf"(?s)\A((?:.*?\n)??## {heading}[^\n]*\n)(.*?)((?:\n---|\n## ).*|)\z"
+    part = lambda i: F.regexp_extract(markdown, pattern, i)
+    return F.when(part(1) != "", F.concat(part(1), text, part(3))).otherwise(F.concat(markdown, F.lit(f"\n## {heading}\n"), text, F.lit("\n")))
+
+
 def review_document(title: Column, source: Column, comment: Column) -> Column:
     """A review as Markdown."""
     return F.concat(F.lit("# "), title, F.lit("\n\n## Source\n"), source, F.lit("\n\n## Comment\n<!-- write below -->\n"), F.coalesce(comment, F.lit("")), F.lit("\n\n---\n"))

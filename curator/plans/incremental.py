@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..sources.tables import table
 from ..streaming import incremental as I
 from .registry import query
@@ -28,15 +27,6 @@ def incremental_ingest(spark, sf_dir):
     return spark.read.parquet(target).select("doc_id")
 
 
-@query("SELECT event_id, coalesce(json_extract(props, '$.k')::DOUBLE / 100, 0.5) AS importance, 0.5::DOUBLE AS market_relevance, event_type AS sentiment FROM events")
-def parsed_answers(spark, sf_dir):
-    """Answers in fenced JSON, with defaults for missing scores."""
-    said = F.concat(F.lit("Here it is:\n```json\n{\"importance\": "), (F.from_json("props", "k double")["k"] / 100).cast("string"), F.lit(", \"sentiment\": \""), "event_type", F.lit("\"}\n```"))
-    answer = F.from_json(X.fenced_json(said), "importance double, market_relevance double, sentiment string")
-    own = table(spark, sf_dir, "events").select("event_id", answer.alias("a"))
-    return own.select("event_id", F.coalesce("a.importance", F.lit(0.5)).alias("importance"), F.coalesce("a.market_relevance", F.lit(0.5)).alias("market_relevance"), F.col("a.sentiment").alias("sentiment"))
-
-
 # ---------------------------------------------------------------- extensions
 @query("""SELECT n_name, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     GROUP BY ROLLUP (n_name, o_orderpriority)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import text as X
 from ..operators import rewrite as R
 from ..operators import state as S
@@ -133,3 +134,42 @@ def alerts_by_setting(spark, sf_dir):
     own = events.where("event_type = 'signup'").groupBy("user_id").agg(F.max_by("value", "ts").alias("least"))
     joined = events.where("event_type = 'purchase'").join(own, "user_id", "left")
     return joined.where(F.col("value") >= F.coalesce("least", F.lit(50.0))).select("event_id", "user_id", "value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE value END AS importance, 0.5::DOUBLE AS uncertainty, event_type AS sentiment, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 2 END::BIGINT AS keywords
+    FROM events WHERE event_id % 7 <> 0""")
+def parsed_answers(spark, sf_dir):
+    """Analyses as fenced or bare JSON, with scores or keywords missing; answers that are cut off give no row."""
+    events = table(spark, sf_dir, "events")
+    fields = F.struct(
+        F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("importance_score"), F.col("event_type").alias("sentiment"), F.when(F.col("event_id") % 4 != 0, F.array(F.lit("a"), "event_type")).alias("keywords")
+    )
+    json = F.to_json(fields)
+    json = F.when(F.col("event_id") % 7 == 0, F.left(json, F.length(json) - 2)).otherwise(json)
+    said = F.when(F.col("event_id") % 5 == 0, json).when(F.col("event_id") % 5 == 1, F.concat(F.lit("Here it is: "), json, F.lit(" done"))).otherwise(F.concat(F.lit("So:\n```json\n"), json, F.lit("\n```\nok")))
+    own = events.select("event_id", A.analysis(said).alias("a")).where("a is not null")
+    return own.select("event_id", F.col("a.importance_score").alias("importance"), F.col("a.uncertainty_score").alias("uncertainty"), F.col("a.sentiment").alias("sentiment"), F.size("a.keywords").cast("bigint").alias("keywords"))
+
+
+@query("""SELECT doc_id AS news_id, coalesce(toxic = 1 AND doc_id % 3 > 0, false) AS opinion_conflict, CASE WHEN doc_id % 2 = 0 THEN 'quality ' || quality ELSE '' END AS final_insight FROM labels WHERE doc_id % 11 <> 0""")
+def compared_opinions(spark, sf_dir):
+    """Comparisons of opinions: the conflict flag and what is said, false and empty where missing; cut answers give no row."""
+    own = table(spark, sf_dir, "labels")
+    fields = F.struct(
+        F.when(F.col("doc_id") % 3 > 0, F.col("toxic") == 1).alias("opinion_conflict"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("quality "), F.col("quality").cast("string"))).alias("final_insight")
+    )
+    said = F.concat(F.lit("```\n"), F.to_json(fields), F.lit("\n```"))
+    said = F.when(F.col("doc_id") % 11 == 0, F.lit('{"opinion_conflict": tr')).otherwise(said)
+    read = own.select(F.col("doc_id").alias("news_id"), A.comparison(said).alias("c")).where("c is not null")
+    return read.select("news_id", "c.opinion_conflict", "c.final_insight")
+
+
+@query(f"""{WITH} SELECT id, source AS source_section, 'new comment ' || id AS comment_section, CASE WHEN id % 5 = 0 THEN 'a note' ELSE '' END AS note_section FROM news""")
+def replaced_sections(spark, sf_dir):
+    """Review documents with their comment replaced, and a note put at the end where there was none."""
+    number = F.col("id").cast("string")
+    own = news(spark, sf_dir).select("id", R.review_document(F.regexp_replace("title", r"\s+", " "), F.col("source"), F.concat(F.lit("old "), number)).alias("md"), F.concat(F.lit("new comment "), number).alias("new"))
+    md = R.with_section(F.col("md"), "Comment", F.col("new"))
+    md = F.when(F.col("id") % 5 == 0, R.with_section(md, "Note", F.lit("a note"))).otherwise(md)
+    done = own.select("id", md.alias("md"))
+    return done.select("id", R.section(F.col("md"), "Source").alias("source_section"), R.section(F.col("md"), "Comment").alias("comment_section"), R.section(F.col("md"), "Note").alias("note_section"))
