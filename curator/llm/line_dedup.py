@@ -52,9 +52,9 @@ def repeated_lines(docs: DataFrame, key: str, text: str, lines: int) -> DataFram
     own = spread(docs.select(_identity(key, text).alias("_l_id"), order.alias("_l_order"), F.col(text).alias("_l_text")))
     rows = written(own.select("_l_id", "_l_order", F.explode(_windows("_l_text", lines)).alias("_l_w")))
     rows = rows.select("_l_id", F.struct("_l_order", F.col("_l_w.from").alias("at")).alias("_l_place"), F.col("_l_w.hash").alias("_l_hash"), F.col("_l_w.to").alias("_l_to"))
-    # a table of its own: the join is planned with its size, so a small one is broadcast, and of a large one Spark splits hot windows
+    # a table of its own, joined in one way at every size: Spark then splits the hot windows of large inputs
     first = written(rows.groupBy("_l_hash").agg(F.min("_l_place").alias("_l_first"), F.count(F.lit(1)).alias("_l_n")).where("_l_n > 1").drop("_l_n"))
-    later = rows.join(first, "_l_hash").where("_l_place > _l_first")
+    later = rows.join(first.hint("merge"), "_l_hash").where("_l_place > _l_first")
     return kept(later.groupBy("_l_id").agg(F.collect_set(F.struct(F.col("_l_place.at").alias("from"), F.col("_l_to").alias("to"))).alias("_l_spans")))
 
 
