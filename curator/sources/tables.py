@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if its files give fewer tasks than there are: where a row costs far more to compute than to move. Large inputs stay as they are."""
+    """df dealt to all cores if its files give fewer tasks than there are: where a row costs far more to compute than to move. Large inputs stay as they are.
+
+    Meant for tables: to tell its tasks, Spark runs the shuffles that df itself holds.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
