@@ -2,7 +2,7 @@
 
 The document by n-gram incidence matrix is multiplied with its transpose in blocks of n-grams. Bounds derived from
 the sets' sizes keep most of it from being formed: n-grams are ordered by rising document frequency (told from an
-array of counters over the whole corpus, whose size grows with it up to a bound), and a pair that reaches similarity t
+array of counters of fixed size over the whole corpus), and a pair that reaches similarity t
 shares one of the first n - ceil(t n) + 1 n-grams of each; where the common n-gram stands tells how large the overlap
 can still be.
 
@@ -41,10 +41,9 @@ from .graph import components
 
 #: Cells of the smallest sketch.
 LEAST_CELLS = 512
-#: Bits of the number of counters of document frequency: at least, and at most (a byte of each is broadcast: 4 MB).
-LEAST_BITS, MOST_BITS = 16, 22
-#: N-grams that a counter stands for about, below that bound.
-PER_COUNTER = 64
+#: Bits of the number of counters of document frequency. It doesn't grow with the corpus, nor does what is broadcast (a
+#: byte of each); what an n-gram must be above to be told from the others of its counter grows with the corpus' root.
+BITS = 20
 #: Counters in a part of them.
 CELLS = 4096
 #: Columns of the product up to this many classes give all their pairs at once.
@@ -116,9 +115,11 @@ def _needed(total: np.ndarray, t: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------- 1. statistics
-def scanned(docs: DataFrame, key: str, text: str, n: int, bits: int) -> DataFrame:
+def scanned(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Rows of two kinds from one pass: a document's key, set size, set key and sketch; or, with a part number, how many n-grams of a task's documents fall into each bucket of that part."""
 
+    bits = BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n", "k", "mark", "part"]
         total, kind = np.zeros(1 << bits, np.int64), None
@@ -141,13 +142,7 @@ def scanned(docs: DataFrame, key: str, text: str, n: int, bits: int) -> DataFram
     return spread(docs.select(key, text)).mapInArrow(run, f"id {kind}, n bigint, k bigint, mark binary, part int")
 
 
-def counter_bits(docs: DataFrame, text: str) -> int:
-    """How many bits of an n-gram's hash choose its counter, from the size of the corpus."""
-    words = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 6
-    return min(max(int(words // PER_COUNTER).bit_length(), LEAST_BITS), MOST_BITS)
-
-
-def frequency_levels(partial: DataFrame, bits: int) -> np.ndarray:
+def frequency_levels(partial: DataFrame) -> np.ndarray:
     """For each counter the logarithm of how far it is above what the n-grams that share it by chance make: their mean and four times its root."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +154,8 @@ def frequency_levels(partial: DataFrame, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     summed = partial.repartition(shuffle_partitions(partial.sparkSession), "part").mapInArrow(add, "part int, counts binary")
-    counts = np.zeros(((1 << bits) // CELLS, CELLS), np.int64)
-    rows = summed.toArrow()  # at most 2 ** MOST_BITS counts
+    counts = np.zeros(((1 << BITS) // CELLS, CELLS), np.int64)
+    rows = summed.toArrow()  # 2 ** BITS counts
     for part, own in zip(rows["part"].to_pylist(), rows["counts"].to_pylist()):
         counts[part] = np.frombuffer(own, np.int64)
     usual = np.median(counts)  # a few frequent n-grams hardly move it
@@ -433,9 +428,8 @@ def ngram_jaccard(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
 def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     spark, t = docs.sparkSession, percent
-    bits = counter_bits(docs, text)
-    scan = written(scanned(docs, key, text, n, bits))
-    levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts")), bits))
+    scan = written(scanned(docs, key, text, n))
+    levels = spark.sparkContext.broadcast(frequency_levels(scan.where("part is not null").select("part", F.col("mark").alias("counts"))))
     table = scan.where("part is null").drop("part")
     full = table.where("n > 0")
     classes = written(full.groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("mark").alias("mark")))

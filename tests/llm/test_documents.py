@@ -158,7 +158,7 @@ def brute_jaccard(rows, n=5, t=80):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, docs, monkeypatch, small):
     if small:  # long columns, several squares and columns dealt to several blocks
-        for name, value in (("SHORT", 2), ("SQUARE", 2), ("LEAST_SQUARE", 1), ("WIDE", 2), ("BLOCK", 50), ("LEAST_BITS", 12), ("MOST_BITS", 12)):
+        for name, value in (("SHORT", 2), ("SQUARE", 2), ("LEAST_SQUARE", 1), ("WIDE", 2), ("BLOCK", 50), ("BITS", 12)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = {(r[0], r[1]) for r in ROWS if r[0] is not None}
     want = brute_jaccard(rows)
