@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lines:
     """docs without their repeated lines, with n_lines (before) and n_removed; n_chars, where there is one, follows."""
     ident, spans, own, stay = (unused(x, docs) for x in ("_l_id", "_l_spans", "_l_own", "_l_stay"))
     with scratch_scope():
-        found = repeated_lines(docs, key, text, lines).toDF(ident, spans)
+        found = repeated_lines(docs, key, text, lines).toDF(ident, spans).hint("merge")
     joined = docs.withColumn(ident, _identity(key, text)).join(found, ident, "left")
     covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"])))
     hit = F.col(spans).isNotNull()
