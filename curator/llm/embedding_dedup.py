@@ -77,8 +77,9 @@ def hashed(classes: DataFrame, passes: range, seed: int) -> DataFrame:
         for batch in batches:
             x, _ = _stacked(batch.column(1))
             for p in passes:
-                directions = np.random.default_rng([seed, p]).standard_normal((64, x.shape[1])) if x.shape[1] else np.zeros((64, 0))
-                bits = np.packbits(x @ directions.T > 0, axis=1).reshape(-1, 8)
+                # drawn coordinate by coordinate: a vector has the same ones whatever the longest vector of its batch
+                directions = np.random.default_rng([seed, p]).standard_normal((x.shape[1], 64))
+                bits = np.packbits(x @ directions > 0, axis=1).reshape(-1, 8)
                 code = (np.ascontiguousarray(bits).view(">u8").ravel() ^ np.uint64(1 << 63)).astype(np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), pa.array(code), batch.column(0), batch.column(1)], names=["pass", "code", "k", "unit"])
 

@@ -69,6 +69,28 @@ def test_passes_grow_with_the_table(spark):
     assert got == {i: (int(i < 300 or i >= 4000), i - 4000 if i >= 4000 else i) for i in range(4300)}
 
 
+def test_vectors_of_several_lengths_over_several_batches(spark):
+    """A vector's hash mustn't depend on what else is in its batch: lone pairs are found though longer vectors are strewn among them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(600):
+        x = rng.standard_normal(64)
+        y = rng.standard_normal(64)
+        y -= x * (x @ y) / (x @ x)
+        rows += [x, x / np.linalg.norm(x) * 0.955 + y / np.linalg.norm(y) * np.sqrt(1 - 0.955**2)]
+    rows += [rng.standard_normal(int(d)) for d in rng.integers(65, 300, 12)] + [rng.standard_normal(64) for _ in range(1800)]
+    order = rng.permutation(len(rows))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    try:
+        df = spark.createDataFrame([(int(i), rows[i].tolist()) for i in order], "vec_id bigint, embedding array<double>").repartition(4)
+        got = {r.vec_id: r.component_id for r in embedding_dedup.embedding_near_dedup(df, threshold=0.95).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(600)) >= 597
+    assert all(got[i] == i for i in range(1200, len(rows)))
+
+
 def test_neighbours_across_a_cut_are_compared(spark):
     unit = np.array([1.0, 0.0]).tobytes()
     rows = [(0, i, i, unit if i in (3, 4) else np.array([np.cos(i), np.sin(i)]).tobytes()) for i in range(1, 7)]
@@ -436,8 +458,23 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, nothing, "unused").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_pipeline_decides_by_row_not_by_id(spark, parts):
+    """Rows that share an id are documents of their own where their texts differ."""
+    import corpus_pipeline
+
+    copy = " ".join(f"copied{i}" for i in range(40))
+    own = " ".join(f"own{i}" for i in range(40))
+    rows = [(3, copy, "en", "s", 1, None, None), (5, copy, "en", "s", 1, None, None), (5, own, "en", "s", 1, None, None), (None, copy + " x", "en", "s", 1, None, None)]
+    rows += [(None, "none " + own.upper(), "en", "s", 1, None, None), (8, None, "en", "s", 1, None, None), (8, None, "de", "s", 1, None, None), (9, own + " y", "b", None, 1, None, None), (9, own + " y", "a", None, 1, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = corpus_pipeline.near_duplicates(spark, docs, "unused")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=str) == sorted([(3, copy, "en"), (5, own, "en"), (8, None, "de")], key=str)
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
