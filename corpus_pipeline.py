@@ -9,10 +9,10 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curator.llm.common import scratch_root, scratch_scope, table, unused
+from curator.llm.common import dropped, scratch_root, scratch_scope, table, unused, written
 from curator.llm.line_dedup import dedup_lines
 from curator.llm.ngram_join import ngram_jaccard
 from curator.llm.packing import pack
@@ -39,13 +39,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one of least id stays; of rows that repeat an id, one. Rows without an id stay."""
-    found = ngram_jaccard(docs)
-    first, rank = unused("_first", docs), unused("_rank", docs)
-    keys = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(first)).distinct()
-    stay = docs.join(keys, F.col("doc_id") == F.col(first), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return stay.withColumn(rank, copy).where(F.col(rank) == 1).drop(rank).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group of documents that links join, the one of least id stays (of several with that id, by a digest of their texts).
+
+    A document is an id and a text: rows that share an id are decided one by one, each by its own text. Rows that agree in
+    both are repeats, of which the least by their other columns stays. Documents without an id come after all others.
+    """
+    key, first, times = unused("_key", docs), unused("_first", docs), unused("_times", docs)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("digest"))
+    keyed = docs.withColumn(key, own)
+    found = ngram_jaccard(keyed, key=key)
+    found = found.groupBy(F.col(key).alias(first)).agg(F.count(F.lit(1)).alias(times), F.min("component_id").alias("_c")).where(F.col(first) == F.col("_c"))
+    keys = written(found.select(first, times))
+    once = keyed.join(keys.where(F.col(times) == 1), F.col(key) == F.col(first), "left_semi").drop(key)
+    again = keyed.join(keys.where(F.col(times) > 1), F.col(key) == F.col(first), "left_semi")
+    again = again.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias(first)).select(f"{first}.*")
+    return once.unionByName(again)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         with scratch_scope():
             stage(spark, docs, sf_dir).write.parquet(path)
+        dropped(docs)  # a stage's table goes when the next one's is whole; the given documents are no scratch table
         docs = spark.read.parquet(path)
+        docs._curator_path = path
     return docs
