@@ -94,11 +94,38 @@ def date_in_url(url: Column, first: str = "2020-01-01", last: str = "2030-12-31"
     return F.coalesce(*found)
 
 
+def first_object(text: Column) -> Column:
+    """The first balanced JSON object of a text: from its first brace to the one that closes it; null if none does.
+
+    Braces inside strings don't count, nor do quotes behind a backslash. The text is read in one go: pieces begin at each
+    brace, quote and backslash, and a fold over them keeps depth, whether in a string, and how far the object reaches.
+    """
+    start = F.instr(text, "{")
+    rest = F.when(start > 0, F.right(text, F.length(text) - start + 1))
+    # an escaped character goes with its backslash
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)(\\.|[{}"]|[^{}"\\]+|\\)'), F.lit(1))
+    state = lambda depth, quoted, size, done: F.struct(depth.alias("depth"), quoted.alias("quoted"), size.alias("size"), done.alias("done"))
+
+    def step(s: Column, piece: Column) -> Column:
+        quoted = F.when(piece == '"', ~s["quoted"]).otherwise(s["quoted"])
+        depth = s["depth"] + F.when(~s["quoted"] & (piece == "{"), 1).when(~s["quoted"] & (piece == "}"), -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(state(depth, quoted, s["size"] + F.length(piece), depth == 0))
+
+    zero = state(F.lit(0), F.lit(False), F.lit(0), F.lit(False))
+    end = F.aggregate(pieces, zero, step)
+    return F.when(end["done"], F.left(rest, end["size"]))
+
+
 def fenced_json(text: Column) -> Column:
-    """The inside of a ```json block, or the text from its first brace to its last."""
+    """The first balanced object inside a ```json block, or else of the whole text; of a block that holds none, its inside."""
     block = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(block != "", F.trim(block)).when(braces != "", braces)
+    return F.when(block != "", F.coalesce(first_object(block), stripped(block))).otherwise(first_object(text))
+
+
+def answered(text: Column, name: str) -> Column:
+    """A field of an answer's object as JSON: of the one in a fenced block if it has the field, else of the text's first balanced one."""
+    block = first_object(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    return F.coalesce(F.get_json_object(block, f"$.{name}"), F.get_json_object(first_object(text), f"$.{name}"))
 
 
 def listed_items(text: Column, name: str, none: str, shorter: int = 50) -> Column:
@@ -126,17 +153,6 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#:]*)", 1))
 
 
-def absolute(href: Column, base: Column) -> Column:
-    """A link as an absolute URL, by scheme, host and path of the page it is on."""
-    root = F.regexp_extract(base, r"^([a-z]+://[^/?#]*)", 1)
-    return (
-        F.when(href.rlike(r"^[a-z]+://"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-z]+:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(root, F.lit("/"), href))
-    )
-
-
 def extension_allowed(name: Column, allowed: list[str]) -> Column:
     return name.contains(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(allowed)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
+from ..functions.links import WEB_LINK_SQL, web_link
 from ..operators import rewrite as R
 from ..operators import state as S
 from ..sources import pages as P
@@ -26,8 +27,7 @@ _ANCHOR = """(?is)<a\\s[^>]*?href=["'']?([^"''>\\s]*)["'']?[^>]*>(.*?)</a>"""
 @query(f"""WITH r(source, least_title, accept, reject, stops, most) AS (VALUES {_RULE_ROWS.replace("(?!)", "^$")}), p AS (SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://([a-z]+)\\.', 1) AS source FROM pages),
     a AS (SELECT source, page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '{_ANCHOR}', 2)), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title,
         generate_subscripts(regexp_extract_all(html, '{_ANCHOR}', 1), 1) AS place FROM p),
-    b AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href
-        WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' || href END AS link FROM a JOIN r USING (source) WHERE href <> ''),
+    b AS (SELECT *, {WEB_LINK_SQL} AS link FROM (SELECT *, url AS base FROM a JOIN r USING (source) WHERE href <> '')),
     c AS (SELECT *, row_number() OVER (PARTITION BY source, link ORDER BY page_id, place) AS n FROM b WHERE length(title) >= least_title AND NOT list_contains(stops, title) AND regexp_matches(link, accept) AND NOT regexp_matches(link, reject)),
     d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS rank FROM c WHERE n = 1)
     SELECT source, page_id, rank, link, title, NULL::DATE AS day FROM d WHERE rank <= most""")
@@ -37,6 +37,77 @@ def page_links_by_rule(spark, sf_dir):
     return P.rule_links(pages, P.rule_table(spark, RULES))
 
 
+#: References as pages write them: by what they stand for in RFC 3986, the word of a link in each.
+_FORMS = (
+    "/{}", "{}", "../{}", "./{}/../x.html", "?q={}", "#{}", "//cdn.example/{}", "HTTP://Other.example/{}", "https://other.example/a/./{}", "javascript:go('{}')", "mailto:{}@a.example",
+    "../../../../{}/..", "{}//y/", "/a/../{}?r=../z#s", " {}", "/p?x=1&amp;y={}", ".", "..", "", "{}.pdf", "/files/{}.PDF",
+)
+_FORMS_SQL = ", ".join("'" + f.replace("'", "''") + "'" for f in _FORMS)
+_WORDS_SQL = f"""SELECT page_id, url AS base, place, replace(([{_FORMS_SQL}])[(page_id + place) % {len(_FORMS)} + 1], '{{}}', word) AS href FROM (
+    SELECT page_id, url, ltrim(unnest(hrefs), '/') AS word, generate_subscripts(hrefs, 1) AS place FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM pages))"""
+
+
+def _references(spark, sf_dir):
+    """(page_id, url, place, href): the links of all pages, each written in another of these forms."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
+    words = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(hrefs).alias("place", "word")).withColumn("place", (F.col("place") + 1).cast("bigint"))
+    form = F.element_at(F.array(*map(F.lit, _FORMS)), ((F.col("page_id") + F.col("place")) % len(_FORMS) + 1).cast("int"))
+    return words.select("page_id", "url", "place", F.replace(form, F.lit("{}"), F.ltrim("word", F.lit("/"))).alias("href"))
+
+
+@query(f"""WITH w AS ({_WORDS_SQL}) SELECT page_id, place, href, {WEB_LINK_SQL} AS link FROM w""")
+def resolved_links(spark, sf_dir):
+    """Relative, rooted, dotted, query-only and other references against their pages; what isn't a web page is null."""
+    return _references(spark, sf_dir).select("page_id", "place", "href", web_link(F.col("href"), F.col("url")).alias("link"))
+
+
+def _with_references(spark, sf_dir):
+    """Pages of these references alone."""
+    one = F.concat(F.lit('<a class="x" href="'), F.col("href"), F.lit('">link '), F.col("place").cast("string"), F.lit("</a>"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", one.alias("a")))), lambda x: x["a"]), "\n")
+    return _references(spark, sf_dir).groupBy("page_id", "url").agg(body.alias("html"))
+
+
+@query(f"""WITH w AS ({_WORDS_SQL}) SELECT DISTINCT page_id, link FROM (SELECT page_id, {WEB_LINK_SQL} AS link FROM w WHERE regexp_matches(href, '(?i)[.]pdf$'))""")
+def pdf_files(spark, sf_dir):
+    """The distinct PDF files that pages link to."""
+    return P.pdf_links(_with_references(spark, sf_dir))
+
+
+_DATED = [
+    P.LinkRule("en", 4, r"/\d{4}/\d{4}/\d+\.shtml", date=r"/(\d{4})/(\d{2})(\d{2})/", most=7), P.LinkRule("de", 4, r"/\d{6}/t\d{8}_\d+\.html", date=r"/\d{6}/t(\d{4})(\d{2})(\d{2})_", most=5),
+    P.LinkRule("fr", 4, r"\.html$", date=r"/(\d{4})-(\d{2})/(\d{2})/"),
+]
+_DATED_ROWS = ", ".join(f"('{r.source}', '{r.accept}', '{r.date}', {r.most})" for r in _DATED)
+#: A day of the year from page and place (February has a 30th then, which is none), and a link of each source's kind. Two list pages share each third link.
+_DATED_SQL = """SELECT source, page_id, place, title, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/list/' AS base,
+    CASE source WHEN 'en' THEN '../' || y || '/' || m || d || '/' || k || '.shtml' WHEN 'de' THEN './' || y || m || '/t' || y || m || d || '_' || k || '.html' ELSE '/' || y || '-' || m || '/' || d || '/' || k || '.html' END AS href
+    FROM (SELECT source, page_id, url, place, title, '2024' AS y, printf('%02d', 1 + k % 13) AS m, printf('%02d', 1 + (k // 13) % 30) AS d, k::VARCHAR AS k FROM (
+        SELECT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS source, page_id, url, place, 'title ' || place AS title, CASE WHEN place % 3 = 0 THEN place ELSE page_id * 7 + place END AS k FROM (
+            SELECT page_id, url, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS place FROM pages)))"""
+
+
+@query(f"""WITH r(source, accept, date, most) AS (VALUES {_DATED_ROWS}), a AS (SELECT *, {WEB_LINK_SQL} AS link FROM ({_DATED_SQL})),
+    c AS (SELECT *, row_number() OVER (PARTITION BY source, link ORDER BY page_id, place) AS n FROM a JOIN r USING (source) WHERE regexp_matches(link, accept)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS rank FROM c WHERE n = 1)
+    SELECT source, page_id, rank, link, title, try_cast(regexp_extract(link, date, 1) || '-' || regexp_extract(link, date, 2) || '-' || regexp_extract(link, date, 3) AS DATE) AS day FROM d WHERE rank <= most""")
+def dated_links_of_list_pages(spark, sf_dir):
+    """Links of several list pages of each source, which share some, with the day that stands in them in the source's own way."""
+    places = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
+    own = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)/", 1).alias("source"), F.size(places).alias("n")).where("n > 0")
+
+    def link(place):
+        k = F.when(place % 3 == 0, place.cast("bigint")).otherwise(F.col("page_id") * 7 + place)
+        m, d, k = F.lpad((1 + k % 13).cast("string"), 2, "0"), F.lpad((1 + F.floor(k / 13) % 30).cast("string"), 2, "0"), k.cast("string")
+        href = F.when(F.col("source") == "en", F.concat(F.lit("../2024/"), m, d, F.lit("/"), k, F.lit(".shtml"))).when(F.col("source") == "de", F.concat(F.lit("./2024"), m, F.lit("/t2024"), m, d, F.lit("_"), k, F.lit(".html")))
+        href = href.otherwise(F.concat(F.lit("/2024-"), m, F.lit("/"), d, F.lit("/"), k, F.lit(".html")))
+        return F.concat(F.lit("<a href='"), href, F.lit("'>title "), place.cast("string"), F.lit("</a>"))
+
+    html = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), link), "\n")
+    pages = own.select("source", "page_id", F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1), F.lit("/list/")).alias("url"), html.alias("html"))
+    return P.rule_links(pages, P.rule_table(spark, _DATED))
+
+
 _LISTED = "translate(text, '[]{}\"\\', '')"
 
 
@@ -54,6 +125,22 @@ def listed_items(spark, sf_dir):
     return own.select("conv_id", "turn", F.size(items).cast("bigint").alias("n"), F.array_join(items, "|").alias("items"))
 
 
+@query("""WITH w AS (SELECT conv_id, turn, list_slice(string_split(translate(text, '[]{}"\\`' || chr(10), ''), ' '), 1, 9) AS w FROM conversations)
+    SELECT conv_id, turn, p - 1 AS place, w[p] AS name, CASE WHEN p % 2 = 0 THEN 0 ELSE len(w) END::BIGINT AS n_steps, CASE WHEN p % 2 = 1 THEN w[len(w)] || ' } "' || w[1] END AS last_step
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM w WHERE turn % 5 <> 4) ORDER BY ALL""")
+def recipes_in_answers(spark, sf_dir):
+    """Objects of a list in free text, with lists of their own: fenced, bare, among other braces, behind a block without them; of a cut-off answer, none."""
+    words = F.slice(F.split(F.translate("text", '[]{}"\\`\n', ""), " "), 1, 9)
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("w"))
+    steps = F.transform("w", lambda x: F.concat(x, F.lit(' } "'), F.element_at("w", 1)))
+    recipes = F.to_json(F.struct(F.transform("w", lambda x, i: F.struct(x.alias("name"), F.when(i % 2 == 0, steps).otherwise(F.array().cast("array<string>")).alias("steps"))).alias("recipes")))
+    forms = (F.concat(F.lit("Sure } so:\n```json\n"), recipes, F.lit("\n```")), F.concat(F.lit("Here: "), recipes, F.lit(' and {"b": 2} }')), recipes, F.concat(F.lit('```\nno object\n``` but '), recipes), F.left(recipes, F.length(recipes) - 1))
+    said = F.element_at(F.array(*forms), (F.col("turn") % 5 + 1).cast("int"))
+    found = F.from_json(X.answered(said, "recipes"), "array<struct<name:string,steps:array<string>>>")
+    items = own.select("conv_id", "turn", F.posexplode(found).alias("place", "r"))
+    return items.select("conv_id", "turn", F.col("place").cast("bigint").alias("place"), "r.name", F.size("r.steps").cast("bigint").alias("n_steps"), F.try_element_at("r.steps", F.lit(-1)).alias("last_step"))
+
+
 @query("""WITH t AS (SELECT n_nationkey AS key, n_name AS value, 1 AS turn FROM nation UNION ALL SELECT s_nationkey, s_name, 2 FROM (SELECT s_nationkey, max(s_name) AS s_name FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
     UNION ALL SELECT r_regionkey, r_name, 3 FROM region) SELECT key::INT AS key, arg_max(value, turn) AS value FROM t GROUP BY key""")
 def merged_dictionaries(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.links import WEB_LINK_SQL
 from ..operators import state as S
 from ..operators import vectors as V
 from ..sources import pages as P
@@ -106,9 +107,7 @@ _LINK = """SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*
     generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']?([^"''>\\s]*)["'']?[^>]*>(.*?)</a>', 1), 1) - 1 AS place FROM pages"""
 
 
-@query(f"""WITH a AS ({_LINK}), b AS (SELECT page_id, place, title, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href
-    WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' || href END AS link
-    FROM a WHERE href <> '' AND length(title) >= 3),
+@query(f"""WITH a AS (SELECT *, url AS base FROM ({_LINK})), b AS (SELECT page_id, place, title, {WEB_LINK_SQL} AS link FROM a WHERE href <> '' AND length(title) >= 3),
     c AS (SELECT *, row_number() OVER (PARTITION BY page_id, link ORDER BY place) AS n FROM b WHERE regexp_matches(link, 'example')), d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS rank FROM c WHERE n = 1)
     SELECT page_id, rank, link, title FROM d WHERE rank <= 20""")
 def page_links(spark, sf_dir):

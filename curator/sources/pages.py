@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import absolute
+from ..functions.links import web_link
 
 
 def anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -20,8 +20,8 @@ def anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def links(pages: DataFrame, least_title: int, accept: str, most: int | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """The link source that all crawlers share: titles of some length, absolute URLs that a rule accepts, each once per page, the first `most`."""
-    fit = anchors(pages, key, url, html).where((F.col("href") != "") & (F.length("title") >= least_title)).withColumn("link", absolute(F.col("href"), F.col(url)))
+    """The link source that all crawlers share (links to other things than web pages are none): titles of some length, absolute URLs that a rule accepts, each once per page, the first `most`."""
+    fit = anchors(pages, key, url, html).where((F.col("href") != "") & (F.length("title") >= least_title)).withColumn("link", web_link(F.col("href"), F.col(url)))
     fit = fit.where(F.col("link").rlike(accept))
     first = F.row_number().over(Window.partitionBy(key, "link").orderBy("place"))
     once = fit.withColumn("_n", first).where("_n = 1").drop("_n")
@@ -59,7 +59,7 @@ def rule_links(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
     own = squeezed(F.regexp_extract("a.attributes", r"(?i)title=[\"']([^\"']*)[\"']", 1))
     shown = squeezed(F.regexp_replace("a.inner", r"<[^>]*>", ""))
-    rows = rows.withColumns({"title": F.when(F.col("attribute_first") & (own != ""), own).otherwise(shown), "link": absolute(F.col("a.href"), F.col(url))})
+    rows = rows.withColumns({"title": F.when(F.col("attribute_first") & (own != ""), own).otherwise(shown), "link": web_link(F.col("a.href"), F.col(url))})
     fit = rows.where(
         (F.col("a.href") != "") & (F.length("title") >= F.col("least_title")) & ~F.array_contains("stop_titles", F.col("title"))
         & F.regexp("link", F.col("accept")) & ~F.regexp("link", F.col("reject"))
@@ -124,7 +124,7 @@ def article_body(html: Column, least: int = 100, most: int = 10_000) -> Column:
 def pdf_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, link) of the distinct PDF files that pages link to."""
     found = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']?([^\"'>\s]+\.pdf)"), F.lit(1)))
-    return pages.select(key, url, F.explode(found).alias("href")).select(key, absolute(F.col("href"), F.col(url)).alias("link")).distinct()
+    return pages.select(key, url, F.explode(found).alias("href")).select(key, web_link(F.col("href"), F.col(url)).alias("link")).distinct()
 
 
 def rss_items(feeds: DataFrame, key: str, xml: str, most: int = 20) -> DataFrame:
