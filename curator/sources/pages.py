@@ -1,4 +1,4 @@
-"""Links, titles and embedded JSON of raw pages, and reading and writing review files."""
+"""Links, titles and embedded JSON of raw pages, feeds, and review files."""
 
 from __future__ import annotations
 
@@ -85,30 +85,10 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """(day, news_id, text) of review files <day>/news_<id>.md under a folder."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return files.select(
-        F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/news_\d+\.md$", 1), "yyyy-MM-dd").alias("day"), F.regexp_extract("path", r"news_(\d+)\.md$", 1).try_cast("bigint").alias("news_id"), F.col("value").alias("text")
+        F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})/(?:[^/]+/)*(?:\d+-)?news_\d+\.md$", 1), "yyyy-MM-dd").alias("day"), F.regexp_extract("path", r"news_(\d+)\.md$", 1).try_cast("bigint").alias("news_id"), F.col("value").alias("text")
     )
 
 
-def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """A report of several sheets: one folder of CSV for each."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("header", "true").csv(f"{path.rstrip('/')}/{name}")
-
-
-def backup(df: DataFrame, path: str, stamp: str) -> str:
-    """A snapshot under the stamp."""
-    target = f"{path.rstrip('/')}/{stamp}"
-    df.write.mode("errorifexists").option("compression", "gzip").parquet(target)
-    return target
-
-
-def restored(spark: SparkSession, path: str, stamp: str | None = None) -> DataFrame:
-    """A snapshot of backup(); the newest if no stamp is named."""
-    every = spark.read.option("basePath", path).option("recursiveFileLookup", "true").parquet(path).select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("_stamp"))
-    wanted = stamp if stamp is not None else every.agg(F.max("_stamp")).first()[0]
-    return every.where(F.col("_stamp") == wanted).drop("_stamp")
-
-
 def article_body(html: Column, least: int = 100, most: int = 10_000) -> Column:
     """The text of the article element, else of the paragraphs; null where it is too short, cut where it is too long."""
     shown = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>", " ")
@@ -149,15 +129,10 @@ def latest_reviews(files: DataFrame) -> DataFrame:
     return files.groupBy("news_id").agg(F.max_by("text", "day").alias("text"), F.max("day").alias("day"))
 
 
-def write_reviews(documents: DataFrame, path: str) -> None:
-    """(day, text) as text files under a folder for each day."""
-    documents.select("day", F.col("text").alias("value")).write.mode("append").option("lineSep", "\n\n").partitionBy("day").text(path)
-
-
-def backups(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size_mb, modified) of the snapshot files under a folder, newest first."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "file")
+def reviews_of(texts: DataFrame) -> DataFrame:
+    """(day, news_id, text, commit) of the review files among texts by day; other files are left out."""
+    number = F.regexp_extract("name", r"^news_(\d+)\.md$", 1).try_cast("bigint")
+    return texts.select("day", number.alias("news_id"), "text", "commit").where("news_id IS NOT NULL")
 
 
 def enabled_sources(registry: DataFrame, week: int | None = None) -> DataFrame:

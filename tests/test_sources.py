@@ -1,10 +1,12 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from curator.functions import text as X
 from curator.operators import state as S
 from curator.schema import NEWS, REVIEWS, evolved
+from curator.sources import commits as C
 from curator.sources import pages as P
 
 
@@ -28,12 +30,8 @@ def test_reviews_reports_and_backups(spark, tmp_path):
     got = P.review_list(docs, 2).collect()
     assert [(r.news_id, r.title) for r in got] == [(9, "new"), (10, "ten")]  # by name as text
     assert {r.news_id: r.text for r in P.latest_reviews(docs).collect()}[9].startswith("# new")
-    P.write_reviews(docs, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).select("day").distinct().count() == 2
-    P.write_report({"all": docs, "counts": docs.groupBy("day").count()}, str(tmp_path / "report"))
-    assert spark.read.option("header", "true").csv(str(tmp_path / "report/counts")).count() == 2
-    P.backup(docs, str(tmp_path / "backup"), "20240102")
-    assert P.backups(spark, str(tmp_path / "backup")).count() >= 1
+    C.write_report({"all": docs, "counts": docs.groupBy("day").count()}, str(tmp_path / "report"), "2024-01-03")
+    assert C.read_sheet(spark, str(tmp_path / "report"), "counts").count() == 2
 
 
 def test_schemas_evolve(spark):
@@ -69,8 +67,35 @@ def test_rule_links(spark):
     assert [(r.page_id, r["rank"], r.link[-8:], r.title, str(r.day)) for r in got] == [(1, 1, "3/a.html", "The title attribute", "2024-02-03"), (1, 2, "3/b.html", "A title of some length", "None")]
 
 
-def test_backup_and_restore(spark, tmp_path):
-    for stamp, n in (("20240101", 3), ("20240102", 5)):
-        P.backup(spark.range(n), str(tmp_path), stamp)
-    assert P.restored(spark, str(tmp_path)).count() == 5 and P.restored(spark, str(tmp_path), "20240101").count() == 3
-    assert P.restored(spark, str(tmp_path)).columns == ["id"]
+def test_backups_are_whole_or_not_there(spark, tmp_path):
+    path = str(tmp_path)
+    assert C.backups(spark, path).collect() == []
+    for n, stamp in ((3, "20240101"), (5, "20240103"), (0, "20240102")):
+        C.backup(spark.range(n), path, stamp)
+    # a snapshot that was never committed is newer than all, and isn't seen
+    spark.range(99).write.parquet(f"{path}/20240109/abc/data")
+    assert C.restored(spark, path).count() == 5 and C.restored(spark, path, "20240101").count() == 3 and C.restored(spark, path, "20240102").count() == 0
+    assert C.restored(spark, path).columns == ["id"]
+    with pytest.raises(ValueError, match="no whole set 20240109"):
+        C.restored(spark, path, "20240109")
+    assert [(r.stamp, r.n_rows) for r in C.backups(spark, path).collect()] == [("20240103", 5), ("20240102", 0), ("20240101", 3)]
+    bad = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error("on purpose")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="on purpose"):
+        C.backup(bad, path, "20240103")
+    assert C.restored(spark, path, "20240103").count() == 5  # as it was
+    C.backup(spark.range(6), path, "20240103")
+    assert C.restored(spark, path).count() == 6
+    assert C.sweep(spark, path) == 3 and C.restored(spark, path).count() == 6
+    assert C.expire_backups(spark, path, "20240109") == ["20240101", "20240102"]
+    assert [r.stamp for r in C.backups(spark, path).collect()] == ["20240103"]
+    C.backup(spark.range(1), path, "20240101")  # a stamp that went can come again
+    assert C.restored(spark, path, "20240101").count() == 1
+
+
+def test_a_report_replaces_its_day(spark, tmp_path):
+    path, sheet = str(tmp_path), spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
+    C.write_report({"one": sheet, "two": sheet.limit(1)}, path, "2024-01-01")
+    C.write_report({"one": sheet.where("n = 2"), "two": sheet}, path, "2024-01-01")
+    C.write_report({"one": sheet.limit(0), "two": sheet}, path, "2023-12-31")
+    assert [tuple(r) for r in C.read_sheet(spark, path, "one", schema="n int, t string").collect()] == [(2, None)]
+    assert C.read_sheet(spark, path, "two").count() == 2 and C.read_sheet(spark, path, "one", "2023-12-31", "n int, t string").count() == 0
