@@ -23,7 +23,7 @@ def edition_counts_stream(spark, sf_dir):
 def incremental_ingest(spark, sf_dir):
     target, checkpoint = I.folders(spark)
     arriving = I.arrivals(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    I.run_ingest(arriving, target, checkpoint, "digest", "doc_id")
+    I.run_ingest(arriving, target, checkpoint, "digest", "doc_id", bits=5)
     return spark.read.parquet(target).select("doc_id")
 
 

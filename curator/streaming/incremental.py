@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import edition
 from ..operators.state import insert_or_ignore
 from ..sources.scratch import root
+from .index import KeyIndex
 
 
 def _files(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    return _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
-
-
 def arrivals(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream of a table's files, whether it is one file or a folder of them."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
@@ -49,15 +46,19 @@ def rolled_up(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("day", "edition").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def run_ingest(arriving: DataFrame, target: str, checkpoint: str, key: str, order: str) -> None:
-    """Appends rows whose key isn't in the target yet, first come first kept; a batch that runs again replaces itself."""
+def run_ingest(arriving: DataFrame, target: str, checkpoint: str, key: str, order: str, bits: int = 12) -> None:
+    """Appends rows whose key (a hexadecimal SHA-256) isn't in the target yet, first come first kept; a batch that runs again replaces itself.
+
+    Kept keys are in an index beside the target, so a batch reads the parts of it that it may hit, not the target.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = batch.select(key).limit(0)
-        if _exists(spark, target):
-            known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") != number).select(key)
-        insert_or_ignore(known, batch, key, [F.col(order)]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        index = KeyIndex(batch.sparkSession, f"{target}-keys", bits)
+        known = index.candidates(batch.select(F.col(key).alias("digest")).where(F.col(key).isNotNull()), number)
+        new = insert_or_ignore(known.select(F.col("digest").alias(key)), batch, key, [F.col(order)])
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        kept = batch.sparkSession.read.schema(new.schema).parquet(f"{target}/batch={number}")
+        index.add(kept.select(F.col(key).alias("digest")).where(F.col(key).isNotNull()), number)
 
     query = arriving.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
