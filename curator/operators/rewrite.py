@@ -45,6 +45,33 @@ def postprocessed(title: Column, prefixes: list[str], terms: dict[str, str], cor
     return F.struct(out.alias("title"), (out != title).alias("changed"))
 
 
+def rewriting_rules(prefixes: list[str], terms: dict[str, str], corrections: list[tuple[str, str]], patterns: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    """(kind, old, new) in the order in which postprocessed() applies them."""
+    longest = sorted(terms, key=lambda k: (-len(k), k))
+    return [*(("prefix", p, "") for p in prefixes), *(("term", t, terms[t]) for t in longest), *(("correction", a, b) for a, b in corrections), *(("pattern", a, b) for a, b in patterns)]
+
+
+def rewritten(title: Column, rules: list[tuple[str, str, str]]) -> Column:
+    """struct<title, log>: a fold over the rules whose state is the text and what was done to it.
+
+    Each rule sees what the last one left; log has (kind, old, new, title) for each that changed something, in order. Rules are
+    data, so their number doesn't make the plan larger. White space is squeezed at the end, which isn't logged.
+    """
+    entry = "struct<kind:string,old:string,new:string,title:string>"
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("old"), F.lit(b).alias("new")) for k, a, b in rules]) if rules else F.array().cast("array<struct<kind:string,old:string,new:string>>")
+
+    def step(s: Column, r: Column) -> Column:
+        text = s["title"]
+        cut = F.when(F.startswith(text, r["old"]), F.trim(F.substr(text, F.length(r["old"]) + 1))).otherwise(text)
+        after = F.when(r["kind"] == "prefix", cut).when(r["kind"] == "term", F.replace(text, r["old"], r["new"])).otherwise(F.regexp_replace(text, r["old"], r["new"]))
+        done = F.struct(r["kind"].alias("kind"), r["old"].alias("old"), r["new"].alias("new"), after.alias("title"))
+        return F.when(after == text, s).otherwise(F.struct(after.alias("title"), F.concat(s["log"], F.array(done)).alias("log")))
+
+    start = F.struct(title.alias("title"), F.array().cast(f"array<{entry}>").alias("log"))
+    # a null title compares as null and would lose its log: it has none
+    return F.when(title.isNotNull(), F.aggregate(every, start, step, lambda s: F.struct(squeezed(s["title"]).alias("title"), s["log"].alias("log"))))
+
+
 def headline(title: Column, prefixes: list[str], forbidden: list[str], length: int = 18) -> Column:
     """A card's headline without a model: quotes and forbidden phrases out, cut with an ellipsis."""
     text = F.regexp_replace(without_prefixes(title, prefixes), "[\"'`]", "")

@@ -202,6 +202,20 @@ def rewriting_log(spark, sf_dir):
     return own.where("r.changed").select("id", F.col("title").alias("before"), F.col("r.title").alias("after"), (F.col("p") != F.col("title")).alias("prefixes"))
 
 
+_RULES = R.rewriting_rules(PREFIXES, TERMS, CORRECTIONS, PATTERNS)
+_RULES_SQL = ", ".join(f"({i + 1}, '{k}', '{a}', '{b}')" for i, (k, a, b) in enumerate(_RULES))
+
+
+@query(f"""WITH RECURSIVE {NEWS_SQL}, rules(pos, kind, old, new) AS (VALUES {_RULES_SQL}),
+    steps(id, pos, was, title) AS (SELECT id, 0, title, title FROM news UNION ALL SELECT s.id, r.pos, s.title, CASE WHEN kind = 'prefix' THEN CASE WHEN starts_with(s.title, old) THEN trim(substr(s.title, length(old) + 1)) ELSE s.title END
+        WHEN kind = 'term' THEN replace(s.title, old, new) ELSE regexp_replace(s.title, old, new, 'g') END FROM steps s JOIN rules r ON r.pos = s.pos + 1)
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS step, kind, old || ' -> ' || new AS change, title FROM steps JOIN rules USING (pos) WHERE title <> was""")
+def rewriting_steps(spark, sf_dir):
+    """A row for each prefix, term and pattern that changed a title, in order, with what it left."""
+    own = news(spark, sf_dir).select("id", F.posexplode(R.rewritten(F.col("title"), _RULES)["log"]).alias("at", "r"))
+    return own.select("id", (F.col("at") + 1).cast("bigint").alias("step"), "r.kind", F.concat("r.old", F.lit(" -> "), "r.new").alias("change"), "r.title")
+
+
 @query(f"""{WITH}, a AS (SELECT id, regexp_replace(regexp_replace(title, 'ing ing', 'ing', 'g'), 'th th', 'th', 'g') AS t, title FROM news),
     i AS (SELECT unnest([CASE WHEN regexp_matches(title, 'ing ing') THEN 'ing ing -> ing' END, CASE WHEN regexp_matches(regexp_replace(title, 'ing ing', 'ing', 'g'), 'th th') THEN 'th th -> th' END,
         CASE WHEN contains(t, 'bank') THEN 'bank: river or money' END, CASE WHEN regexp_matches(t, '\\d') THEN 'a number' END]) AS issue, id FROM a)

@@ -178,3 +178,18 @@ def test_top_k_by_blocks_and_chunks(spark, monkeypatch):
         best = sorted((-float(x @ y), j) for j, y in unit.items() if j != i and len(x) == len(y))[:3]
         want += [(i, n + 1, j, round(-c, 9)) for n, (c, j) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_rewriting_logs_each_rule_that_changed_something(spark):
+    from curator.operators import rewrite as R
+
+    rules = R.rewriting_rules(["[x] ", "y: "], {"a": "b", "bb": "a", "same": "same"}, [("c+", "c")], [("c b", "z")])
+    texts = ["[x] y: bb acc b  !", "same", None, "", "y: [x] q"]
+    got = [r.r for r in spark.createDataFrame([(t,) for t in texts], "t string").select(R.rewritten(F.col("t"), rules).alias("r")).collect()]
+    assert [r and r.title for r in got] == ["b bz!", "sbme", None, "", "[x] q"]
+    assert [(x.kind, x.old, x.title) for x in got[0].log] == [
+        ("prefix", "[x] ", "y: bb acc b  !"), ("prefix", "y: ", "bb acc b  !"), ("term", "bb", "a acc b  !"), ("term", "a", "b bcc b  !"), ("correction", "c+", "b bc b  !"), ("pattern", "c b", "b bz  !"),
+    ]
+    assert [x.old for x in got[1].log] == ["a"] and got[3].log == []
+    plain = spark.createDataFrame([(t,) for t in texts], "t string").select(R.postprocessed(F.col("t"), ["[x] ", "y: "], {"a": "b", "bb": "a", "same": "same"}, [("c+", "c")], [("c b", "z")]).alias("p")).collect()
+    assert [r.p.title for r in plain] == [r and r.title for r in got]
