@@ -193,3 +193,18 @@ def test_rewriting_logs_each_rule_that_changed_something(spark):
     assert [x.old for x in got[1].log] == ["a"] and got[3].log == []
     plain = spark.createDataFrame([(t,) for t in texts], "t string").select(R.postprocessed(F.col("t"), ["[x] ", "y: "], {"a": "b", "bb": "a", "same": "same"}, [("c+", "c")], [("c b", "z")]).alias("p")).collect()
     assert [r.p.title for r in plain] == [r and r.title for r in got]
+
+
+def test_hits_have_their_places(spark):
+    import re
+
+    from curator.operators.hits import hits
+    from curator.operators.safety import Rule
+
+    rules = [Rule("word", "critical", r"bad\w*", "x"), Rule("mark", "low", "!!")]
+    texts = {1: "é bad!! BADLY !!!!", 2: None, 3: "", 4: "fine", 5: "bad " * 3000}
+    df = spark.createDataFrame(list(texts.items()), "doc int, t string").withColumn("id", F.lit("clash"))
+    got = hits(df, rules, 2, key="doc", text="t").collect()
+    want = [(i, r.name, m.start(), m[0], t[max(0, m.start() - 2) : m.end() + 2]) for i, t in texts.items() if t for r in rules for m in re.finditer(r.pattern, t, re.I)]
+    assert sorted((r.id, r.rule, r.offset, r.found, r.context) for r in got) == sorted(want)
+    assert all(texts[r.id][r.offset : r.offset + r.length] == r.found for r in got)
