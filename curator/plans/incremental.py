@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import incremental as I
+from ..streaming import timers as T
+from .more import MOVES
 from .registry import query
 
 _EDITION = "CASE WHEN hour(ts) < 7 THEN 'morning' WHEN hour(ts) < 14 THEN 'afternoon' WHEN hour(ts) < 22 THEN 'evening' ELSE 'none' END"
@@ -27,6 +29,23 @@ def incremental_ingest(spark, sf_dir):
     return spark.read.parquet(target).select("doc_id")
 
 
+_HOURS = 20
+_MOVED = " ".join(f"WHEN q = '{a}' AND e = '{b}' THEN '{c}'" for (a, b), c in MOVES.items())
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT epoch_ms(max(ts)) - 172800000 AS w FROM events),
+    e AS (SELECT user_id, epoch_ms(ts) AS t, event_type AS e, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events, w WHERE epoch_ms(ts) <= w),
+    m(user_id, n, s, since) AS (SELECT DISTINCT user_id, 0::BIGINT, 'none', 0::BIGINT FROM e UNION ALL
+        SELECT user_id, n, after, CASE WHEN after <> q THEN t ELSE since END FROM (SELECT *, CASE {_MOVED} ELSE q END AS after
+            FROM (SELECT e.user_id, e.n, e.t, e.e, m.since, CASE WHEN m.s = 'queued_today' AND m.since + {_HOURS * 3600000} <= e.t THEN 'none' ELSE m.s END AS q FROM m JOIN e ON e.user_id = m.user_id AND e.n = m.n + 1) x))
+    SELECT user_id, CASE WHEN s = 'queued_today' AND since + {_HOURS * 3600000} <= w THEN 'none' ELSE s END AS state FROM m, w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""")
+def states_with_expiry_stream(spark, sf_dir):
+    """Where each user's events lead as of the stream's watermark; a queued state ends by itself after some hours."""
+    target, checkpoint = I.folders(spark)
+    T.run_machine(I.arrivals(spark, sf_dir, "events"), target, checkpoint, "user_id", "event_type", "ts", "event_id", "none", MOVES, {"queued_today": (_HOURS * 3600000, "none")})
+    return T.last_states(spark, target).select(F.col("key").alias("user_id"), "state")
+
+
 # ---------------------------------------------------------------- extensions
 @query("""SELECT n_name, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     GROUP BY ROLLUP (n_name, o_orderpriority)""")

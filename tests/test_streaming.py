@@ -43,3 +43,43 @@ def test_bytes_that_a_batch_reads_stay_flat(spark, tmp_path):
         index.add(digests(spark, own[:6]), number)
     assert spark.read.parquet(f"{tmp_path}/keys").count() == 20 * 6
     assert sum(read[15:]) <= 2 * sum(read[1:6]) and max(read) <= 10_000
+
+
+def test_states_that_end_by_themselves_with_late_events(spark, tmp_path):
+    """Several batches, events late and out of order: the stream ends where a plain run over all events does, as of its watermark."""
+    import datetime
+    import os
+
+    from curator.streaming import timers as T
+
+    rng, hour = random.Random(3), 3_600_000
+    moves, expiring = {("idle", "go"): "busy", ("busy", "stop"): "idle", ("busy", "break"): "broken", ("broken", "go"): "busy"}, {"busy": (5 * hour, "late"), "late": (9 * hour, "idle")}
+    start = datetime.datetime(2024, 1, 1)
+    events = [(u, i, start + datetime.timedelta(minutes=rng.randint(0, 60 * 24 * 6)), rng.choice(["go", "stop", "break", "nothing"])) for i in range(400) for u in (i % 9,)]
+    events += [(1, 1000 + i, start + datetime.timedelta(hours=30), e) for i, e in enumerate(["go", "stop", "go"])]  # of one time
+    events.sort(key=lambda e: e[2] + datetime.timedelta(hours=rng.randint(0, 40)))  # up to 40 hours late
+    source = tmp_path / "in"
+    schema = "user int, place bigint, ts timestamp_ntz, event string"
+    for k in range(5):
+        spark.createDataFrame(events[k * 81 : (k + 1) * 81], schema).coalesce(1).write.mode("append").parquet(str(source))
+        newest = max(source.glob("*.parquet"), key=lambda f: f.stat().st_ctime_ns)
+        os.utime(newest, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    T.run_machine(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "user", "event", "ts", "place", "idle", moves, expiring)
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 5
+    got = {r.key: (r.state, r.since) for r in T.last_states(spark, str(tmp_path / "out")).collect()}
+    ms = lambda t: int((t - datetime.datetime(1970, 1, 1)).total_seconds() * 1000)
+    now = ms(max(e[2] for e in events)) - 48 * hour
+    want = {}
+    for user in range(9):
+        state, since = "idle", None
+        for at, _, event in sorted((ms(t), p, e) for u, p, t, e in events if u == user and ms(t) <= now):
+            since = at if since is None else since
+            while state in expiring and since + expiring[state][0] <= at:
+                state, since = expiring[state][1], since + expiring[state][0]
+            after = moves.get((state, event), state)
+            state, since = (state, since) if after == state else (after, at)
+        while state in expiring and since + expiring[state][0] <= now:
+            state, since = expiring[state][1], since + expiring[state][0]
+        want[user] = state
+    assert {k: s for k, (s, _) in got.items()} == want and len(set(want.values())) > 1
