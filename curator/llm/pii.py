@@ -7,11 +7,12 @@ format by a keyed Feistel network, so that equal values stay equal across docume
   what separates the digits stays. Cards keep a valid check digit, IBANs valid check digits, phone numbers their
   country code;
 * IPv4 addresses: two halves of 16 bits;
+* mail addresses: the letters of the name, and those of the host but for its top-level domain, as numbers of base 26, and
+  the digits of each; case and punctuation stay where they are, so labels do;
 * dates: the day within its 400 years of the calendar (189 * 773 days), so every result is a date; one that doesn't fit
   the spelling (month first, or one digit for day or month) is permuted again until it does.
 
-E-mail addresses, access keys and secrets have no digits-only format; they get a keyed hash spelled in their own
-alphabet and length, which keeps equal values linked. The ``key`` is a secret of the caller.
+Access keys and secrets get a keyed hash spelled in their own alphabet and length, which keeps equal values linked. The ``key`` is a secret of the caller.
 
 Edge cases: a null text stays null; an empty one empty; values that fail validation stay (a 16-digit number with a
 wrong check digit, 31 February, 300.1.1.1); repeated rows get equal results; an empty table gives an empty result;
@@ -92,6 +93,63 @@ def _respelled(value: Column, digits: Column) -> Column:
     return F.aggregate(chars, start, step, lambda a: a["text"])
 
 
+#: Letters as digits of base 26, as conv() spells them.
+_LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+#: Letters of a piece that is permuted as one: both halves fit a bigint.
+PIECE = 24
+
+
+def permuted_letters(letters: Column, key: str, kind: str) -> Column:
+    """Small letters permuted among those of equal length, in pieces of at most PIECE."""
+    as_number = lambda t: F.when(t == "", 0).otherwise(F.conv(F.translate(t, _LETTERS, _BASE26), 26, 10)).cast("bigint")
+    power = lambda k: F.conv(F.rpad(F.lit("1"), k + 1, "0"), 26, 10).cast("bigint")
+
+    def spelled(number: Column, width: Column) -> Column:
+        digits = F.translate(F.lower(F.conv(number.cast("string"), 10, 26)), _BASE26, _LETTERS)
+        return F.when(width == 0, "").otherwise(F.lpad(digits, width, "a"))
+
+    def moved(piece: Column) -> Column:
+        half = F.ceil(F.length(piece) / 2).cast("int")
+        rest = F.length(piece) - half
+        pair = feistel(as_number(F.left(piece, half)), as_number(F.right(piece, rest)), power(half), power(rest), key, kind)
+        return _let(pair, lambda p: F.concat(spelled(p["l"], half), spelled(p["r"], rest)))
+
+    count = F.ceil(F.length(letters) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: moved(F.substr(letters, i * PIECE + 1, F.lit(PIECE))))
+    return F.when(letters == "", letters).otherwise(F.array_join(pieces, ""))
+
+
+def _put_back(value: Column, alphabet: str, moved: Column) -> Column:
+    """value with its characters of this alphabet replaced, one by one, by these; capitals stay capitals."""
+    chars = F.split(value, "")
+    own = lambda c: c.rlike(f"(?i)^[{alphabet}]$")
+    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
+
+    def step(a: Column, c: Column) -> Column:
+        new = F.substr(moved, a["at"], F.lit(1))
+        new = F.when(c == F.lower(c), new).otherwise(F.upper(new))
+        return F.when(own(c), F.struct(F.concat(a["text"], new).alias("text"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["text"], c).alias("text"), a["at"].alias("at")))
+
+    return F.aggregate(chars, start, step, lambda a: a["text"])
+
+
+def permuted_name(value: Column, key: str, kind: str) -> Column:
+    """A name or host: its letters and its digits are permuted, each among their like."""
+    letters = F.regexp_replace(F.lower(value), "[^a-z]", "")
+    out = _put_back(value, "a-z", permuted_letters(letters, key, kind))
+    digits = _digits(value)
+    one = F.pmod(digits.try_cast("int") + F.pmod(_keyed(key, kind, -1), F.lit(10)), F.lit(10)).cast("string")
+    moved = F.when(F.length(digits) == 1, one).when(F.length(digits).between(2, 36), permuted_digits(digits, key, kind)).otherwise(digits)
+    return _put_back(out, "0-9", moved)
+
+
+def _mail(value: Column, key: str) -> Column:
+    host = F.substring_index(value, "@", -1)
+    domain = F.substring_index(host, ".", -1)
+    inner = F.left(host, F.length(host) - F.length(domain))
+    return F.concat(permuted_name(F.substring_index(value, "@", 1), key, "mail"), F.lit("@"), permuted_name(inner, key, "host"), domain)
+
+
 def _luhn_sum(digits: Column) -> Column:
     """The check sum of these digits, the last one counting once."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.get(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int"))))
@@ -224,7 +282,7 @@ def pseudonym(value: Column, key: str) -> Column:
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     moved = (
         F.when(whole(SECRET), F.concat(head, _spelled(secret, key, "secret")))
-        .when(at > 0, F.concat(_spelled(F.substring_index(value, "@", 1), key, "mail"), F.lit("@"), _spelled(F.substring_index(F.substring_index(value, "@", -1), ".", 1), key, "host"), F.lit(".example")))
+        .when(at > 0, _mail(value, key))
         .when(whole(ACCESS_KEY), F.concat(F.left(value, F.lit(4)), _spelled(F.substr(value, F.lit(5)), key, "access")))
         .when(whole(DATE), _date(value, key))
         .when(whole(IPV4), F.when(F.forall(octets, lambda x: x <= 255), permuted_ipv4(value, key)))
