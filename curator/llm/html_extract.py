@@ -479,7 +479,7 @@ def _with_drafts(rows: DataFrame, drafts: DataFrame, usual: DataFrame) -> DataFr
 
 
 def _parsed(pages: DataFrame, key: str, url: str, html: str, share: float, least_pages: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Two tables: each page with its blocks, and of each host the constant ones."""
+    """Two tables: each page with its blocks, and of each host the ones that are constant in its different pages."""
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
     rows = spread(pages.select(F.col(key).alias("_h_key"), F.col(url).alias("_h_url"), host.alias("_h_host"), F.col(html).alias("_h_html")))
@@ -528,8 +528,12 @@ def _parsed(pages: DataFrame, key: str, url: str, html: str, share: float, least
     kind = pages.schema[key].dataType.simpleString()
     schema = f"_h_key {kind}, _h_url string, _h_host string, _h_blocks array<struct<slot:int,hash:bigint,inside:boolean,text:string>>"
     parsed = kept(aligned.mapInArrow(run, schema))
-    sizes = parsed.groupBy("_h_host").agg(F.count(F.lit(1)).alias("_h_pages")).where(F.col("_h_pages") >= least_pages)
-    texts = parsed.select("_h_host", F.explode(F.array_distinct(F.transform("_h_blocks", lambda b: F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))))).alias("_h_b")).where("_h_b.slot >= 0")
+    # pages of equal blocks are one: copies of a page don't make it a template
+    own = F.transform("_h_blocks", lambda b: F.struct(b["slot"].alias("slot"), b["hash"].alias("hash")))
+    distinct = parsed.select("_h_host", own.alias("_h_own")).groupBy("_h_host", F.xxhash64("_h_own").alias("_h_a"), F.hash("_h_own").alias("_h_c")).agg(F.first("_h_own").alias("_h_own"))
+    distinct = written(distinct.select("_h_host", "_h_own"))
+    sizes = distinct.groupBy("_h_host").agg(F.count(F.lit(1)).alias("_h_pages")).where(F.col("_h_pages") >= least_pages)
+    texts = distinct.select("_h_host", F.explode(F.array_distinct("_h_own")).alias("_h_b")).where("_h_b.slot >= 0")
     counts = texts.groupBy("_h_host", "_h_b.slot", "_h_b.hash").agg(F.count(F.lit(1)).alias("_h_n"))
     constants = counts.where(F.col("_h_n") >= least_pages * share).join(sizes, "_h_host").where(F.col("_h_n") >= share * F.col("_h_pages"))
     return parsed, kept(constants.groupBy("_h_host").agg(F.collect_list(F.struct("slot", "hash")).alias("_h_template")))

@@ -155,6 +155,15 @@ def test_wrapper_grows_from_several_pages(spark):
     assert html_extract.match_trees(html_extract.grown(["<div>" * 3000 + "y"]), deep) == 3002
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div>Welcome to us all</div><article><h1>Head</h1><p>A text of its own.</p><p>More of it.</p></article></body></html>"
+    rows = [(i, "https://f.example/x", page) for i in range(12)]
+    other = [(100 + i, f"https://g.example/{i % 11}", f"<body><article><p>Same notice here</p><p>Text {i % 11} of its own</p></article></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows + other, "page_id int, url string, html string").repartition(3)).collect()}
+    assert {got[i] for i in range(12)} == {"Head\nA text of its own.\nMore of it."}
+    assert all(got[100 + i] == f"Text {i % 11} of its own" for i in range(40))
+
+
 def test_names_are_weak_signs():
     text = lambda page: "|".join(b[3] for b in html_extract.blocks_of(html_extract.parse(page)))
     body = "<p>Some text of the page that is long enough</p>"
@@ -240,6 +249,22 @@ def test_pseudonyms(spark):
     assert pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_mail_addresses_are_one_to_one(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    hosts = ["mail.foo.com", "mail.bar.org", "foo.com", "foo.org", "mail8.example.com", "mail9.example.com", "a.b.c.d.example"]
+    names = [a + b for a in letters for b in letters] + [f"j{i}" for i in range(10)] + [f"x{i:02}.y" for i in range(100)] + ["a" * 40 + c for c in letters] + [c for c in letters]
+    values = [f"{n}@foo.com" for n in names] + [f"joe@{h}" for h in hosts[:3] + hosts[4:]] + ["Joe@foo.org", "joe@foo.org"]
+    rows = [(i, f"write to {v} today") for i, v in enumerate(values)]
+    got = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    made = [got[i].removeprefix("write to ").removesuffix(" today") for i in range(len(values))]
+    assert len(set(made)) == len(set(values)) == len(values)
+    shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v)))
+    assert [shape(v) for v in made] == [shape(v) for v in values]
+    assert made[-2].lower() == made[-1] and made[-1].split("@")[1].endswith(".org")
+    same = [v for v, m in zip(values, made) if v == m]
+    assert len(same) < 12  # a permutation may leave a value or two where they are, as any other
+
+
 def test_cards_beside_other_digits_and_dates_before_times(spark):
     texts = ["card 4041894974608795 12/27", "card 4041 8949 7460 8795 737", "2 4041894974608795", "card 4041894974608795", "at 2024-05-01T12:00:00Z", "on 2024-05-01", "no 4041894974608796 12", "2024-05-01Tx"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
