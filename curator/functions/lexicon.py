@@ -30,6 +30,16 @@ def any_of(text: Column, keywords: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords], F.lit(False))
 
 
+def all_of(text: Column, keywords: list[str]) -> Column:
+    """All of the keywords are in the text; never for none."""
+    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(k)) for k in keywords]) if keywords else F.lit(False)
+
+
+def exempt(source: Column, sources: list[str]) -> Column:
+    """The source is one that administrative terms and notices don't count for; never for a null one."""
+    return F.coalesce(source.isin(sources), F.lit(False)) if sources else F.lit(False)
+
+
 def tier(text: Column, tiers: list[tuple[int, list[str]]]) -> Column:
     """The highest score among the tiers with a keyword in the text; 0 without. Lower tiers are only looked for without a higher one."""
     out = F.lit(0)
@@ -48,13 +58,14 @@ def relevant(title: Column, excluded: list[str], strong: list[str], weak: list[s
     return ~any_of(title, excluded) & (any_of(title, strong) | (hits(title, weak) >= 2))
 
 
-def factual(text: Column, opinion: list[str]) -> Column:
-    return ~any_of(text, opinion)
+def factual(text: Column, opinion: list[str], administrative: list[str], spared: Column) -> Column:
+    """No term of opinion, whatever the source; and no administrative one, unless the source is exempt."""
+    return ~any_of(text, opinion) & (spared | ~any_of(text, administrative))
 
 
-def analytical(title: Column, text: Column, notices: list[str], amounts: str, concrete: list[str]) -> Column:
-    """Not a notice; and it has an amount, two concrete terms or a title of some length."""
-    return ~any_of(title, notices) & (text.rlike(amounts) | (hits(text, concrete) >= 2) | (F.length(title) > 15))
+def analytical(title: Column, text: Column, notice: list[str], amounts: str, concrete: list[str], spared: Column) -> Column:
+    """Not a notice, which has all of its terms in the title, unless the source is exempt; and it has an amount, two concrete terms or a title of some length."""
+    return (spared | ~all_of(title, notice)) & (text.rlike(amounts) | (hits(text, concrete) >= 2) | (F.length(title) > 15))
 
 
 def brief(title: Column, content: Column, patterns: str) -> Column:
@@ -71,10 +82,10 @@ def category(text: Column, categories: dict[str, list[str]]) -> Column:
     return F.array_max(F.array(*scored))["name"]
 
 
-def fact_richness(text: Column, patterns: list[str], facts: list[str]) -> Column:
-    """Up to 12 for number patterns and 8 for fact words, more for length, less for its lack."""
+def fact_richness(text: Column, content: Column, patterns: list[str], facts: list[str]) -> Column:
+    """Up to 12 for number patterns and 8 for fact words, more for the content's length, less for its lack."""
     numbers = F.least(F.lit(12), 3 * reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns]))
-    size = F.length(text)
+    size = F.length(content)
     by_length = F.when(size > 500, 3).when(size > 250, 1).when(size < 50, -15).when(size < 100, -5).otherwise(0)
     return numbers + F.least(F.lit(8), 2 * hits(text, facts)) + by_length
 

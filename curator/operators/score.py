@@ -53,10 +53,10 @@ def scored(items: DataFrame, lex, title: str = "title", content: str = "content"
     return _scored(with_text(items, title, content), lex).drop(TEXT)
 
 
-def gated(items: DataFrame, lex, title: str = "title", content: str = "content") -> DataFrame:
-    """Of items with_text those with a content that are factual, analytical and not brief."""
-    t, c, text = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit("")), F.col(TEXT)
-    return items.where(has_text(c) & K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF))
+def gate(lex, title: str = "title", content: str = "content", source: str = "source") -> Column:
+    """Items with_text that have a content and are factual, analytical and not brief."""
+    t, c, text, spared = F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit("")), F.col(TEXT), K.exempt(F.col(source), lex.EXEMPT)
+    return has_text(c) & K.factual(text, lex.OPINION, lex.ADMINISTRATIVE, spared) & K.analytical(t, text, lex.NOTICE, lex.AMOUNTS, lex.CONCRETE, spared) & ~K.brief(t, c, lex.BRIEF)
 
 
 @dataclass(frozen=True)
@@ -84,14 +84,14 @@ def filtered(items: DataFrame, lex, priorities: DataFrame | None = None, title:
 
     priorities: (source, source_priority); sources without one get 5.
     """
-    kept = gated(with_text(items, title, content), lex, title, content)
+    kept = with_text(items, title, content).where(gate(lex, title, content))
     if dedup is not None:
         kept = without_like_titles(kept, dedup, title)
     text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
     out = _scored(kept, lex).withColumns(
         {
-            "topic": K.category(text, lex.CATEGORIES), "is_domestic": K.domestic(text, lex.HOME, lex.ABROAD), "fact_richness": K.fact_richness(text, lex.FACT_PATTERNS, lex.FACTS),
+            "topic": K.category(text, lex.CATEGORIES), "is_domestic": K.domestic(text, lex.HOME, lex.ABROAD), "fact_richness": K.fact_richness(text, F.coalesce(F.col(content), F.lit("")), lex.FACT_PATTERNS, lex.FACTS),
             "scope_score": scope["score"], "is_broad": scope["broad"],
         }
     )

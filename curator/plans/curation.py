@@ -60,28 +60,38 @@ def dedup_greedy(spark, sf_dir):
     return D.greedy_kept(keyed(spark, sf_dir), CORE)
 
 
-@query(f"""{WITH}, {_KEYWORDS}, old AS (SELECT DISTINCT keywords AS k FROM keyed WHERE id < 300 AND len(keywords) > 0), fresh AS (SELECT id, keywords AS k FROM keyed WHERE id >= 300)
+#: What the state of the items says was processed: a share of all of them.
+_PROCESSED = "SELECT id FROM news WHERE status = 'skipped'"
+
+
+def _fresh_and_processed(spark, sf_dir):
+    """Titles that weren't processed, and those that were (with their place)."""
+    own = news(spark, sf_dir).select("id", F.coalesce(F.col("status") == "skipped", F.lit(False)).alias("processed"), D.title_keywords(F.col("title"), CORE, STOPS).alias("keywords"))
+    return own.where("not processed").select("id", "keywords"), own.where("processed").select(F.col("id").alias("seq"), "keywords")
+
+
+@query(f"""{WITH}, {_KEYWORDS}, old AS (SELECT DISTINCT keywords AS k FROM keyed WHERE id IN ({_PROCESSED}) AND len(keywords) > 0), fresh AS (SELECT id, keywords AS k FROM keyed WHERE id NOT IN ({_PROCESSED}))
     SELECT id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM old o WHERE len(f.k) > 0 AND list_has_any(o.k, f.k) AND least(1.0, len(list_intersect(o.k, f.k)) / (len(o.k) + len(f.k) - len(list_intersect(o.k, f.k)))::DOUBLE
         * CASE WHEN len(list_filter(list_intersect(o.k, f.k), lambda w: length(w) >= 3)) >= 2 THEN 1.5 WHEN len(list_filter(list_intersect(o.k, f.k), lambda w: length(w) >= 3)) = 1 THEN 1.2 ELSE 1.0 END) >= 0.4)""")
 def not_similar_to_processed(spark, sf_dir):
-    """Items of later ids whose titles are similar to none of an earlier batch."""
-    own = keyed(spark, sf_dir)
-    return D.without_processed(own.where("id >= 300"), own.where("id < 300").select(F.col("id").alias("seq"), "keywords"), CORE).select("id")
+    """Items whose titles are similar to none of a processed one."""
+    return D.without_processed(*_fresh_and_processed(spark, sf_dir), CORE).select("id")
 
 
-@query(f"""{WITH}, {_KEYWORDS}, old AS (SELECT keywords AS k, min(id) AS seq FROM keyed WHERE id < 300 AND len(keywords) > 0 GROUP BY keywords), fresh AS (SELECT id, keywords AS k FROM keyed WHERE id >= 300 AND len(keywords) > 0),
+@query(f"""{WITH}, {_KEYWORDS}, old AS (SELECT keywords AS k, min(id) AS seq FROM keyed WHERE id IN ({_PROCESSED}) AND len(keywords) > 0 GROUP BY keywords), fresh AS (SELECT id, keywords AS k FROM keyed WHERE id NOT IN ({_PROCESSED}) AND len(keywords) > 0),
     p AS (SELECT f.id, o.seq, {similar_sql('o.k', 'f.k')} AS sim FROM fresh f JOIN old o ON list_has_any(o.k, f.k))
     SELECT id, seq AS like_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seq) AS r FROM p WHERE sim >= 0.4) WHERE r = 1""")
 def which_processed_title(spark, sf_dir):
-    """The processed title that a later one repeats, and how like it is."""
-    own = keyed(spark, sf_dir)
-    found = D.similar_to_processed(own.where("id >= 300"), own.where("id < 300").select(F.col("id").alias("seq"), "keywords"), CORE)
+    """The processed title that another one repeats, and how like it is."""
+    found = D.similar_to_processed(*_fresh_and_processed(spark, sf_dir), CORE)
     return found.select("id", F.col("seq").alias("like_id"), F.round("sim", 6).alias("sim"))
 
 
 @query("SELECT min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY text")
 def dedup_exact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+    """Texts are told apart by their digests, so that no text is shuffled."""
+    digest = F.sha2("text", 256)  # null for a null text, which is one group
+    return table(spark, sf_dir, "documents").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
 
 
 @query("""SELECT page_id, address FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS address, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS r FROM pages) WHERE r = 1""")

@@ -15,7 +15,9 @@ SOCIAL = [(100, ["mail"]), (80, ["idiot"]), (70, ["con"]), (60, ["her"]), (50, [
 BOOSTERS = [("wide", 1.5, ["License"]), ("deep", 1.3, ["rights"])]
 CATEGORIES = {"law": ["License", "rights"], "web": ["mail", "example"], "code": ["token", "password"], "prose": ["the", "der", "les", "los"]}
 OPINION = ["idiot", "moron", "stupid"]
-NOTICES = ["All rights reserved"]
+ADMINISTRATIVE = ["example.com", "token"]
+NOTICE = ["der ", "die "]
+EXEMPT = ["src1", "src7"]
 CONCRETE = ["the", "version", "License"]
 AMOUNTS = r"\d+[.,]\d+|\d{4,}"
 BRIEF = r"^(?:In brief|Short)"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as K
-from ..functions import text as X
-from ..operators.score import TEXT, criteria, filtered, scored, with_text
-from ..sources.tables import NEWS_SQL, news
+from ..operators.score import TEXT, criteria, filtered, gate, scored, with_text
+from ..operators.terms import term_counts, terms_found
+from ..sources.tables import NEWS_SQL, news, spread, table
 from . import lexicons as lex
 from .registry import query
 
@@ -84,7 +84,7 @@ def categorize(spark, sf_dir):
 
 
 FACTS = f"""least(12, 3 * ({' + '.join(f"regexp_matches(t, {_lit(p)})::INT" for p in lex.FACT_PATTERNS)})) + least(8, 2 * {_hits(lex.FACTS)})
-    + CASE WHEN length(t) > 500 THEN 3 WHEN length(t) > 250 THEN 1 WHEN length(t) < 50 THEN -15 WHEN length(t) < 100 THEN -5 ELSE 0 END"""
+    + CASE WHEN length(coalesce(content, '')) > 500 THEN 3 WHEN length(coalesce(content, '')) > 250 THEN 1 WHEN length(coalesce(content, '')) < 50 THEN -15 WHEN length(coalesce(content, '')) < 100 THEN -5 ELSE 0 END"""
 DOMESTIC = f"({_hits(lex.HOME)} > {_hits(lex.ABROAD)} OR {_hits(lex.ABROAD)} <= 1)"
 SCOPE_SCORE = f"CASE WHEN {_hits(lex.BROAD)} > {_hits(lex.DEEP)} THEN 10 + {_hits(lex.BROAD)} WHEN {_hits(lex.DEEP)} > {_hits(lex.BROAD)} THEN 5 - {_hits(lex.DEEP)} ELSE 7 END"
 
@@ -94,7 +94,7 @@ def item_features(spark, sf_dir):
     text = F.col(TEXT)
     scope = K.scope(text, lex.BROAD, lex.DEEP)
     return with_text(news(spark, sf_dir)).select(
-        "id", K.fact_richness(text, lex.FACT_PATTERNS, lex.FACTS).cast("bigint").alias("facts"), K.domestic(text, lex.HOME, lex.ABROAD).alias("domestic"),
+        "id", K.fact_richness(text, F.coalesce("content", F.lit("")), lex.FACT_PATTERNS, lex.FACTS).cast("bigint").alias("facts"), K.domestic(text, lex.HOME, lex.ABROAD).alias("domestic"),
         scope["score"].cast("bigint").alias("scope"), scope["broad"].alias("broad"),
     )
 
@@ -103,16 +103,16 @@ def _any_in(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, {_lit(w)})" for w in words) + ")"
 
 
-KEPT = f"""regexp_matches(coalesce(content, ''), '\\S') AND NOT {_any(lex.OPINION)} AND NOT {_any_in('title', lex.NOTICES)} AND (regexp_matches(t, {_lit(lex.AMOUNTS)}) OR {_hits(lex.CONCRETE)} >= 2 OR length(title) > 15)
+_EXEMPT = ", ".join(_lit(s) for s in lex.EXEMPT)
+KEPT = f"""regexp_matches(coalesce(content, ''), '\\S') AND NOT {_any(lex.OPINION)}
+    AND (source IN ({_EXEMPT}) OR NOT ({_any(lex.ADMINISTRATIVE)} OR {_any_in('title', lex.NOTICE).replace(' OR ', ' AND ')})) AND (regexp_matches(t, {_lit(lex.AMOUNTS)}) OR {_hits(lex.CONCRETE)} >= 2 OR length(title) > 15)
     AND NOT (regexp_matches(t, {_lit(lex.BRIEF)}) OR (length(title) < 20 AND length(content) < 100))"""
 
 
 @query(f"""{_BASE} SELECT id, NOT {_any_in('title', lex.EXCLUDED)} AND ({_any_in('title', lex.STRONG)} OR {_hits(lex.WEAK).replace('contains(t,', 'contains(title,')} >= 2) AS relevant, {KEPT} AS kept FROM texts""")
 def relevance_gate(spark, sf_dir):
-    t, c = F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))
-    text = F.col(TEXT)
-    kept = X.has_text(c) & K.factual(text, lex.OPINION) & K.analytical(t, text, lex.NOTICES, lex.AMOUNTS, lex.CONCRETE) & ~K.brief(t, c, lex.BRIEF)
-    return with_text(news(spark, sf_dir)).select("id", K.relevant(t, lex.EXCLUDED, lex.STRONG, lex.WEAK).alias("relevant"), kept.alias("kept"))
+    relevant = K.relevant(F.coalesce("title", F.lit("")), lex.EXCLUDED, lex.STRONG, lex.WEAK)
+    return with_text(news(spark, sf_dir)).select("id", relevant.alias("relevant"), gate(lex).alias("kept"))
 
 
 @query(f"""{SCORES} SELECT id, round(0.40 * (least((5 + 6 * {DOMESTIC}::INT + {FACTS}) / 40.0, 1.0) * 100) + 0.60 * round(least(({RAW}) * least({FACTOR}, 1.3::DOUBLE), 100.0), 2), 3) AS priority
@@ -134,3 +134,30 @@ def score_explanations(spark, sf_dir):
     own = scored(news(spark, sf_dir), lex).select("id", "explanation", K.explained_boosters(F.col("explanation")).alias("boosters"))
     named = F.array_join(F.transform("boosters", lambda x: F.concat(x["name"], F.lit(" "), x["factor"])), ",")
     return own.select("id", F.regexp_replace("explanation", r" = [\d,.]+$", "").alias("explanation"), F.size("boosters").cast("bigint").alias("n"), named.alias("boosters"))
+
+
+#: The criteria that are tiers of terms and nothing else, so that a table can hold them.
+_TIERS = {"policy": lex.POLICY, "geography": lex.GEOGRAPHY, "time": lex.TIME, "international": lex.INTERNATIONAL, "social": lex.SOCIAL}
+_LONG = " UNION ALL ".join(f"SELECT id, '{name}' AS criterion, s_{name}::BIGINT AS best FROM scores WHERE s_{name} > 0" for name in _TIERS)
+
+
+@query(f"{SCORES} {_LONG}")
+def score_by_term_table(spark, sf_dir):
+    """Criteria from a lexicon that is a table, not a part of the plan: the same scores."""
+    rows = [(name, score, term) for name, tiers in _TIERS.items() for score, terms in tiers for term in terms]
+    lexicon = spark.createDataFrame(rows, "criterion string, score bigint, term string")
+    found = terms_found(with_text(news(spark, sf_dir)), lexicon, text=TEXT, by=("criterion", "score"))
+    return term_counts(found).select("id", "criterion", "best")
+
+
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS term FROM benchmark"
+
+
+@query(f"""WITH {NEWS_SQL}, lexicon AS (SELECT term, substr(lower(term), 1, 1) AS criterion, length(term) * 5 AS score FROM ({_WORDS}))
+    SELECT id, criterion, count(*)::BIGINT AS n, max(score)::BIGINT AS best FROM news JOIN lexicon ON contains(coalesce(content, ''), term) GROUP BY ALL""")
+def large_lexicon_scores(spark, sf_dir):
+    """A lexicon made from a table, some thousand terms, over all whole texts: distinct terms and the best score by first letter."""
+    term = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1))).alias("term")
+    lexicon = table(spark, sf_dir, "benchmark").select(term).distinct()
+    lexicon = lexicon.select("term", F.left(F.lower("term"), F.lit(1)).alias("criterion"), (F.length("term") * 5).cast("bigint").alias("score"))
+    return term_counts(terms_found(spread(news(spark, sf_dir)), lexicon, text="content", by=("criterion", "score"))).select("id", "criterion", "n", "best")
