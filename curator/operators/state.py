@@ -79,3 +79,9 @@ def replayed(log: DataFrame, key: str, event: str, order: list[str], start: str,
     events = F.sort_array(F.collect_list(F.struct(*order, F.col(event).alias("_e"))))
     step = lambda s, x: F.coalesce(F.try_element_at(table, F.concat(s, F.lit(">"), x["_e"])), s)
     return log.groupBy(key).agg(events.alias("_log")).select(key, F.aggregate("_log", F.lit(start), step).alias("state"))
+
+
+def pending(items: DataFrame, waits: Column, key: str = "id", most: int = 50, each: int = 10) -> DataFrame:
+    """The rows of one run: the newest by key of those that wait, at most `most` (the run's size), with batch, counted from 0 by `each` rows. Rows of one key are in any order."""
+    run = items.where(waits).orderBy(F.desc(key)).limit(most)  # bounded, so one task may number it
+    return run.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc(key))) - 1) / each).cast("bigint"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..schema import NEWS, evolved
 from ..sources import commits as C
 from ..sources import daily as Y
 from ..sources import pages as P
@@ -128,3 +130,14 @@ def backup_listing(spark, sf_dir):
     orders.limit(1).write.parquet(f"{path}/20240104/unfinished/data")
     C.expire_backups(spark, path, "20240102")
     return C.backups(spark, path).select("stamp", "n_rows", (F.col("size_mb") >= 0).alias("has_size"))
+
+
+@query("""SELECT doc_id AS id, source, CASE WHEN doc_id % 2 = 1 THEN lang END AS industry_category, NULL::DOUBLE AS content_score, doc_id % 2 = 1 AS fresh FROM documents""")
+def migrated_items(spark, sf_dir):
+    """Files written before columns were added, and files written after, under the schema of now: what wasn't there is null, and nothing is rewritten."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("industry_category"))
+    path = _folder(spark, "items")
+    own.where("id % 2 = 0").select("id", "source").write.parquet(f"{path}/layout=1")
+    evolved(own.where("id % 2 = 1"), NEWS).write.parquet(f"{path}/layout=2")
+    items = spark.read.schema(T.StructType([*NEWS.fields, T.StructField("layout", T.IntegerType())])).parquet(path)
+    return items.select("id", "source", "industry_category", "content_score", (F.col("layout") == 2).alias("fresh"))
