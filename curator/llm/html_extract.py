@@ -24,8 +24,10 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, scratch_scope, spread, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: A "<" that is text; the start of a tag; what decides where it ends.
+_BARE, _NAME, _ENDS = re.compile("<(?:(?!)(x)(x)(x))?"), re.compile(r"</?[a-zA-Z][^\s/><]*+"), re.compile("[>\"']")
 #: What ends the text of a raw element: these hold no markup, whatever they look like.
 _LITERAL = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in ("script", "style", "noscript", "iframe", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -121,6 +125,28 @@ def _ends_raw(raw: str, tag: str, end: bool) -> bool:
     return False
 
 
+class TagEnds:
+    """Which tags of a page have an end: from any place outside of quotes the next sign decides, so all are told in one pass."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.places = [m.start() for m in _ENDS.finditer(page)]
+        self.ends = [False] * (len(self.places) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            sign = page[self.places[k]]
+            if sign == ">":
+                self.ends[k] = True
+            else:
+                self.ends[k] = sign in later and self.ends[later[sign] + 1]
+                later[sign] = k
+
+    def has(self, at: int) -> bool:
+        """Whether what begins there is anything but a tag without an end."""
+        name = _NAME.match(self.page, at)
+        return name is None or self.ends[bisect_left(self.places, name.end())]
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; leaves with text are blocks of text, whatever inline markup they hold."""
     root = here = Node("html", "html", None, 0)
@@ -141,8 +167,19 @@ def parse(page: str) -> Node:
             pieces.clear()
         linked = 0
 
-    at_char = 0
-    while token := _TOKEN.match(page, at_char):
+    opened: Counter[str] = Counter()  # of here and what it is in, by tag
+
+    def leave(node: Node) -> Node:
+        opened[node.tag] -= 1
+        return node.parent
+
+    at_char, last, tag_ends = 0, page.rfind(">"), None
+    while at_char < len(page):
+        tag_like = page.startswith("<", at_char) and not page.startswith("<!--", at_char)
+        bare = tag_like and (at_char > last or (tag_ends is not None and not tag_ends.has(at_char)))
+        token = (_BARE if bare else _TOKEN).match(page, at_char)
+        if not bare and token[0] == "<" and tag_ends is None:
+            tag_ends = TagEnds(page)
         at_char = token.end()
         tag = token[2]
         if tag is None:
@@ -178,30 +215,27 @@ def parse(page: str) -> Node:
         flush()
         link_depth = 0
         if token[1]:
-            at = here
-            while at is not None and at.tag != tag:
-                at = at.parent
-            if at is not None and at.parent is not None:
-                here = at.parent
+            if opened[tag] > 0:
+                while here.tag != tag:
+                    here = leave(here)
+                here = leave(here)
             continue
         if tag in ("html", "body"):
             continue
         while here.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (here.tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-            here = here.parent
-        inside = here
-        while inside is not None and inside.tag != "article":
-            inside = inside.parent
-        label, aside = _declared(tag, token[3], inside is not None)
+            here = leave(here)
+        label, aside = _declared(tag, token[3], opened["article"] > 0)
         node = Node(tag, label, here, aside)
         here.children.append(node)
         if tag not in VOID:
             here = node
+            opened[tag] += 1
     flush()
     return root
 
 
-#: Pairs of children that one alignment compares by their subtrees; longer lists are aligned by labels.
-_PAIRS = 20_000
+#: Pairs of children from which an alignment works on classes of children and on whole rows at a time, and cells that it holds at once.
+_PAIRS, _CELLS = 20_000, 4_000_000
 #: How deep below two nodes their subtrees are compared to align them.
 _DEEP = 60
 #: Results that a host's matching keeps; beyond, it starts anew.
@@ -279,7 +313,7 @@ class Matching:
         while hi < most - lo and self.equal(left[-1 - hi], right[-1 - hi]):
             hi += 1
         a, b = left[lo : len(left) - hi], right[lo : len(right) - hi]
-        middle = self._by_weight(a, b) if len(a) * len(b) <= _PAIRS else self._by_label(a, b)
+        middle = self._by_weight(a, b) if len(a) * len(b) <= _PAIRS else self._by_rows(a, b)
         return [*zip(left[:lo], right[:lo]), *middle, *(zip(left[len(left) - hi :], right[len(right) - hi :]) if hi else ())]
 
     def _by_weight(self, a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
@@ -307,37 +341,104 @@ class Matching:
                 j += 1
         return out
 
-    @staticmethod
-    def _by_label(a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
-        """Children with the same label and the same number of such before them, as many as are in order in both lists."""
-        places: dict[tuple[str, int], int] = {}
-        count: dict[str, int] = {}
-        for i, x in enumerate(a):
-            n = count[x.label] = count.get(x.label, -1) + 1
-            places[x.label, n] = i
-        count.clear()
-        found = []
-        for j, y in enumerate(b):
-            n = count[y.label] = count.get(y.label, -1) + 1
-            if (i := places.get((y.label, n))) is not None:
-                found.append((i, j))
-        # the longest rising run of places, by patience sorting
-        tops: list[int] = []
-        at: list[int] = []
-        before: list[int] = []
-        for k, (i, _) in enumerate(found):
-            pile = bisect_left(tops, i)
-            before.append(at[pile - 1] if pile else -1)
-            if pile == len(tops):
-                tops.append(i)
-                at.append(k)
+    def _by_rows(self, a: list[Node], b: list[Node]) -> list[tuple[Node, Node]]:
+        """As _by_weight for long lists, with the same weight: children of equal keys weigh the same, a row of the table is one operation, and tables beyond _CELLS are halved."""
+        shared: set[str] = set()  # texts of the page's children that the wrapper knows: nodes of the wrapper are alike if they differ in others alone
+        stack = list(b)
+        while stack:
+            node = stack.pop()
+            if node.text is not None and node.text in self._texts:
+                shared.add(node.text)
+            stack += node.children
+        kinds: dict[tuple, int] = {}
+        rows = np.array([_kind(x, shared, kinds) for x in a])
+        columns = np.array([x.key for x in b])
+        (_, some_a, rows), (_, some_b, columns) = (np.unique(x, return_index=True, return_inverse=True) for x in (rows, columns))
+        weights = np.array([[self.weight(a[i], b[j]) for j in some_b] for i in some_a], np.int64)
+        return [(a[i], b[j]) for i, j in aligned(rows, columns, weights)]
+
+
+def _kind(root: Node, shared: set[str], kinds: dict[tuple, int]) -> int:
+    """A number for what a wrapper's subtree is like, as far as these texts tell."""
+    order, stack, known = [], [root], {}
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += node.children
+    for node in reversed(order):
+        shape = (node.label, tuple([known[id(x)] for x in node.children]), frozenset(node.seen & shared))
+        known[id(node)] = kinds.setdefault(shape, len(kinds))
+    return known[id(root)]
+
+
+def _row(last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The best totals of the first columns, by their number, with one more row: weights of 0 are no match, and add nothing."""
+    best = last.copy()
+    np.maximum(best[1:], last[:-1] + weights, out=best[1:])
+    return np.maximum.accumulate(best)
+
+
+def aligned(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
+    """Places of the heaviest alignment in order of two lists of classes; weights of 0 don't match.
+
+    Children at an end of both lists match if neither weighs more with any other: whatever else an alignment pairs one
+    of them with may be put in the other's place. What is left between the ends goes through the table.
+    """
+    out: list[tuple[int, int]] = []
+    weights = weights.astype(np.int32)
+    best = (weights > 0) & (weights >= weights.max(axis=1, keepdims=True)) & (weights >= weights.max(axis=0, keepdims=True))
+    stack = [(0, len(rows), 0, len(columns))]
+    while stack:
+        top, end, left, right = stack.pop()
+        k = min(end - top, right - left)
+        at_start = best[rows[top : top + k], columns[left : left + k]]
+        lo = k if at_start.all() else int(np.argmin(at_start))
+        at_end = best[rows[end - k + lo : end], columns[right - k + lo : right]][::-1]
+        hi = k - lo if at_end.all() else int(np.argmin(at_end))
+        out += zip(range(top, top + lo), range(left, left + lo))
+        out += zip(range(end - hi, end), range(right - hi, right))
+        top, end, left, right = top + lo, end - hi, left + lo, right - hi
+        n, m = end - top, right - left
+        if not n or not m:
+            continue
+        halve = n > 1 and (n + 1) * (m + 1) > _CELLS
+        ahead, back = columns[left:right], columns[left:right][::-1]
+        known: dict[tuple[int, bool], np.ndarray] = {}
+
+        def of(i: int, own: np.ndarray, few: bool = len(weights) * m <= _CELLS) -> np.ndarray:
+            """A row's weights; with few classes each is looked up once."""
+            key = int(rows[i]), own is ahead
+            found = known.get(key)
+            if found is None:
+                found = weights[rows[i]].take(own)
+                if few:
+                    known[key] = found
+            return found
+
+        if halve:
+            middle = top + n // 2
+            above = below = np.zeros(m + 1, np.int32)
+            for i in range(top, middle):
+                above = _row(above, of(i, ahead))
+            for i in range(end - 1, middle - 1, -1):  # rows and columns from their ends
+                below = _row(below, of(i, back))
+            cut = left + int(np.argmax(above + below[::-1]))
+            stack += [(middle, end, cut, right), (top, middle, left, cut)]
+            continue
+        size = np.zeros((n + 1, m + 1), np.int32)  # by the number of columns from the end
+        for i in range(n - 1, -1, -1):
+            size[i] = _row(size[i + 1], of(top + i, back))
+        i = j = 0
+        while i < n and j < m:
+            w = weights[rows[top + i], ahead[j]]
+            if w and size[i, m - j] == w + size[i + 1, m - j - 1]:
+                out.append((top + i, left + j))
+                i, j = i + 1, j + 1
+            elif size[i, m - j] == size[i + 1, m - j]:
+                i += 1
             else:
-                tops[pile], at[pile] = i, k
-        out, k = [], at[-1] if at else -1
-        while k >= 0:
-            out.append((a[found[k][0]], b[found[k][1]]))
-            k = before[k]
-        return out[::-1]
+                j += 1
+    return sorted(out)
 
 
 def match_trees(matching: Matching, page: Node, grow: bool = False) -> int:
