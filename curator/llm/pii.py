@@ -213,6 +213,25 @@ def walked_day(day: Column, key: str, fits) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: s["day"])
 
 
+def _ssn(value: Column, key: str) -> Column:
+    """A social security number among such ones, a taxpayer's number of the same form (areas 900 to 999) among those; None if it can't be one: area 000 or 666, group 00 or serial number 0000."""
+
+    def read(d: Column) -> Column:
+        area, group, serial = F.left(d, F.lit(3)).cast("bigint"), F.substr(d, F.lit(4), F.lit(2)).cast("bigint"), F.right(d, F.lit(4)).cast("bigint")
+        taxpayer = area >= 900
+        place = F.when(taxpayer, area - 900).when(area > 666, area - 2).otherwise(area - 1)
+        pair = feistel(place, (group - 1) * 9999 + serial - 1, F.when(taxpayer, 100).otherwise(898).cast("bigint"), F.lit(99 * 9999).cast("bigint"), key, "ssn")
+        padded = lambda number, width: F.lpad(number.cast("bigint").cast("string"), width, "0")
+
+        def spelled(p: Column) -> Column:
+            new_area = F.when(taxpayer, p["l"] + 900).when(p["l"] >= 665, p["l"] + 2).otherwise(p["l"] + 1)
+            return F.concat(padded(new_area, 3), padded(F.floor(p["r"] / 9999) + 1, 2), padded(F.pmod(p["r"], F.lit(9999)) + 1, 4))
+
+        return F.when(~area.isin(0, 666) & (group > 0) & (serial > 0), _respelled(value, _let(pair, spelled)))
+
+    return _let(_digits(value), read)
+
+
 def _date(value: Column, key: str) -> Column:
     """A date in the order, digits and signs that it has; None if it is no date of the years 400 to 9999.
 
@@ -286,7 +305,7 @@ def pseudonym(value: Column, key: str) -> Column:
         .when(whole(ACCESS_KEY), F.concat(F.left(value, F.lit(4)), _spelled(F.substr(value, F.lit(5)), key, "access")))
         .when(whole(DATE), _date(value, key))
         .when(whole(IPV4), F.when(F.forall(octets, lambda x: x <= 255), permuted_ipv4(value, key)))
-        .when(whole(SSN), _respelled(value, permuted_digits(digits, key, "ssn")))
+        .when(whole(SSN), _ssn(value, key))
         .when(whole(PHONE), F.when(F.length(local).between(7, 15), _respelled(value, F.concat(F.left(digits, country), permuted_digits(local, key, "phone")))))
         .when(whole(CARD), _card(value, key))
         .when(whole(IBAN), _iban(value, key))

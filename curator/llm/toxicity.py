@@ -101,9 +101,17 @@ class Lexicon:
                 spared.append((begin, end))
             elif begin not in best or best[begin][2] < weight:
                 best[begin] = (end, entry, weight)
-        if spared:
-            best = {b: x for b, x in best.items() if not any(lo <= b and x[0] <= hi for lo, hi in spared)}
-        return list(best.values())
+        if not spared:
+            return list(best.values())
+        spared.sort()
+        left, at, reach = [], 0, -1
+        for begin in sorted(best):  # covered if one of the exceptions that began by here ends no sooner
+            while at < len(spared) and spared[at][0] <= begin:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if best[begin][0] > reach:
+                left.append(best[begin])
+        return left
 
     def measures(self, text: str) -> tuple[float, float]:
         """The logarithms of the summed weights and of their sum for a hundred words."""

@@ -322,7 +322,12 @@ def respelled(value, digits):
 def plain_pseudonym(kind, value, key):
     digits = re.sub(r"\D", "", value)
     if kind == "ssn":
-        return respelled(value, plain_digits(digits, key, "ssn"))
+        area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+        if area in (0, 666) or not group or not serial:
+            return value
+        areas = [*range(900, 1000)] if area >= 900 else [x for x in range(1, 900) if x != 666]
+        a, b = plain_feistel(areas.index(area), (group - 1) * 9999 + serial - 1, len(areas), 99 * 9999, key, "ssn")
+        return respelled(value, f"{areas[a]:03}{b // 9999 + 1:02}{b % 9999 + 1:04}")
     if kind == "card":
         if luhn(digits):
             return value
@@ -399,6 +404,13 @@ def test_exceptions_and_length():
     assert lexicon.score("you trash") > lexicon.score("you trash " + "word " * 500) > lexicon.score("word " * 50)
 
 
+def test_many_exceptions_in_one_text_are_swept_once():
+    lexicon = Lexicon({" trash ": 3.0, " tr": 1.0}, [" trash can ", " the trash "])
+    text = fold("the trash can, trash it. " * 40_000)
+    begun = time.perf_counter()
+    assert len(lexicon.hits(text)) == 40_000 and time.perf_counter() - begun < 10
+
+
 def test_hits_equal_a_naive_search():
     """Entries at the beginnings of words and whole words, exceptions over them, of entries that begin together the heaviest."""
     rng = random.Random(31)
