@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -70,15 +70,38 @@ def retained(files: DataFrame, modified: str, as_of: str, days: int) -> DataFram
     return files.where(F.col(modified) >= F.expr(f"timestamp_ntz'{as_of}'") - F.expr(f"interval {int(days)} days"))
 
 
-def replayed(log: DataFrame, key: str, event: str, order: list[str], start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
+def replayed(log: DataFrame, key: str, event: str, order: list[str], start: str, moves: dict[tuple[str, str], str], piece: int = 1024) -> DataFrame:
     """(key, state): where each key's events, in order, lead by the allowed moves (state, event) -> state; others change nothing.
 
-    A key's events are one array: meant for logs of items, whose number of events is small.
+    A run of events is what it makes of every state, and two runs that follow each other are one again. The log is dealt
+    by ranges of key and order, so a key of any size is in many tasks; runs of at most `piece` rows are folded, until a
+    key has no more than that. A null event changes nothing, a null key is one of its own.
     """
+    states = sorted({start, *(s for s, _ in moves), *moves.values()})
     table = F.create_map(*[F.lit(x) for (s, e), to in moves.items() for x in (f"{s}>{e}", to)])
-    events = F.sort_array(F.collect_list(F.struct(*order, F.col(event).alias("_e"))))
-    step = lambda s, x: F.coalesce(F.try_element_at(table, F.concat(s, F.lit(">"), x["_e"])), s)
-    return log.groupBy(key).agg(events.alias("_log")).select(key, F.aggregate("_log", F.lit(start), step).alias("state"))
+    same = F.array(*map(F.lit, states))
+    place = lambda s: (F.array_position(same, s) - 1).cast("int")
+    moved = lambda to, e: F.transform(to, lambda s: F.coalesce(F.try_element_at(table, F.concat(s, F.lit(">"), e)), s))
+    joined = lambda to, run: F.transform(to, lambda s: F.get(run, place(s)))
+
+    def folded(rows: DataFrame, by: list[str], value: str, step, tasks: int) -> DataFrame:
+        """(key, _at, _to) of each run of rows that lie together; a row's number counts within its range, and ranges count first."""
+        dealt = rows.repartitionByRange(tasks, key, *by).sortWithinPartitions(key, *by).withColumn("_n", F.monotonically_increasing_id())
+        runs = dealt.groupBy(key, F.floor(F.col("_n") / piece).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_n", F.col(value).alias("_v")))).alias("_run"))
+        return written(runs.select(key, "_at", F.aggregate("_run", same, lambda to, x: step(to, x["_v"])).alias("_to")))
+
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = folded(log.select(key, *order, F.col(event).alias("_e")), order, "_e", moved, tasks)
+    while True:
+        most, n = runs.groupBy(key).count().agg(F.max("count"), F.sum("count")).first()
+        if (most or 0) <= piece:
+            break
+        # many runs a task, else a key that lies in all tasks would have a run of each for ever
+        before, runs = runs, folded(runs, ["_at"], "_to", joined, max(1, min(tasks, n // (16 * piece))))
+        dropped(before)
+    every = runs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_to"))).alias("_run"))
+    return every.select(key, F.get(F.aggregate("_run", same, lambda to, x: joined(to, x["_to"])), F.lit(states.index(start))).alias("state"))
 
 
 def pending(items: DataFrame, waits: Column, key: str = "id", most: int = 50, each: int = 10) -> DataFrame:

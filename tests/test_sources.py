@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,22 @@ def test_replay_and_safe_html(spark):
     assert (row.h, row.t) == ("<p>ab</p>", "a<br>b")
 
 
+def test_replay_of_keys_of_any_size(spark):
+    """A key of most rows is folded in runs over several levels; null keys, null events and an empty log."""
+    chance = random.Random(3)
+    moves = {("a", "x"): "b", ("b", "x"): "c", ("c", "y"): "a", ("b", "y"): "a", ("a", "z"): "c"}
+    rows = [(1 if chance.random() < 0.8 else chance.choice([2, 3, 4, None]), at, chance.choice(["x", "y", "z", "no", None])) for at in range(3000)]
+    want = {}
+    for k, _, e in rows:
+        s = want.get(k, "a")
+        want[k] = moves.get((s, e), s)
+    chance.shuffle(rows)
+    log = spark.createDataFrame(rows, "k int, at int, e string").repartition(5)
+    for piece in (4, 64, 1024):
+        assert {r.k: r.state for r in S.replayed(log, "k", "e", ["at"], "a", moves, piece).collect()} == want
+    assert S.replayed(log.limit(0), "k", "e", ["at"], "a", moves).count() == 0
+
+
 def test_rule_links(spark):
     html = (
         '<a href="/x/20240203/a.html" title="The title attribute">short</a><a href="/x/20240203/a.html">The same link again</a><a href="/x/20249903/b.html">A title of some length</a>'
