@@ -1,9 +1,11 @@
 """Lexicons as tables: which terms are in which text, by an index of the terms' first characters.
 
 `functions.lexicon` compiles a test for each keyword into the plan, which is fastest for a few hundred of them. Here the
-lexicon is a table that may change without a new plan: texts become windows that begin at each of their characters,
-windows meet terms that begin alike in an equi-join, and only those are compared. The cost is that of the texts' length
-plus what begins alike, and not that of texts times terms. A lexicon below Spark's own broadcast threshold isn't shuffled.
+lexicon is a table that may change without a new plan. Short pieces of a text give the different groups of a few
+characters in them, which meet terms that begin with one in a join with the broadcast lexicon; only those terms are
+looked for in the piece, so nothing but what was found is shuffled. A lexicon too large for that meets windows that begin at
+each character. The cost is that of the texts' length plus what begins alike, and not that of texts times terms; only a few
+hundred terms are looked for one by one in whole texts, which is faster than to take those apart.
 """
 
 from __future__ import annotations
@@ -11,30 +13,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: First characters that texts and terms meet by, and characters of a text that one task takes apart at a time.
-HEAD = 3
-PIECE = 2048
+#: First characters that texts and terms meet by (as many of these as a term has), and characters of a text that are taken apart at a time.
+HEADS = (1, 2, 4, 6)
+HEAD = HEADS[-1]
+PIECE = 1024
+#: Bytes of terms, with what goes with them, up to which a lexicon is broadcast.
+BROADCAST = 8 << 20
+#: Terms up to which each is looked for in each text.
+FEW = 300
 
 
 def indexed(lexicon: DataFrame, term: str = "term") -> DataFrame:
     """lexicon without null and empty terms, and head, the first characters of a term."""
-    return lexicon.where(F.length(term) > 0).withColumn("head", F.left(F.col(term), F.lit(HEAD)))
+    size = F.lit(HEADS[0])
+    for n in HEADS[1:]:
+        size = F.when(F.length(term) >= n, n).otherwise(size)
+    return lexicon.where(F.length(term) > 0).withColumn("head", F.left(F.col(term), size))
 
 
 def terms_found(items: DataFrame, lexicon: DataFrame, key: str = "id", text: str = "text", term: str = "term", by: tuple[str, ...] = ()) -> DataFrame:
     """(key, *by, term): the distinct terms of a lexicon in each text, as plain substrings, case-sensitive. `by` are further columns of the lexicon.
 
-    Texts of rows that share a key count together; null and empty texts have none, nor has an empty lexicon. Windows are as
-    wide as the longest term, which is what a lexicon beyond the broadcast threshold shuffles for each character.
+    Texts of rows that share a key count together; null and empty texts have none, nor has an empty lexicon. Windows, which a
+    lexicon of more than BROADCAST bytes shuffles for each character, are as wide as the longest term.
     """
     own = indexed(lexicon.select(*by, term), term).distinct().select(*[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col(term).alias("_term"), "head")
-    sizes = own.agg(F.max(F.length("_term")).alias("longest"), F.collect_set(F.length("head")).alias("heads")).first()
+    size = sum((F.coalesce(F.octet_length(c if kind == "binary" else F.col(c).cast("string")), F.lit(0)) for c, kind in own.dtypes), F.lit(64))
+    sizes = own.agg(F.max(F.length("_term")).alias("longest"), F.collect_set(F.length("head")).alias("heads"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     longest = sizes["longest"] or 1
+    small = (sizes["bytes"] or 0) <= BROADCAST
     pieces = items.select(F.col(key).alias("_key"), F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{1,{PIECE + longest - 1}}})).{{1,{PIECE}}}"), F.lit(1))).alias("_piece"))
-    windows = pieces.select("_key", F.explode(F.regexp_extract_all("_piece", F.lit(rf"(?s)(?=(.{{1,{longest}}}))."), F.lit(1))).alias("_window"))
-    heads = [F.left(F.col("_window"), F.lit(n)) for n in sorted(sizes["heads"])] or [F.lit(None).cast("string")]
-    keyed = windows.select("_key", "_window", F.explode(F.array(*heads)).alias("head")) if len(heads) > 1 else windows.select("_key", "_window", heads[0].alias("head"))
-    hits = keyed.join(own, "head").where(F.startswith("_window", "_term"))
+    if small and sizes["n"] <= FEW:
+        whole = items.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length("_text") > 0)
+        hits = whole.join(F.broadcast(own), F.contains("_text", "_term"))
+    elif small:
+        groups = [F.array_distinct(F.regexp_extract_all("_piece", F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))) for n in sorted(sizes["heads"])]
+        keyed = pieces.select("_key", "_piece", F.explode(F.concat(*groups) if groups else F.array().cast("array<string>")).alias("head"))
+        hits = keyed.join(F.broadcast(own), "head").where(F.contains("_piece", "_term"))
+    else:
+        windows = pieces.select("_key", F.explode(F.regexp_extract_all("_piece", F.lit(rf"(?s)(?=(.{{1,{longest}}}))."), F.lit(1))).alias("_window"))
+        heads = [F.left(F.col("_window"), F.lit(n)) for n in sorted(sizes["heads"])]
+        keyed = windows.select("_key", "_window", F.explode(F.array(*heads)).alias("head"))
+        hits = keyed.join(own, "head").where(F.startswith("_window", "_term"))
     return hits.select(F.col("_key").alias(key), *[F.col(f"_by_{i}").alias(c) for i, c in enumerate(by)], F.col("_term").alias(term)).distinct()
 
 

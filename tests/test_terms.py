@@ -82,3 +82,21 @@ def test_pending_rows_are_the_newest_in_batches(spark):
     rows = [tuple(r) for r in pending(items, F.col("waits"), most=25, each=10).select("id", "batch").collect()]
     assert sorted(rows, reverse=True) == [(98 - 2 * i, i // 10) for i in range(25)]
     assert pending(items.limit(0), F.col("waits")).count() == 0
+
+
+def test_every_way_finds_the_same_and_none_of_a_small_lexicon_shuffles_windows(spark, monkeypatch):
+    from curator.operators import terms as module
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcé😀\n") for _ in range(n))
+    texts = [word(n) for n in [0, 1, 5, 40, 2 * PIECE + 3]] + [None]
+    terms = sorted({("g", 1, word(rng.randrange(1, 12))) for _ in range(80)})
+    items, lexicon = _rows(spark, texts, terms)
+    want = {(i, t) for i, text in enumerate(texts) if text for _, _, t in terms if t in text}
+    for few, most, join in [(300, 1 << 20, "BroadcastNestedLoopJoin"), (0, 1 << 20, "BroadcastHashJoin"), (0, 0, None)]:
+        monkeypatch.setattr(module, "FEW", few)
+        monkeypatch.setattr(module, "BROADCAST", most)
+        found = terms_found(items, lexicon, by=("criterion",))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.term) for r in found.collect()} == want
+        assert join is None or (join in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan)
