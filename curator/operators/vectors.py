@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 DIMENSIONS, SMALLEST, LARGEST, SEEN = 384, 2, 4, 1024
 #: Items that a group of the search holds, about.
 CHUNK = 20_000
+#: N-grams whose slots a task remembers, and keys whose components it gives at once.
+KNOWN, TOGETHER = 500_000, 256
 
 
 def _chunk(digest: Column, i: int) -> Column:
@@ -28,19 +33,67 @@ def hash_slot(gram: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def hashed_ngrams(items: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, idx, value): the non-zero components of each text's vector, of length one. Equal n-grams are hashed once a text."""
-    seen = F.lower(F.substring(F.trim(text, F.lit(" \t\n\x0b\f\r")), 1, SEEN))
-    grams = F.flatten(F.array(*[_grams(n) for n in range(SMALLEST, LARGEST + 1)]))
-    rows = items.select(F.col(key).alias("_v_key"), seen.alias("_v_t")).select("_v_key", F.explode(grams).alias("gram"))
-    counted = rows.groupBy("_v_key", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", hash_slot(F.col("gram"), dimensions))
-    sums = counted.groupBy("_v_key", F.col("slot.idx").alias("idx")).agg(F.sum(F.col("n") * F.col("slot.sign")).alias("v")).where("v <> 0")
-    norms = sums.groupBy("_v_key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, "_v_key").select(F.col("_v_key").alias(key), "idx", (F.col("v") / F.col("norm")).alias("value"))
-
+    """(key, idx, value): the non-zero components of each text's vector, of length one. Texts of rows that share a key count together.
 
-def _grams(n: int) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length("_v_t") - (n - 1), F.lit(1)))
-    return F.when(F.length("_v_t") >= n, F.transform(at, lambda i: F.substr(F.col("_v_t"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    What is shuffled is the text as far as it is seen, once; its n-grams, some three for each character, stay in the
+    task that adds them up. Rows of a key follow each other, so a task holds the sums of one key at a time.
+    """
+    seen = F.lower(F.substring(F.trim(text, F.lit(" \t\n\x0b\f\r")), 1, SEEN))
+    rows = items.select(F.col(key).alias("_v_key"), seen.alias("_v_t")).repartition("_v_key").sortWithinPartitions("_v_key")
+    kind = rows.schema["_v_key"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: _components(batches, dimensions), f"_v_key {kind}, idx int, value double").withColumnRenamed("_v_key", key)
+
+
+def slot_of(gram: str, dimensions: int = DIMENSIONS) -> int:
+    """hash_slot of one text: idx, or idx + dimensions where the sign is negative."""
+    return int.from_bytes(hashlib.md5(gram.encode()).digest(), "big") % (2 * dimensions)
+
+
+class _Slots(dict):
+    """Slots of the n-grams seen so far."""
+
+    def __missing__(self, gram: str) -> int:
+        slot = self[gram] = slot_of(gram, self.dimensions)
+        return slot
+
+
+def _components(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
+    """The components of rows that are sorted by key."""
+    slots = _Slots()
+    slots.dimensions = dimensions
+    last: tuple | None = None  # the key whose sums aren't complete yet
+    sums = np.zeros(dimensions, np.int64)
+
+    def counted(text: str | None) -> np.ndarray:
+        text = text or ""
+        both = np.bincount(np.array([slots[text[i : i + n]] for n in range(SMALLEST, LARGEST + 1) for i in range(len(text) - n + 1)], np.int64), minlength=2 * dimensions)
+        if len(slots) > KNOWN:
+            slots.clear()
+        return both[:dimensions] - both[dimensions:]
+
+    for batch in batches:
+        keys, done = batch.column(0), []
+        for at, (name, text) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist())):
+            if last is not None and last[0] != name:
+                done.append((last[1], sums))
+                sums = np.zeros(dimensions, np.int64)
+            last = (name, keys.slice(at, 1))
+            sums = sums + counted(text)
+            if len(done) >= TOGETHER:
+                yield _table(done, batch.schema.field(0).type)
+                done = []
+        if done:
+            yield _table(done, batch.schema.field(0).type)
+    if last is not None:
+        yield _table([(last[1], sums)], last[1].type)
+
+
+def _table(done: list[tuple[pa.Array, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+    matrix = np.stack([sums for _, sums in done])
+    norms = np.sqrt((matrix * matrix).sum(axis=1).astype(float))
+    row, idx = np.nonzero(matrix)
+    keys = pa.concat_arrays([name for name, _ in done]).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([keys.cast(kind), pa.array(idx.astype(np.int32)), pa.array(matrix[row, idx] / norms[row])], ["_v_key", "idx", "value"])
 
 
 def dense(components: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -208,3 +208,26 @@ def test_hits_have_their_places(spark):
     want = [(i, r.name, m.start(), m[0], t[max(0, m.start() - 2) : m.end() + 2]) for i, t in texts.items() if t for r in rules for m in re.finditer(r.pattern, t, re.I)]
     assert sorted((r.id, r.rule, r.offset, r.found, r.context) for r in got) == sorted(want)
     assert all(texts[r.id][r.offset : r.offset + r.length] == r.found for r in got)
+
+
+def test_hashed_ngrams_of_repeated_keys_and_odd_texts_shuffle_texts_once(spark):
+    import math
+
+    from curator.operators import vectors
+
+    rows = [(1, "Abab\t"), (2, None), (3, ""), (1, " xé😀"), (4, "q"), (None, "zz"), (None, "zzz")] + [(i, "text %d " % i * 200) for i in range(10, 20)]
+    made = vectors.hashed_ngrams(spark.createDataFrame(rows, "k bigint, t string").repartition(3), "k", F.col("t"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+    want = {}
+    for key, text in rows:
+        seen = (text or "").strip(" \t\n")[:1024].lower()
+        for n in (2, 3, 4):
+            for i in range(len(seen) - n + 1):
+                slot = vectors.slot_of(seen[i : i + n])
+                at = (key, slot % 384)
+                want[at] = want.get(at, 0) + (1 if slot < 384 else -1)
+    norms = {}
+    for (key, _), v in want.items():
+        norms[key] = norms.get(key, 0) + v * v
+    assert {(r.k, r.idx): r.value for r in made.collect()} == {(k, i): v / math.sqrt(norms[k]) for (k, i), v in want.items() if v}
