@@ -231,3 +231,32 @@ def test_hashed_ngrams_of_repeated_keys_and_odd_texts_shuffle_texts_once(spark):
     for (key, _), v in want.items():
         norms[key] = norms.get(key, 0) + v * v
     assert {(r.k, r.idx): r.value for r in made.collect()} == {(k, i): v / math.sqrt(norms[k]) for (k, i), v in want.items() if v}
+
+
+def test_pairs_in_squares_and_batches_equal_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(D, "FIRST", 16)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(9)] + ["ALPHA", "beta", "gamma"]
+    rows = [(i, i % 2, sorted(set(rng.choices(words, k=rng.randint(0, 5))))) for i in range(200)]
+    items = spark.createDataFrame(rows, "id bigint, g int, keywords array<string>")
+    like = lambda a, b: _similar(set(a), set(b)) >= D.SIMILARITY
+    kept = []
+    for i, g, own in rows:
+        if not any(rows[j][1] == g and like(own, rows[j][2]) for j in kept):
+            kept.append(i)
+    assert sorted(r.id for r in D.greedy_kept(items, CORE, by=("g",)).collect()) == kept
+    first = {}
+    for i, _, own in rows:
+        if own:
+            first.setdefault(tuple(own), i)
+    monkeypatch.setattr(D, "SQUARE", 7)
+    want = {(i, first[tuple(own)], sum(like(own, x) for x in first if x != tuple(own))) for i, _, own in rows if own}
+    counted = D.link_counts(items, CORE)
+    assert {tuple(r) for r in counted.collect()} == want
+    best = {}
+    for i, _, own in rows:
+        near = [(-min(1.0, _similar(set(own), set(o))), j) for j, _, o in rows if j % 3 == 0 and like(own, o)]
+        if i % 3 and near:
+            best[i] = min(near)[1]
+    found = D.similar_to_processed(items.where("id % 3 <> 0"), items.where("id % 3 = 0").withColumnRenamed("id", "seq"), CORE)
+    assert {r.id: r.seq for r in found.collect()} == best
