@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 DIMENSIONS, SMALLEST, LARGEST, SEEN = 384, 2, 4, 1024
 #: Items that a group of the search holds, about.
 CHUNK = 20_000
+#: Queries of a group whose cosines are in memory at once.
+ROWS = 256
 #: N-grams whose slots a task remembers, and keys whose components it gives at once.
 KNOWN, TOGETHER = 500_000, 256
 
@@ -129,18 +131,21 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_i
             matrix = lambda at: vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(length))  # noqa: B023, E731
             unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             mine, theirs = rows(True), rows(False)
-            q = unit(matrix(mine))
-            ids, scores = np.zeros((len(q), 0), names.dtype), np.zeros((len(q), 0))
+            parts = [mine[lo : lo + ROWS] for lo in range(0, len(mine), ROWS)]
+            tops = [(np.zeros((len(p), 0), names.dtype), np.zeros((len(p), 0))) for p in parts]
             for lo in range(0, len(theirs), 2000):
                 at = theirs[lo : lo + 2000]
-                cosine = q @ unit(matrix(at)).T
-                cosine[names[mine][:, None] == names[at][None, :]] = -np.inf
-                ids = np.concatenate([ids, np.broadcast_to(names[at], cosine.shape)], axis=1)
-                scores = np.concatenate([scores, cosine], axis=1)
-                order = np.lexsort((ids, -scores), axis=1)[:, :k]
-                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-            keep = np.isfinite(scores)
-            out.append((np.broadcast_to(names[mine][:, None], scores.shape)[keep], ids[keep], scores[keep]))
+                other = unit(matrix(at)).T
+                for n, part in enumerate(parts):
+                    cosine = unit(matrix(part)) @ other
+                    cosine[names[part][:, None] == names[at][None, :]] = -np.inf
+                    ids = np.concatenate([tops[n][0], np.broadcast_to(names[at], cosine.shape)], axis=1)
+                    scores = np.concatenate([tops[n][1], cosine], axis=1)
+                    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                    tops[n] = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+            for part, (ids, scores) in zip(parts, tops):
+                keep = np.isfinite(scores)
+                out.append((np.broadcast_to(names[part][:, None], scores.shape)[keep], ids[keep], scores[keep]))
         return pa.table(dict(zip(("query", "item", "cosine"), map(np.concatenate, zip(*out)))))
 
     kind = items.schema[key].dataType.simpleString()

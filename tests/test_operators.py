@@ -260,3 +260,16 @@ def test_pairs_in_squares_and_batches_equal_a_scan(spark, monkeypatch):
             best[i] = min(near)[1]
     found = D.similar_to_processed(items.where("id % 3 <> 0"), items.where("id % 3 = 0").withColumnRenamed("id", "seq"), CORE)
     assert {r.id: r.seq for r in found.collect()} == best
+
+
+def test_top_k_holds_the_cosines_of_some_queries_at_once(spark, monkeypatch):
+    import numpy as np
+
+    from curator.operators import vectors
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.standard_normal(5).tolist()) for i in range(40)], "vec_id bigint, embedding array<double>")
+    rows = lambda: sorted((r["query"], r["rank"], r["item"], round(r["cosine"], 9)) for r in vectors.cosine_top_k(df, df, 4).collect())
+    want = rows()
+    monkeypatch.setattr(vectors, "ROWS", 3)
+    assert rows() == want and len(want) == 160
