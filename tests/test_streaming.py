@@ -83,3 +83,34 @@ def test_states_that_end_by_themselves_with_late_events(spark, tmp_path):
             state, since = expiring[state][1], since + expiring[state][0]
         want[user] = state
     assert {k: s for k, (s, _) in got.items()} == want and len(set(want.values())) > 1
+
+
+def test_a_key_waits_for_one_timer_whatever_its_events():
+    """A timer and a list entry for each event cost a call each: a key's batch takes one of both, and the next timer is set when that one ends."""
+    import types
+
+    import pandas as pd
+
+    from curator.streaming.timers import Machine
+
+    class State:
+        def __init__(self):
+            self.value, self.entries, self.timers = None, [], []
+
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    machine, waiting, timers = State(), State(), []
+    waiting.get, waiting.appendValue, waiting.put, waiting.clear = lambda: iter(waiting.entries), waiting.entries.append, lambda v: waiting.entries.__setitem__(slice(None), v), lambda: waiting.entries.clear()
+    waiting.appendList = waiting.entries.extend
+    handle = types.SimpleNamespace(getValueState=lambda *_: machine, getListState=lambda *_: waiting, registerTimer=timers.append)
+    own = Machine("idle", {("idle", "go"): "busy", ("busy", "stop"): "idle"}, {"busy": (1000, "late")})
+    own.init(handle)
+    events = pd.DataFrame({"at": range(100, 5100, 10), "place": range(500), "event": ["go", "stop"] * 249 + ["go", "nothing"]})
+    assert list(own.handleInputRows((1,), iter([events[250:], events[:250]]), None)) == []
+    assert timers == [100] and len(waiting.entries) == 2
+    run = lambda now: [r for df in own.handleExpiredTimer((1,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None) for r in df.itertuples(index=False, name=None)]
+    assert run(205) == [(1, "busy", 200, 205)]  # of 11 events, the last says go
+    assert 210 in timers and sum(len(at) for at, _, _ in waiting.entries) == 489
+    assert run(5090) == [(1, "busy", 5080, 5090)] and waiting.entries == [] and timers[-1] == 6080
+    assert run(6080) == [(1, "late", 6080, 6080)]
