@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fenced_json
+from .text import fenced_json, once
 
 # The fields of an analysis and of a comparison, and what a missing score counts as.
 SCORES = ("importance_score", "market_relevance_score", "uncertainty_score", "expert_explainability_score")
@@ -23,7 +23,7 @@ def analysis(text: Column) -> Column:
         parts = [F.coalesce(a[s], F.lit(NO_SCORE)).alias(s) for s in SCORES] + [a[t].alias(t) for t in TEXTS]
         return F.when(a.isNotNull() & a["_bad"].isNull(), F.struct(*parts, F.coalesce(a["keywords"], F.array().cast("array<string>")).alias("keywords")))
 
-    return F.get(F.transform(F.array(read), filled), F.lit(0))
+    return once(read, filled)
 
 
 def comparison(text: Column) -> Column:
@@ -35,4 +35,4 @@ def comparison(text: Column) -> Column:
         parts = [F.coalesce(a["opinion_conflict"], F.lit(False)).alias("opinion_conflict"), *(F.coalesce(a[t], F.lit("")).alias(t) for t in COMPARED)]
         return F.when(a.isNotNull() & a["_bad"].isNull(), F.struct(*parts))
 
-    return F.get(F.transform(F.array(read), filled), F.lit(0))
+    return once(read, filled)

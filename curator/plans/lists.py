@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
+from ..functions.lexicon import bound
 from ..functions.links import WEB_LINK_SQL, web_link
 from ..operators import rewrite as R
 from ..operators import state as S
 from ..sources import pages as P
-from ..sources.tables import NEWS_SQL, news, table
+from ..sources.tables import NEWS_SQL, news, spread, table
 from .curation import CORRECTIONS, PATTERNS, PREFIXES, TERMS, _POST, _prefix_sql
 from .registry import query
 
@@ -241,14 +242,15 @@ def alerts_by_setting(spark, sf_dir):
     FROM events WHERE event_id % 7 <> 0""")
 def parsed_answers(spark, sf_dir):
     """Analyses as fenced or bare JSON, with scores or keywords missing; answers that are cut off give no row."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "value", "event_type"))
     fields = F.struct(
         F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("importance_score"), F.col("event_type").alias("sentiment"), F.when(F.col("event_id") % 4 != 0, F.array(F.lit("a"), "event_type")).alias("keywords")
     )
-    json = F.to_json(fields)
+    events = bound(events, "json", F.to_json(fields))
+    json = F.col("json")
     json = F.when(F.col("event_id") % 7 == 0, F.left(json, F.length(json) - 2)).otherwise(json)
     said = F.when(F.col("event_id") % 5 == 0, json).when(F.col("event_id") % 5 == 1, F.concat(F.lit("Here it is: "), json, F.lit(" done"))).otherwise(F.concat(F.lit("So:\n```json\n"), json, F.lit("\n```\nok")))
-    own = events.select("event_id", A.analysis(said).alias("a")).where("a is not null")
+    own = bound(events, "a", A.analysis(said)).where("a is not null")
     return own.select("event_id", F.col("a.importance_score").alias("importance"), F.col("a.uncertainty_score").alias("uncertainty"), F.col("a.sentiment").alias("sentiment"), F.size("a.keywords").cast("bigint").alias("keywords"))
 
 
@@ -261,7 +263,7 @@ def compared_opinions(spark, sf_dir):
     )
     said = F.concat(F.lit("```\n"), F.to_json(fields), F.lit("\n```"))
     said = F.when(F.col("doc_id") % 11 == 0, F.lit('{"opinion_conflict": tr')).otherwise(said)
-    read = own.select(F.col("doc_id").alias("news_id"), A.comparison(said).alias("c")).where("c is not null")
+    read = bound(own.select(F.col("doc_id").alias("news_id"), said.alias("said")), "c", A.comparison(F.col("said"))).where("c is not null")
     return read.select("news_id", "c.opinion_conflict", "c.final_insight")
 
 

@@ -66,3 +66,27 @@ def test_fenced_objects(spark):
     assert got == ['{"a": {"b": 1}}', "[1]", '{"a": 3}', None]
     named = [r.j for r in spark.createDataFrame([(t,) for t in texts], "s string").select(X.answered(F.col("s"), "a").alias("j")).collect()]
     assert named == ['{"b":1}', "2", "3", None]
+
+
+def _copies(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(name)
+
+
+def test_texts_and_links_are_computed_once(spark, sf_dir):
+    """An expression that is named in many places is copied to each, and those of the copies' parts multiply."""
+    from curator.plans import QUERIES
+
+    text = F.reverse("s")
+    df = spark.createDataFrame([("}1 :\"a\"{ ees",)], "s string")
+    for f in (X.first_object, X.fenced_json, lambda t: X.answered(t, "a")):
+        assert _copies(df.select(f(text).alias("j")), "reverse(") == 1
+    assert df.select(X.first_object(text).alias("j")).first().j == '{"a": 1}'
+    assert _copies(QUERIES["parsed_answers"](spark, sf_dir), "from_json(") <= 1 and _copies(QUERIES["parsed_answers"](spark, sf_dir), "to_json(") <= 1
+
+
+def test_objects_of_any_depth(spark):
+    """The pattern reads a few levels, the fold the others and what isn't closed."""
+    deep = '{"a": ' * 12 + '"}\\"{"' + "}" * 12
+    texts = [f"so {deep} }}", deep[:-1], "{" * 5000 + "}" * 5000 + "}", '{"a": "' + '\\"}' * 20000 + '"} {', "}{", "no } object", '{"a": {"b": {"c": {"d": {"e": {}}}}}} {}']
+    want = [deep, None, "{" * 5000 + "}" * 5000, texts[3][:-2], None, None, texts[6][:-3]]
+    assert [r.j for r in spark.createDataFrame([(t,) for t in texts], "s string").select(X.first_object(F.col("s")).alias("j")).collect()] == want
