@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Scheme, authority with its slashes, path, query and fragment of a URL.
 URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -19,14 +21,20 @@ def url_part(url: Column, name: str) -> Column:
     return F.lower(part) if name == "scheme" else part
 
 
+def url_parts(url: Column) -> Column:
+    """struct of all of them."""
+    return F.struct(*[url_part(url, name).alias(name) for name in ("scheme", "authority", "path", "query", "fragment")])
+
+
 def folded_path(segments: Column) -> Column:
     """A path of segments, without . and .. among them; too many .. end at the root."""
     empty = F.array().cast("array<string>")
     up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-    done = F.aggregate(segments, empty, lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
-    folder = F.element_at(segments, -1).isin(".", "..")  # such a path names a folder
-    path = F.concat(F.array_join(done, "/"), F.when(folder, "/").otherwise(""))
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    step = lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    folder = lambda given: F.element_at(given, -1).isin(".", "..")  # noqa: E731 - such a path names a folder
+    path = lambda given: F.concat(F.array_join(F.when(F.exists(given, lambda s: s.isin(".", "..")), F.aggregate(given, empty, step)).otherwise(given), "/"), F.when(folder(given), "/").otherwise(""))
+    rooted = lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+    return once(segments, lambda given: once(path(given), rooted))
 
 
 def resolved(href: Column, base: Column) -> Column:
@@ -37,26 +45,29 @@ def resolved(href: Column, base: Column) -> Column:
     reference is the page itself. Null if either is null.
     """
     ref = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    of = lambda name: url_part(ref, name)
-    page = lambda name: url_part(base, name)
-    start = F.regexp_extract(page("path"), r"(?s)^(.*/)", 1)
-    merged = F.split(F.concat(F.when(start == "", "/").otherwise(start), of("path")), "/")
-    inner = F.filter(F.slice(merged, F.lit(2), F.size(merged) - 2), lambda s: s != "")
-    merged = F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1))
-    segments = F.when(of("path").startswith("/"), F.split(of("path"), "/")).otherwise(merged)
-    path = F.when((of("authority") != "") | ((of("path") == "") & (page("path") == "")), of("path")).when(of("path") == "", page("path")).otherwise(folded_path(segments))
-    query = F.when((of("authority") == "") & (of("path") == "") & (of("query") == ""), page("query")).otherwise(of("query"))
-    authority = F.when(of("authority") != "", of("authority")).otherwise(page("authority"))
+    both = F.struct(href.alias("href"), base.alias("base"), url_parts(ref).alias("ref"), url_parts(base).alias("page"))
+    return once(both, lambda b: _joined(b["href"], b["base"], b["ref"], b["page"]))
+
+
+def _joined(href: Column, base: Column, ref: Column, page: Column) -> Column:
+    start = F.regexp_extract(page["path"], r"(?s)^(.*/)", 1)
+    merged = F.split(F.concat(F.when(start == "", "/").otherwise(start), ref["path"]), "/")
+    inner = lambda m: F.filter(F.slice(m, F.lit(2), F.size(m) - 2), lambda s: s != "")
+    merged = once(merged, lambda m: F.concat(F.slice(m, 1, 1), inner(m), F.slice(m, -1, 1)))
+    segments = F.when(ref["path"].startswith("/"), F.split(ref["path"], "/")).otherwise(merged)
+    path = F.when((ref["authority"] != "") | ((ref["path"] == "") & (page["path"] == "")), ref["path"]).when(ref["path"] == "", page["path"]).otherwise(folded_path(segments))
+    query = F.when((ref["authority"] == "") & (ref["path"] == "") & (ref["query"] == ""), page["query"]).otherwise(ref["query"])
+    authority = F.when(ref["authority"] != "", ref["authority"]).otherwise(page["authority"])
     marked = lambda sign, part: F.when(part != "", F.concat(F.lit(sign), part)).otherwise("")
-    own = (of("scheme") != "") & (of("scheme") != page("scheme"))
-    joined = F.concat(page("scheme"), F.lit(":"), authority, path, marked("?", query), marked("#", of("fragment")))
+    own = (ref["scheme"] != "") & (ref["scheme"] != page["scheme"])
+    joined = F.concat(page["scheme"], F.lit(":"), authority, path, once(query, lambda q: marked("?", q)), marked("#", ref["fragment"]))
     return F.when(href == "", base).when(own, href).otherwise(joined)
 
 
 def web_link(href: Column, base: Column) -> Column:
     """resolved(), or null for what isn't a page on the web: javascript:, mailto:, data: and the like."""
-    link = resolved(F.replace(href, F.lit("&amp;"), F.lit("&")), base)
-    return F.when(link.rlike(r"(?i)^https?://[^/?#]"), link)
+    link = once(F.replace(href, F.lit("&amp;"), F.lit("&")), lambda h: resolved(h, base))
+    return once(link, lambda l: F.when(l.rlike(r"(?i)^https?://[^/?#]"), l))
 
 
 #: web_link(href, base) in DuckDB, over columns href and base; the path is folded as text there, cut at its last slash for each step up.

@@ -34,7 +34,7 @@ _ANCHOR = """(?is)<a\\s[^>]*?href=["'']?([^"''>\\s]*)["'']?[^>]*>(.*?)</a>"""
     SELECT source, page_id, rank, link, title, NULL::DATE AS day FROM d WHERE rank <= most""")
 def page_links_by_rule(spark, sf_dir):
     """Links by the rule of each page's source; these pages' links hold no dates."""
-    pages = table(spark, sf_dir, "pages").withColumn("source", F.regexp_extract("url", r"^[a-z]+://([a-z]+)\.", 1))
+    pages = spread(table(spark, sf_dir, "pages")).withColumn("source", F.regexp_extract("url", r"^[a-z]+://([a-z]+)\.", 1))
     return P.rule_links(pages, P.rule_table(spark, RULES))
 
 
@@ -95,7 +95,7 @@ _DATED_SQL = """SELECT source, page_id, place, title, regexp_extract(url, '^([a-
 def dated_links_of_list_pages(spark, sf_dir):
     """Links of several list pages of each source, which share some, with the day that stands in them in the source's own way."""
     places = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
-    own = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)/", 1).alias("source"), F.size(places).alias("n")).where("n > 0")
+    own = spread(table(spark, sf_dir, "pages")).select("page_id", "url", F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)/", 1).alias("source"), F.size(places).alias("n")).where("n > 0")
 
     def link(place):
         k = F.when(place % 3 == 0, place.cast("bigint")).otherwise(F.col("page_id") * 7 + place)
@@ -105,7 +105,7 @@ def dated_links_of_list_pages(spark, sf_dir):
         return F.concat(F.lit("<a href='"), href, F.lit("'>title "), place.cast("string"), F.lit("</a>"))
 
     html = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), link), "\n")
-    pages = own.select("source", "page_id", F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1), F.lit("/list/")).alias("url"), html.alias("html"))
+    pages = bound(own, "html", html).select("source", "page_id", F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1), F.lit("/list/")).alias("url"), "html")
     return P.rule_links(pages, P.rule_table(spark, _DATED))
 
 

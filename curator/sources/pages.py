@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import bound
 from ..functions.links import web_link
 
 
@@ -21,7 +22,7 @@ def anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 def links(pages: DataFrame, least_title: int, accept: str, most: int | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The link source that all crawlers share (links to other things than web pages are none): titles of some length, absolute URLs that a rule accepts, each once per page, the first `most`."""
-    fit = anchors(pages, key, url, html).where((F.col("href") != "") & (F.length("title") >= least_title)).withColumn("link", web_link(F.col("href"), F.col(url)))
+    fit = bound(anchors(pages, key, url, html).where((F.col("href") != "") & (F.length("title") >= least_title)), "link", web_link(F.col("href"), F.col(url)))
     fit = fit.where(F.col("link").rlike(accept))
     first = F.row_number().over(Window.partitionBy(key, "link").orderBy("place"))
     once = fit.withColumn("_n", first).where("_n = 1").drop("_n")
@@ -51,23 +52,25 @@ def rule_table(spark: SparkSession, rules: list[LinkRule]) -> DataFrame:
 
 
 def rule_links(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", source: str = "source") -> DataFrame:
-    """(source, key, rank, link, title, day) by the rule of each page's source: the first place of each link of the source's pages, in page order, as many as the rule takes of a page."""
+    """(source, key, rank, link, title, day) by the rule of each page's source: the first place of each link of the source's pages, in page order, as many as the rule takes of a page.
+
+    Rules, of which there are as many as sources, are broadcast: a join of exchanges would deal all links by the few sources.
+    """
     pattern = r"(?is)<a\s([^>]*?href=[\"']?([^\"'>\s]*)[\"']?[^>]*)>(.*?)</a>"
     part = lambda i: F.regexp_extract_all(html, F.lit(pattern), F.lit(i))
     every = F.arrays_zip(part(1).alias("attributes"), part(2).alias("href"), part(3).alias("inner"))
-    rows = pages.select(source, key, url, F.posexplode(every).alias("place", "a")).join(rules, source)
+    rows = pages.select(source, key, url, F.posexplode(every).alias("place", "a")).where(F.col("a.href") != "").join(F.broadcast(rules), source)
     squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
     own = squeezed(F.regexp_extract("a.attributes", r"(?i)title=[\"']([^\"']*)[\"']", 1))
     shown = squeezed(F.regexp_replace("a.inner", r"<[^>]*>", ""))
-    rows = rows.withColumns({"title": F.when(F.col("attribute_first") & (own != ""), own).otherwise(shown), "link": web_link(F.col("a.href"), F.col(url))})
-    fit = rows.where(
-        (F.col("a.href") != "") & (F.length("title") >= F.col("least_title")) & ~F.array_contains("stop_titles", F.col("title"))
-        & F.regexp("link", F.col("accept")) & ~F.regexp("link", F.col("reject"))
-    )
-    first = F.row_number().over(Window.partitionBy(source, "link").orderBy(key, "place"))
-    once = fit.withColumn("_n", first).where("_n = 1").drop("_n")
+    titled = bound(rows, "title", F.when(F.col("attribute_first") & (own != ""), own).otherwise(shown))
+    titled = titled.where((F.length("title") >= F.col("least_title")) & ~F.array_contains("stop_titles", F.col("title")))
+    fit = bound(titled, "link", web_link(F.col("a.href"), F.col(url))).where(F.regexp("link", F.col("accept")) & ~F.regexp("link", F.col("reject")))
+    # the first place of a link is a partial aggregate: a link that every page has is no large group
+    kept = F.struct(F.col(key).alias("key"), "place", "title", "most", "date")
+    firsts = fit.groupBy(source, "link").agg(F.min(kept).alias("_first")).select(source, "link", F.col("_first.key").alias(key), *[f"_first.{c}" for c in ("place", "title", "most", "date")])
     rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))
-    taken = once.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= F.col("most"))
+    taken = firsts.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= F.col("most"))
     day = F.try_to_date(F.concat_ws("-", *[F.expr(f"regexp_extract(link, date, {i})") for i in (1, 2, 3)]), "yyyy-MM-dd")
     return taken.select(source, key, "rank", "link", "title", day.alias("day"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curator.functions import text as X
 from curator.functions.links import resolved, web_link
+from curator.sources import pages as P
 
 BASES = ["http://h.com/a/b.html", "http://h.com", "http://h.com/", "https://H.com/a/b/?q=1#top", "http://h.com/a//b/c", "http://u:p@h.com:80/x/y;z?x=/../y", "http://h.com/a/../b/"]
 REFERENCES = [
@@ -81,6 +82,8 @@ def test_texts_and_links_are_computed_once(spark, sf_dir):
     for f in (X.first_object, X.fenced_json, lambda t: X.answered(t, "a")):
         assert _copies(df.select(f(text).alias("j")), "reverse(") == 1
     assert df.select(X.first_object(text).alias("j")).first().j == '{"a": 1}'
+    links = spark.createDataFrame([("c.x", "b/a//:ptth")], "h string, b string").repartition(2).select(web_link(F.reverse("h"), F.concat("b", F.lit(""))).alias("link"))
+    assert _copies(links, "reverse(") == 1
     assert _copies(QUERIES["parsed_answers"](spark, sf_dir), "from_json(") <= 1 and _copies(QUERIES["parsed_answers"](spark, sf_dir), "to_json(") <= 1
 
 
@@ -90,3 +93,18 @@ def test_objects_of_any_depth(spark):
     texts = [f"so {deep} }}", deep[:-1], "{" * 5000 + "}" * 5000 + "}", '{"a": "' + '\\"}' * 20000 + '"} {', "}{", "no } object", '{"a": {"b": {"c": {"d": {"e": {}}}}}} {}']
     want = [deep, None, "{" * 5000 + "}" * 5000, texts[3][:-2], None, None, texts[6][:-3]]
     assert [r.j for r in spark.createDataFrame([(t,) for t in texts], "s string").select(X.first_object(F.col("s")).alias("j")).collect()] == want
+
+
+def test_a_link_of_every_page_is_no_large_group(spark):
+    """The first place of each link is aggregated before rows are dealt by link: no window over all places of one."""
+    rules = P.rule_table(spark, [P.LinkRule("a", 1), P.LinkRule("b", 1, most=1)])
+    html = "<a href='/home'>home</a><a href='/{0}'>own {0}</a><a href='/home'>again</a><a href='/x{0}'>other</a>"
+    pages = spark.createDataFrame([("ab"[i % 2], i, "http://h/", html.format(i)) for i in range(40, 0, -1)], "source string, page_id bigint, url string, html string")
+    found = P.rule_links(pages, rules)
+    got = sorted(tuple(r) for r in found.collect())
+    want = [("a", 2, 1, "http://h/home", "home", None), ("a", 2, 2, "http://h/2", "own 2", None), ("a", 2, 3, "http://h/x2", "other", None)]
+    want += [("a", i, k, f"http://h/{s}{i}", t, None) for i in range(4, 41, 2) for k, s, t in ((1, "", f"own {i}"), (2, "x", "other"))]
+    want += [("b", 1, 1, "http://h/home", "home", None)] + [("b", i, 1, f"http://h/{i}", f"own {i}", None) for i in range(3, 41, 2)]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(page_id" in plan and "windowspecdefinition(source" not in plan
