@@ -100,3 +100,23 @@ def test_every_way_finds_the_same_and_none_of_a_small_lexicon_shuffles_windows(s
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert {(r.id, r.term) for r in found.collect()} == want
         assert join is None or (join in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan)
+
+
+def test_runs_of_letters_are_looked_up_and_found_pairs_stay_where_they_are(spark, monkeypatch):
+    """Some hundred terms inside runs, and some that aren't: frequent runs by table, others by search; what is found isn't shuffled by term."""
+    from curator.operators import terms as T
+
+    monkeypatch.setattr(T, "KNOWN", 40)
+    monkeypatch.setattr(T, "SHARE", 2)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcAB1") for _ in range(n))
+    common = [word(5) for _ in range(60)]
+    texts = [rng.choice([" ", "-", "é", "\n"]).join([*rng.choices(common, k=30), *(word(rng.randrange(1, 9)) for _ in range(9)), word(1500)]) for _ in range(60)] + [None, "", " "]
+    terms = sorted({(f"g{rng.randrange(3)}", rng.randrange(5), word(rng.randrange(2, 7))) for _ in range(500)} | {("odd", 1, t) for t in ("a ", "é", "b\n", "A-b", "1 a")})
+    assert len(terms) > T.FEW
+    items, lexicon = _rows(spark, texts, terms)
+    found = terms_found(items, lexicon, by=("criterion", "score"))
+    assert {tuple(r) for r in found.collect()} == {(i, g, s, t) for i, text in enumerate(texts) if text for g, s, t in terms if t in text}
+    assert found.count() == found.distinct().count()
+    plan = term_counts(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(_key") > 0
