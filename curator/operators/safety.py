@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -18,28 +22,42 @@ class Rule:
     fix: str | None = None
 
 
-def findings(text: Column, rules: list[Rule], around: int = 30) -> Column:
+def findings(text: Column, rules: list[Rule], around: int | None = 30) -> Column:
     """array<struct<rule, severity, hits, found, contexts>> of the rules that match, in order.
 
-    found holds every hit's text, contexts what stands around each, line ends included. One test of all rules together
-    spares most texts the rest; what is around a hit is cut from the pieces between hits, so each rule reads a text twice.
+    found holds every hit's text, contexts what stands around each, line ends included; null if around is None. A rule is only
+    run over texts that hold one of the plain texts that its hits begin with, if its pattern tells them; what is around a hit is
+    cut from the pieces between hits, so each such rule reads a text twice.
     """
-    each = [_finding(text, r, around) for r in rules]
-    none = F.slice(F.array(*each), 1, 0)
-    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
-    return F.when(text.rlike(f"(?i){any_rule}"), F.filter(F.array(*each), lambda x: x.isNotNull())).otherwise(none)
+
+    def among(lowered: Column) -> Column:
+        return F.filter(F.array(*[_finding(text, lowered, r, around) for r in rules]), lambda x: x.isNotNull())
+
+    return once(F.coalesce(F.lower(text), F.lit("")), among)
+
+
+def beginnings(pattern: str) -> list[str] | None:
+    """Plain texts in lower case, with one of which each hit of a pattern of alternatives begins; None where that can't be told."""
+    out = []
+    for part in pattern.split("|"):
+        plain, rest = re.match(r"([A-Za-z0-9 !=_,;:@#%&~'\"-]*)(.*)", part, re.DOTALL).groups()
+        plain = plain[:-1] if rest[:1] in ("?", "*", "{") else plain
+        out.append(plain.lower())
+    return None if re.search(r"[()\[\]]", pattern) or "" in out else out
 
 
-def _finding(text: Column, rule: Rule, around: int) -> Column:
+def _finding(text: Column, lowered: Column, rule: Rule, around: int | None) -> Column:
     pattern = f"(?i)(?:{rule.pattern})"
     contexts = lambda own, between: F.transform(
         own, lambda x, i: F.concat(F.right(F.get(between, i), F.lit(around)), x, F.left(F.get(between, i + 1), F.lit(around)))
     )
-    made = lambda own: F.struct(
-        F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.size(own).alias("hits"), own.alias("found"), contexts(own, F.split(text, pattern, -1)).alias("contexts")
+    seen = lambda own: F.lit(None).cast("array<string>") if around is None else contexts(own, F.split(text, pattern, -1))
+    made = lambda own: F.when(
+        F.size(own) > 0, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.size(own).alias("hits"), own.alias("found"), seen(own).alias("contexts"))
     )
-    hits = F.regexp_extract_all(text, F.lit(f"(?i)({rule.pattern})"), F.lit(1))
-    return F.when(text.rlike(pattern), F.get(F.transform(F.array(hits), made), F.lit(0)))
+    plain = beginnings(rule.pattern)
+    likely = text.rlike(pattern) if plain is None else reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in plain])
+    return F.when(likely, once(F.regexp_extract_all(text, F.lit(f"(?i)({rule.pattern})"), F.lit(1)), made))
 
 
 def count_of(found: Column, severity: str) -> Column:

@@ -273,3 +273,17 @@ def test_top_k_holds_the_cosines_of_some_queries_at_once(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(vectors, "ROWS", 3)
     assert rows() == want and len(want) == 160
+
+
+def test_rules_run_only_over_texts_with_what_their_hits_begin_with(spark):
+    import random
+    import re
+
+    assert Y.beginnings("Idiot|scum?") == ["idiot", "scu"] and Y.beginnings(r"password=\w+") == ["password="] and Y.beginnings("a*b|c") is None and Y.beginnings("(a|b)c") is None and Y.beginnings(r"ab|\d") is None
+    rules = [Y.Rule("a", "high", "Ask|skip?"), Y.Rule("b", "low", r"key=\w+"), Y.Rule("c", "low", r"\d+"), Y.Rule("d", "low", "!!")]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["ASK", "as\u212a", "a\u017fk", "sKi", "Key=", "KEY=x9", "\u0130", "!", " ", "7", "é"]) for _ in range(rng.randrange(9))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: [(f.rule, list(f.found), f.contexts) for f in r.f] for r in df.select("id", Y.findings(F.col("t"), rules, around=None).alias("f")).collect()}
+    hits = lambda r, t: re.findall(r.pattern, t or "", re.IGNORECASE | re.ASCII)
+    assert got == {i: [(r.name, h, None) for r in rules if (h := hits(r, t))] for i, t in enumerate(texts)}
