@@ -15,7 +15,7 @@ files without rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +35,28 @@ IDS = T.ArrayType(T.IntegerType())
 ROW = [("shard", T.IntegerType()), ("row", T.LongType()), ("start", T.LongType()), ("part", T.IntegerType()), ("n", T.IntegerType())]
 
 
+def text_coder(definition: str, pattern: str) -> Callable[[str], bytes]:
+    """Ids of whole texts as bytes: where most words are rare, one call for a text costs less than a look-up for each word. Vocabularies that only encode word by word keep to that."""
+    slow, whole = piece_coders(definition, pattern)
+    words = WordCoder(pattern, slow, whole)
+    return lambda text: words.ids(text) if (ids := whole(text)) is None else ids
+
+
 def _encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) -> DataFrame:
     """Rows of a task's documents in their order: shard, row, start (both within the shard), part, n, doc_id, ids."""
     raw = docs.sparkSession.sparkContext.broadcast(_file(docs.sparkSession, tokenizer_path))
     end = np.array([end_id], "<u4").tobytes()
 
-    def make() -> WordCoder:
-        return WordCoder(pattern, *piece_coders(raw.value.decode(), pattern))
+    def make() -> Callable[[str], bytes]:
+        return text_coder(raw.value.decode(), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _once(("pieces", tokenizer_path, pattern), make)
+        coded = _once(("texts", tokenizer_path, pattern), make)
         shard, row, start = TaskContext.get().partitionId(), 0, 0
         for batch, texts in text_chunks(batches, "text"):
             places, rows, all_ids = [], [], []
             for i, text in enumerate(texts.to_pylist()):
-                ids = coder.ids(text) + end
+                ids = coded(text) + end
                 for part, lo in enumerate(range(0, len(ids), 4 * PART)):
                     own = ids[lo : lo + 4 * PART]
                     places.append(i)
@@ -58,7 +65,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int) ->
                 row += 1
                 start += len(ids) // 4
             first, begins, parts, sizes = (np.array(c, np.int64) for c in zip(*rows))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<u4").astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
             columns = [pa.array(np.full(len(rows), shard, np.int32)), pa.array(first), pa.array(begins), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32())]
             keys = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(places, pa.int64()))
             yield pa.RecordBatch.from_arrays([*columns, keys, lists], names=[*(n for n, _ in ROW), "doc_id", "ids"])

@@ -276,3 +276,18 @@ def test_token_files_query(spark, sf_dir):
         want.append((r.doc_id, at, len(ids), crc(ids)))
         at += len(ids)
     assert sorted(map(tuple, op13_token_files(spark, sf_dir).collect())) == want
+
+
+def test_whole_texts_are_encoded_as_the_library_does():
+    import random
+
+    import numpy as np
+    from curator.llm import token_files
+    from curator.llm.queries import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    own, library = token_files.text_coder(open(path).read(), public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    parts = [" ", "  ", "\n", "\n\n", "the", "Fox's", "ing", "12345", "é", "😀", "<|endoftext|>", "<|end", "\t", "...", "x" * 70, "\u3000", "\x00"]
+    for text in ["", " ", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(300))]:
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
