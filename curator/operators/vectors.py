@@ -6,18 +6,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The vector's length, the n-grams it is made of, and how much text it sees.
+# The vector's length, the n-grams it is made of, and how much text a model that takes no more sees.
 DIMENSIONS, SMALLEST, LARGEST, SEEN = 384, 2, 4, 1024
 #: Items that a group of the search holds, about.
 CHUNK = 20_000
 #: Queries of a group whose cosines are in memory at once.
 ROWS = 256
-#: N-grams whose slots a task remembers, and keys whose components it gives at once.
-KNOWN, TOGETHER = 500_000, 256
+#: N-grams whose slots a task remembers, keys whose components it gives at once, and characters that it counts at once.
+KNOWN, TOGETHER, PIECE = 500_000, 256, 1 << 20
 
 
 def _chunk(digest: Column, i: int) -> Column:
@@ -34,13 +35,15 @@ def hash_slot(gram: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.struct(F.pmod(rest, F.lit(dimensions)).cast("int").alias("idx"), F.when(rest < dimensions, 1).otherwise(-1).alias("sign"))
 
 
-def hashed_ngrams(items: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
+def hashed_ngrams(items: DataFrame, key: str, text: Column, dimensions: int = DIMENSIONS, most: int | None = SEEN) -> DataFrame:
     """(key, idx, value): the non-zero components of each text's vector, of length one. Texts of rows that share a key count together.
 
-    What is shuffled is the text as far as it is seen, once; its n-grams, some three for each character, stay in the
-    task that adds them up. Rows of a key follow each other, so a task holds the sums of one key at a time.
+    most: characters of a text that count; None for whole texts. What is shuffled is that text, once; its n-grams, some
+    three for each character, stay in the task that adds them up. Rows of a key follow each other, so a task holds the
+    sums of one key at a time, and long texts are counted in pieces.
     """
-    seen = F.lower(F.substring(F.trim(text, F.lit(" \t\n\x0b\f\r")), 1, SEEN))
+    plain = F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    seen = F.lower(plain if most is None else F.substring(plain, 1, most))
     rows = items.select(F.col(key).alias("_v_key"), seen.alias("_v_t")).repartition("_v_key").sortWithinPartitions("_v_key")
     kind = rows.schema["_v_key"].dataType.simpleString()
     return rows.mapInArrow(lambda batches: _components(batches, dimensions), f"_v_key {kind}, idx int, value double").withColumnRenamed("_v_key", key)
@@ -59,28 +62,65 @@ class _Slots(dict):
         return slot
 
 
+def _counted(pieces: list[str], slots: _Slots) -> np.ndarray:
+    """The sums of each piece; its n-grams begin in its first PIECE characters."""
+    dimensions, lengths = slots.dimensions, np.array([len(p) for p in pieces])
+    joined = "".join(pieces)
+    row, place = np.repeat(np.arange(len(pieces)), lengths), np.arange(len(joined))
+    offset = place - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[row] - offset
+    letters, alphabet = pd.factorize(np.frombuffer(joined.encode("utf-32-le"), np.uint32))
+    both, names = np.zeros(len(pieces) * 2 * dimensions, np.int64), letters
+    for n in range(2, LARGEST + 1):  # an n-gram is the one that is shorter by a character, and that character
+        m = max(len(joined) - n + 1, 0)
+        names, distinct = pd.factorize(names[:m] * (len(alphabet) + 1) + letters[n - 1 :])
+        if n < SMALLEST:
+            continue
+        where = np.zeros(len(distinct), np.int64)
+        where[names] = place[:m]
+        slot = np.array([slots[joined[i : i + n]] for i in where.tolist()], np.int64)
+        inside = (offset[:m] < PIECE) & (left[:m] >= n)
+        both += np.bincount((row[:m] * (2 * dimensions) + slot[names])[inside], minlength=len(both))
+    if len(slots) > KNOWN:
+        slots.clear()
+    both = both.reshape(len(pieces), 2 * dimensions)
+    return both[:, :dimensions] - both[:, dimensions:]
+
+
+def _sums(texts: pa.Array, slots: _Slots) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, sums) of the pieces of all texts, in order."""
+    places: list[int] = []
+    pieces: list[str] = []
+    size = 0
+    for at, text in enumerate(texts):
+        text = text.as_py() or ""
+        for lo in range(0, max(len(text), 1), PIECE):
+            piece = text[lo : lo + PIECE + LARGEST - 1]
+            if pieces and (size + len(piece) > PIECE or len(pieces) >= TOGETHER):
+                yield from zip(places, _counted(pieces, slots))
+                places, pieces, size = [], [], 0
+            places.append(at)
+            pieces.append(piece)
+            size += len(piece)
+    if pieces:
+        yield from zip(places, _counted(pieces, slots))
+
+
 def _components(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
     """The components of rows that are sorted by key."""
     slots = _Slots()
     slots.dimensions = dimensions
     last: tuple | None = None  # the key whose sums aren't complete yet
     sums = np.zeros(dimensions, np.int64)
-
-    def counted(text: str | None) -> np.ndarray:
-        text = text or ""
-        both = np.bincount(np.array([slots[text[i : i + n]] for n in range(SMALLEST, LARGEST + 1) for i in range(len(text) - n + 1)], np.int64), minlength=2 * dimensions)
-        if len(slots) > KNOWN:
-            slots.clear()
-        return both[:dimensions] - both[dimensions:]
-
     for batch in batches:
         keys, done = batch.column(0), []
-        for at, (name, text) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist())):
-            if last is not None and last[0] != name:
+        names = keys.to_pylist()
+        for at, own in _sums(batch.column(1), slots):
+            if last is not None and last[0] != names[at]:
                 done.append((last[1], sums))
                 sums = np.zeros(dimensions, np.int64)
-            last = (name, keys.slice(at, 1))
-            sums = sums + counted(text)
+            last = (names[at], keys.slice(at, 1))
+            sums = sums + own
             if len(done) >= TOGETHER:
                 yield _table(done, batch.schema.field(0).type)
                 done = []
@@ -92,7 +132,7 @@ def _components(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[
 
 def _table(done: list[tuple[pa.Array, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
     matrix = np.stack([sums for _, sums in done])
-    norms = np.sqrt((matrix * matrix).sum(axis=1).astype(float))
+    norms = np.sqrt((matrix.astype(float) ** 2).sum(axis=1))
     row, idx = np.nonzero(matrix)
     keys = pa.concat_arrays([name for name, _ in done]).take(pa.array(row))
     return pa.RecordBatch.from_arrays([keys.cast(kind), pa.array(idx.astype(np.int32)), pa.array(matrix[row, idx] / norms[row])], ["_v_key", "idx", "value"])

@@ -140,17 +140,19 @@ def relative_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.relative_time(said, F.expr("timestamp_ntz'2024-02-01 00:00:00'")).alias("at_time"))
 
 
-_VECTOR_TEXT = "lower(substr(trim(substr(text, 1, 60) || ' ' || substr(text, 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 1024))"
+_VECTOR_TEXT = "lower(trim(substr(text, 1, 60) || ' ' || text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_VECTOR_TEXT} AS t FROM documents), g AS (SELECT doc_id, substr(t, i::INT, n::INT) AS gram FROM t, range(2, 5) r(n), range(1, 1024) s(i) WHERE i <= length(t) - n + 1),
+@query(f"""WITH t AS (SELECT doc_id, {_VECTOR_TEXT} AS t FROM documents), p AS (SELECT doc_id, substr(t, (1000 * j + 1)::INT, 1003) AS t FROM (SELECT doc_id, t, unnest(range(length(t) // 1000 + 1)) AS j FROM t)),
+    g AS (SELECT doc_id, substr(t, i::INT, n::INT) AS gram FROM p, range(2, 5) r(n), range(1, 1001) s(i) WHERE i <= length(t) - n + 1),
     h AS (SELECT doc_id, count(*) AS c, md5(gram) AS m FROM g GROUP BY doc_id, gram), v AS (SELECT doc_id, c, (((((('0x' || substr(m, 1, 8))::BIGINT % 768 * 256 + ('0x' || substr(m, 9, 8))::BIGINT % 768) % 768) * 256
         + ('0x' || substr(m, 17, 8))::BIGINT % 768) % 768) * 256 + ('0x' || substr(m, 25, 8))::BIGINT % 768) % 768 AS r FROM h),
     s AS (SELECT doc_id, r % 384 AS idx, sum(CASE WHEN r < 384 THEN c ELSE -c END) AS v FROM v GROUP BY 1, 2 HAVING sum(CASE WHEN r < 384 THEN c ELSE -c END) <> 0)
     SELECT doc_id, idx::INT AS idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s""")
 def hash_vectors(spark, sf_dir):
-    text = F.concat(F.substring("text", 1, 60), F.lit(" "), F.substring("text", 1, 1000))
-    return V.hashed_ngrams(table(spark, sf_dir, "documents"), "doc_id", text).select("doc_id", "idx", F.round("value", 6).alias("value"))
+    """Title and whole text of each document; the SQL cuts texts in pieces of 1,000 characters that overlap by three."""
+    text = F.concat(F.substring("text", 1, 60), F.lit(" "), F.col("text"))
+    return V.hashed_ngrams(table(spark, sf_dir, "documents"), "doc_id", text, most=None).select("doc_id", "idx", F.round("value", 6).alias("value"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query, vec_id AS item, list_cosine_similarity(qe, embedding::DOUBLE[]) AS c FROM q, embeddings WHERE vec_id <> query)

@@ -287,3 +287,43 @@ def test_rules_run_only_over_texts_with_what_their_hits_begin_with(spark):
     got = {r.id: [(f.rule, list(f.found), f.contexts) for f in r.f] for r in df.select("id", Y.findings(F.col("t"), rules, around=None).alias("f")).collect()}
     hits = lambda r, t: re.findall(r.pattern, t or "", re.IGNORECASE | re.ASCII)
     assert got == {i: [(r.name, h, None) for r in rules if (h := hits(r, t))] for i, t in enumerate(texts)}
+
+
+def test_hashed_ngrams_of_whole_texts_in_pieces(spark, monkeypatch):
+    import math
+
+    import pyarrow as pa
+
+    from curator.operators import vectors
+
+    texts = ["", None, "a", "ab", "Naïve 😀 text " * 300, "x" * 64, "y" * 129, "q" * 2000 + "end of it", "short"]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    want = {}
+    for key, text in rows:
+        seen = (text or "").lower().strip()
+        for n in (2, 3, 4):
+            for i in range(len(seen) - n + 1):
+                slot = vectors.slot_of(seen[i : i + n])
+                want[key, slot % 384] = want.get((key, slot % 384), 0) + (1 if slot < 384 else -1)
+    norms = {}
+    for (key, _), v in want.items():
+        norms[key] = norms.get(key, 0) + v * v
+    want = {(k, i): v / math.sqrt(norms[k]) for (k, i), v in want.items() if v}
+    made = vectors.hashed_ngrams(spark.createDataFrame(rows, "k bigint, t string"), "k", F.col("t"), most=None)
+    assert {(r.k, r.idx): r.value for r in made.collect()} == want
+    monkeypatch.setattr(vectors, "PIECE", 64)
+    monkeypatch.setattr(vectors, "TOGETHER", 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t and t.lower().strip() for _, t in rows])], ["_v_key", "t"])
+    parts = [p.to_pydict() for p in vectors._components(iter([batch]), 384)]
+    assert {(k, i): v for p in parts for k, i, v in zip(p["_v_key"], p["idx"], p["value"])} == want
+
+
+def test_vectors_use_the_ends_of_long_texts(spark, tmp_path):
+    from curator import plans
+
+    rows = [(1, "word " * 500), (2, "word " * 500 + "zebra")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = {1: set(), 2: set()}
+    for r in plans.QUERIES["hash_vectors"](spark, str(tmp_path)).collect():
+        made[r.doc_id].add((r.idx, r.value))
+    assert made[1] != made[2]
