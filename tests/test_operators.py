@@ -327,3 +327,22 @@ def test_vectors_use_the_ends_of_long_texts(spark, tmp_path):
     for r in plans.QUERIES["hash_vectors"](spark, str(tmp_path)).collect():
         made[r.doc_id].add((r.idx, r.value))
     assert made[1] != made[2]
+
+
+def test_similar_titles_are_all_pairs_with_their_similarity(spark, monkeypatch):
+    from curator import plans
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9)] + ["ALPHA", "beta", "gamma"]
+    rows = [(i, sorted(set(rng.choices(words, k=rng.randint(0, 5))))) for i in range(200)]
+    first = {}
+    for i, own in rows:
+        if own:
+            first.setdefault(tuple(own), i)
+    want = {(first[x], first[y], round(_similar(set(x), set(y)), 9)) for x in first for y in first if first[x] < first[y] and _similar(set(x), set(y)) >= D.SIMILARITY}
+    items = spark.createDataFrame(rows, "id bigint, keywords array<string>")
+    for square in (2048, 7):
+        monkeypatch.setattr(D, "SQUARE", square)
+        got = [(r.a, r.b, round(r.sim, 9)) for r in D.similar_titles(items, CORE).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert plans.QUERIES["title_similarity_pairs"](spark, "/root/testdata/sf0.001").columns == ["a", "b", "sim"]
