@@ -346,3 +346,15 @@ def test_similar_titles_are_all_pairs_with_their_similarity(spark, monkeypatch):
         got = [(r.a, r.b, round(r.sim, 9)) for r in D.similar_titles(items, CORE).collect()]
         assert len(got) == len(want) and set(got) == want
     assert plans.QUERIES["title_similarity_pairs"](spark, "/root/testdata/sf0.001").columns == ["a", "b", "sim"]
+
+
+def test_batches_of_a_scan_take_keys_of_two_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "FIRST", 16)
+    rng = random.Random(4)
+    rows = [(i // 7, -i, i % 2, sorted(set(rng.choices([f"w{n}" for n in range(9)], k=rng.randint(0, 5))))) for i in range(200)]
+    kept = []
+    for row in sorted(rows):
+        if not any(row[2] == x[2] and _similar(set(row[3]), set(x[3])) >= D.SIMILARITY for x in kept):
+            kept.append(row)
+    items = spark.createDataFrame(rows, "age bigint, id bigint, g int, keywords array<string>").withColumn("place", F.struct("age", "id"))
+    assert sorted(r.place.id for r in D.greedy_kept(items, CORE, "place", by=("g",)).collect()) == sorted(x[1] for x in kept)
